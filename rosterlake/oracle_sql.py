@@ -10,8 +10,7 @@ from __future__ import annotations
 import re
 
 from rosterlake.functions.numeric import round_sql
-from rosterlake.sources.model import (AUCTION_BUDGET, CURRENT_SEASON_VOTES, LOG_APP_NAME,
-                                      MY_TEAM)
+from rosterlake.sources.model import AUCTION_BUDGET, LOG_APP_NAME, MY_TEAM
 
 R = round_sql
 
@@ -63,17 +62,17 @@ MODEL_CTES: dict[str, str] = {
               FROM asta_log WHERE squadra_acquirente = '{MY_TEAM}') f
         LEFT JOIN giocatori g ON g.id = f.giocatore_id
         WHERE f.rn = 1""",
-    "voti_giornata": f"""
-        SELECT user_id * 100 + giornata AS id, user_id AS giocatore_id, giornata,
-               '{CURRENT_SEASON_VOTES}' AS stagione, voto, fantavoto, gol, assist,
-               ammonizione, espulsione
-        FROM (SELECT user_id, day(ts) AS giornata,
-                     arg_min(value, ts) AS voto, arg_max(value, ts) AS fantavoto,
-                     CAST(count_if(event_type = 'purchase') AS INTEGER) AS gol,
-                     CAST(count_if(event_type = 'click') AS INTEGER) AS assist,
-                     bool_or(event_type = 'error') AS ammonizione,
-                     count_if(event_type = 'error') >= 3 AS espulsione
-              FROM events GROUP BY user_id, day(ts)) v""",
+    "voti_giornata": """
+        SELECT giocatore_id * 1000000 + anno * 100 + giornata AS id, giocatore_id, giornata,
+               concat(CAST(anno AS VARCHAR), '/', lpad(CAST((anno + 1) % 100 AS VARCHAR), 2, '0')) AS stagione,
+               voto, fantavoto, gol, assist, ammonizione, espulsione
+        FROM (SELECT l_partkey AS giocatore_id, year(l_shipdate) AS anno, day(l_shipdate) AS giornata,
+                     min(l_quantity) / 5 AS voto, (max(l_quantity) - 1) / 5 AS fantavoto,
+                     CAST(count_if(l_returnflag = 'R') AS INTEGER) AS gol,
+                     CAST(count_if(l_returnflag = 'A') AS INTEGER) AS assist,
+                     bool_or(l_linestatus = 'O') AS ammonizione,
+                     bool_or(l_tax >= 0.075) AS espulsione
+              FROM lineitem GROUP BY l_partkey, year(l_shipdate), day(l_shipdate)) v""",
     "purchase_attempts": """
         SELECT ts, event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS giocatore_id,
                value AS prezzo_finale, concat('Team#', CAST(user_id AS VARCHAR)) AS squadra_acquirente,

@@ -12,7 +12,7 @@ Mapping (fixed, documented in README):
   squadre              <- supplier + nation
   asta_log             <- lineitem (line 7, quantity >= 46) + supplier
   mia_rosa             <- first purchase per player of MY_TEAM in asta_log
-  voti_giornata        <- events grouped by (user_id, day(ts))
+  voti_giornata        <- lineitem grouped by (l_partkey, year, day of l_shipdate)
   purchase attempts    <- events of type 'purchase'; census from 'signup'
   app_logs             <- events
 """
@@ -30,7 +30,6 @@ from rosterlake.functions.numeric import round_half_up
 MY_TEAM = "Supplier#000000000"   # the user's own team in asta_log
 MY_AUCTION_TEAM = "Team#0"       # the user's own team among purchase attempts
 AUCTION_BUDGET = 500.0           # budget of every team in the purchase census
-CURRENT_SEASON_VOTES = "2023/24"  # season label of the round grades
 LOG_APP_NAME = "chatbot"
 
 
@@ -167,21 +166,23 @@ class LeagueModel:
     # -- round grades ------------------------------------------------------
     @cached_property
     def voti_giornata(self) -> DataFrame:
-        e = self.t.table("events")
-        et = F.col("event_type")
-        agg = e.groupBy(F.col("user_id").alias("giocatore_id"),
-                        F.dayofmonth("ts").alias("giornata")).agg(
-            F.min_by("value", "ts").alias("voto"),
-            F.max_by("value", "ts").alias("fantavoto"),
-            F.count_if(et == "purchase").cast("int").alias("gol"),
-            F.count_if(et == "click").cast("int").alias("assist"),
-            F.bool_or(et == "error").alias("ammonizione"),
-            (F.count_if(et == "error") >= 3).alias("espulsione"),
+        li = self.t.table("lineitem")
+        q = F.col("l_quantity")
+        year = F.year("l_shipdate")
+        # one row per (player, season, round): partial aggregation map-side
+        agg = li.groupBy(F.col("l_partkey").alias("giocatore_id"), year.alias("anno"),
+                         F.dayofmonth("l_shipdate").alias("giornata")).agg(
+            (F.min(q) / 5).alias("voto"),
+            ((F.max(q) - 1) / 5).alias("fantavoto"),
+            F.count_if(F.col("l_returnflag") == "R").cast("int").alias("gol"),
+            F.count_if(F.col("l_returnflag") == "A").cast("int").alias("assist"),
+            F.bool_or(F.col("l_linestatus") == "O").alias("ammonizione"),
+            F.bool_or(F.col("l_tax") >= 0.075).alias("espulsione"),
         )
         return agg.select(
-            (F.col("giocatore_id") * 100 + F.col("giornata")).alias("id"),
+            (F.col("giocatore_id") * 1000000 + F.col("anno") * 100 + F.col("giornata")).alias("id"),
             "giocatore_id", "giornata",
-            F.lit(CURRENT_SEASON_VOTES).alias("stagione"),
+            season_label(F.col("anno")).alias("stagione"),
             "voto", "fantavoto", "gol", "assist", "ammonizione", "espulsione",
         )
 
