@@ -109,6 +109,8 @@ def with_model(body: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({MODEL_CTES[n]})" for n in used)
     body = body.strip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {ctes},\n{body[5:]}"
+    m = re.match(r"WITH\s+(RECURSIVE\s+)?", body, re.IGNORECASE)
+    if m:
+        head = "WITH RECURSIVE" if m.group(1) else "WITH"
+        return f"{head} {ctes},\n{body[m.end():]}"
     return f"WITH {ctes}\n{body}"
