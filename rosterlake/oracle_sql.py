@@ -10,7 +10,8 @@ from __future__ import annotations
 import re
 
 from rosterlake.functions.numeric import round_sql
-from rosterlake.sources.model import AUCTION_BUDGET, LOG_APP_NAME, MY_TEAM
+from rosterlake.sources.model import (AUCTION_BUDGET, LOG_APP_NAME, MY_TEAM, NEW_LIST_MIN_SIZE,
+                                      OLD_LIST_MAX_SIZE, SHEET_DIR)
 
 R = round_sql
 
@@ -87,9 +88,33 @@ MODEL_CTES: dict[str, str] = {
                concat_ws(' ', event_type, CAST(event_id AS VARCHAR)) AS message,
                props AS extra, '{LOG_APP_NAME}' AS app_name
         FROM events""",
+    "previous_players": f"""
+        SELECT * FROM giocatori WHERE quotazione_attuale <= {OLD_LIST_MAX_SIZE}""",
+    "price_sheet": f"""
+        SELECT CAST(p_partkey AS VARCHAR) AS "Id",
+               CASE WHEN p_size <= 12 THEN 'P' WHEN p_size <= 25 THEN 'D'
+                    WHEN p_size <= 38 THEN 'C' ELSE 'A' END AS "R",
+               '  ' || p_name || ' ' AS "Nome", p_brand AS "Squadra",
+               CAST(p_size + 1 AS VARCHAR) AS "Qt.A", CAST(p_size AS VARCHAR) AS "Qt.I",
+               CAST(p_size * 3 AS VARCHAR) AS "FVM", p_partkey AS _ordinal
+        FROM part WHERE p_size >= {NEW_LIST_MIN_SIZE}""",
+    "stats_sheets": f"""
+        SELECT CASE WHEN CAST(substr(stagione, 1, 4) AS INTEGER) % 2 = 0
+                    THEN 'Statistiche Fantacalcio Stagione ' || substr(stagione, 1, 4) || ' ' || substr(stagione, 6, 2)
+                    ELSE 'Statistiche Fantacalcio' END AS _title,
+               '{SHEET_DIR}/Statistiche_' || substr(stagione, 1, 4) || '_' || substr(stagione, 6, 2) || '.csv' AS _path,
+               CAST(giocatore_id AS VARCHAR) AS "Id", CAST(presenze AS VARCHAR) AS "Pv",
+               CAST(media_voto AS VARCHAR) AS "Mv", CAST(fantamedia AS VARCHAR) AS "Fm",
+               CAST(gol AS VARCHAR) AS "Gf", CAST(gol_subiti AS VARCHAR) AS "Gs",
+               CAST(rigori_parati AS VARCHAR) AS "Rp", CAST(rigori_calciati AS VARCHAR) AS "Rc",
+               CAST(bonus AS VARCHAR) AS "R+", CAST(malus AS VARCHAR) AS "R-",
+               CAST(assist AS VARCHAR) AS "Ass", CAST(ammonizioni AS VARCHAR) AS "Amm",
+               CAST(espulsioni AS VARCHAR) AS "Esp", CAST(autogol AS VARCHAR) AS "Au"
+        FROM statistiche""",
 }
 
-_DEPS = {"mia_rosa": ["asta_log", "giocatori"]}
+_DEPS = {"mia_rosa": ["asta_log", "giocatori"], "previous_players": ["giocatori"],
+         "stats_sheets": ["statistiche"]}
 
 
 def with_model(body: str) -> str:

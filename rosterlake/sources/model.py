@@ -31,6 +31,9 @@ MY_TEAM = "Supplier#000000000"   # the user's own team in asta_log
 MY_AUCTION_TEAM = "Team#0"       # the user's own team among purchase attempts
 AUCTION_BUDGET = 500.0           # budget of every team in the purchase census
 LOG_APP_NAME = "chatbot"
+OLD_LIST_MAX_SIZE = 40   # the previous price list held the parts up to this size
+NEW_LIST_MIN_SIZE = 10   # the new price list holds the parts from this size
+SHEET_DIR = "/sheets"    # nominal folder of the exported season sheets
 
 
 def season_label(year: F.Column) -> F.Column:
@@ -220,3 +223,50 @@ class LeagueModel:
             F.col("props").alias("extra"),
             F.lit(LOG_APP_NAME).alias("app_name"),
         )
+
+    # -- price list sheet and season sheets (ETL inputs) ---------------------
+    @cached_property
+    def previous_players(self) -> DataFrame:
+        """The player table as loaded from the previous price list."""
+        return self.giocatori.where(F.col("quotazione_attuale") <= OLD_LIST_MAX_SIZE)
+
+    @cached_property
+    def price_sheet(self) -> DataFrame:
+        """The new price list as exported sheet rows: every cell is text, names
+        padded with blanks as exported sheets often are."""
+        p = self.t.table("part").where(F.col("p_size") >= NEW_LIST_MIN_SIZE)
+        size = F.col("p_size")
+        ruolo = (F.when(size <= 12, "P").when(size <= 25, "D")
+                 .when(size <= 38, "C").otherwise("A"))
+        return p.select(
+            F.col("p_partkey").cast("string").alias("Id"),
+            ruolo.alias("R"),
+            F.concat(F.lit("  "), F.col("p_name"), F.lit(" ")).alias("Nome"),
+            F.col("p_brand").alias("Squadra"),
+            (size + 1).cast("string").alias("Qt.A"),
+            size.cast("string").alias("Qt.I"),
+            (size * 3).cast("string").alias("FVM"),
+            F.col("p_partkey").alias("_ordinal"),
+        )
+
+    @cached_property
+    def stats_sheets(self) -> DataFrame:
+        """One season sheet per year as rows of text cells, with the sheet title
+        and file path; even years carry the season in the title, odd years only
+        in the file name."""
+        s = self.statistiche
+        yr = F.substring("stagione", 1, 4)
+        yy = F.substring("stagione", 6, 2)
+        even = yr.cast("int") % 2 == 0
+        title = F.when(even, F.concat(F.lit("Statistiche Fantacalcio Stagione "), yr, F.lit(" "), yy)) \
+            .otherwise(F.lit("Statistiche Fantacalcio"))
+        path = F.concat(F.lit(SHEET_DIR + "/Statistiche_"), yr, F.lit("_"), yy, F.lit(".csv"))
+        t = lambda c: F.col(c).cast("string")
+        return s.select(
+            title.alias("_title"), path.alias("_path"),
+            t("giocatore_id").alias("Id"), t("presenze").alias("Pv"), t("media_voto").alias("Mv"),
+            t("fantamedia").alias("Fm"), t("gol").alias("Gf"), t("gol_subiti").alias("Gs"),
+            t("rigori_parati").alias("Rp"), t("rigori_calciati").alias("Rc"), t("bonus").alias("R+"),
+            t("malus").alias("R-"), t("assist").alias("Ass"), t("ammonizioni").alias("Amm"),
+            t("espulsioni").alias("Esp"), t("autogol").alias("Au"),
+        )
