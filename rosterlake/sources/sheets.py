@@ -13,6 +13,7 @@ block sequentially, so the id grows with the line within a block.
 
 from __future__ import annotations
 
+import csv
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,27 +57,33 @@ def read_sheets(spark: SparkSession, paths, required) -> DataFrame:
     plus ``_title``, ``_path`` and ``_ordinal``. Raises ValueError naming the
     missing required columns of a file (Q19)."""
     paths = _as_list(paths)
-    raw = spark.read.option("header", False).option("encoding", "UTF-8").csv(paths)
-    cells = raw.columns
-    raw = raw.select(*cells, F.col("_metadata.file_path").alias("_path"), _ordinal(paths).alias("_ordinal"))
-    is_header = F.trim(F.col(cells[0])) == HEADER_FIRST_CELL
-    others_empty = F.lit(True)
-    for c in cells[1:]:
-        others_empty = others_empty & F.col(c).isNull()
-    is_title = (~is_header & others_empty & F.col(cells[0]).isNotNull()
-                & F.col(cells[0]).try_cast("double").isNull())
-
-    # One header per file: bounded by the number of files, so it may come to the driver.
-    headers = raw.where(is_header).select("_path", *cells).distinct().collect()
+    # 1. The header line of each file (one per file, so bounded by the file
+    #    list) decides the width and the names; parsed on the driver.
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_path"))
+    first = F.trim(F.split("value", ",").getItem(0))
+    headers = lines.where(first == HEADER_FIRST_CELL).select("_path", "value").distinct().collect()
     if not headers:
         raise ValueError("no header row (first cell 'Id') found")
     layouts: dict[tuple, list[str]] = {}
     for row in headers:
-        names = tuple((row[c] or "").strip() for c in cells)
+        names = tuple(n.strip() for n in next(csv.reader([row["value"]])))
         miss = missing_columns([n for n in names if n], required)
         if miss:
             raise ValueError(f"missing columns in {row['_path']}: {sorted(miss)}")
         layouts.setdefault(names, []).append(row["_path"])
+    width = max(len(n) for n in layouts)
+    cells = [f"_c{i}" for i in range(width)]
+
+    # 2. One scan of every file with an explicit all-text schema of that width.
+    raw = (spark.read.schema(", ".join(f"{c} string" for c in cells))
+           .option("header", False).option("encoding", "UTF-8").csv(paths))
+    raw = raw.select(*cells, F.col("_metadata.file_path").alias("_path"), _ordinal(paths).alias("_ordinal"))
+    is_header = F.coalesce(F.trim(F.col(cells[0])) == HEADER_FIRST_CELL, F.lit(False))
+    others_empty = F.lit(True)
+    for c in cells[1:]:
+        others_empty = others_empty & F.col(c).isNull()
+    is_title = F.coalesce(~is_header & others_empty & F.col(cells[0]).isNotNull()
+                          & F.col(cells[0]).try_cast("double").isNull(), F.lit(False))
 
     titles = (raw.where(is_title).groupBy("_path")
               .agg(F.min_by(F.col(cells[0]), F.col("_ordinal")).alias("_title")))
