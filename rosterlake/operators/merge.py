@@ -74,9 +74,9 @@ def assign_ids(merged: DataFrame, id_col: str, order_cols: list[str],
     """Fill NULL ids of inserted rows with max(id) + rank by ``order_cols`` (M9).
 
     Dense ranks without a single-partition window: the new rows are range
-    partitioned by ``order_cols`` and ranked inside each partition; the per
-    partition counts (one row per partition, a proven bound) give each
-    partition its offset through a broadcast.
+    partitioned by ``order_cols``, ranked inside each partition and
+    checkpointed once; the per partition counts (one row per partition, a
+    proven bound) give each partition its offset through a broadcast.
     """
     base = merged.agg(F.coalesce(F.max(id_col), F.lit(0))).scalar()  # scalar subquery
     have = merged.where(F.col(id_col).isNotNull())
@@ -84,6 +84,10 @@ def assign_ids(merged: DataFrame, id_col: str, order_cols: list[str],
     parts = num_partitions or int(merged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = need.repartitionByRange(parts, *order_cols).withColumn("_pid", F.spark_partition_id())
     local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
+    # The range bounds come from a sample of the input, and the input order may
+    # vary between evaluations: evaluate the ranked rows once (reliable
+    # checkpoint in spark.checkpoint.dir) so counts and ranks agree.
+    local = local.checkpoint(eager=True)
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     offsets = counts.select("_pid", F.coalesce(
         F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),

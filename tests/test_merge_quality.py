@@ -87,3 +87,14 @@ def test_fk_and_duplicates(spark):
     dups = {(r.vincolo, r.chiave, r.n) for r in quality.duplicate_keys({"giocatori": players}).collect()}
     assert dups == {("fanta_id", "10", 2), ("nome_squadra", "a|X", 2)}
     assert quality.missing_columns(["Id", "R"], ["Id", "R", "FVM"]) == {"FVM"}
+
+
+def test_assign_ids_dense_after_shuffle(spark):
+    # inserted rows come out of a full outer join (row order varies between
+    # evaluations); the ids must still be max(id) + dense rank by key
+    t = spark.range(0, 3000).select((F.col("id") * 2).alias("fanta_id"), F.col("id").alias("id"))
+    s = spark.range(0, 6000).select(F.col("id").alias("fanta_id"))
+    m = merge.merge(t, s, ["fanta_id"], [])
+    out = merge.assign_ids(m, "id", ["fanta_id"], num_partitions=8).where("azione = 'inserito'")
+    got = [(r.fanta_id, r.id) for r in out.orderBy("fanta_id").collect()]
+    assert [i for _, i in got] == list(range(3000, 3000 + len(got)))
