@@ -38,3 +38,19 @@ def safe_double(c: Column) -> Column:
     """Double or NULL: unparsable text and NaN both become NULL."""
     d = c.try_cast("double")
     return F.when(~F.isnan(d), d)
+
+
+def decode_typed(df, types: dict[str, str]):
+    """Text result columns -> typed columns by a type map (F12): integers and
+    doubles with ``try_cast`` (bad text -> NULL), booleans from 'true'/'false';
+    timestamps stay text, as in the source app."""
+    out = df
+    for name, kind in types.items():
+        k = kind.lower()
+        if k in ("int", "integer", "long", "bigint"):
+            out = out.withColumn(name, F.col(name).try_cast("long"))
+        elif k in ("double", "float", "decimal"):
+            out = out.withColumn(name, F.col(name).try_cast("double"))
+        elif k in ("boolean", "bool"):
+            out = out.withColumn(name, F.lower(F.col(name)) == "true")
+    return out

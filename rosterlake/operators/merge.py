@@ -122,3 +122,39 @@ def cascade(child: DataFrame, remaining_players: DataFrame, fk: str = "giocatore
     ids = remaining_players.select(F.col(pk).alias("_pk")).distinct()
     return (child.join(ids, F.col(fk) == ids._pk, "left_semi")
             .unionByName(child.where(F.col(fk).isNull())))
+
+
+# The 13 measures a season re-import overwrites.
+STAT_MEASURES = ("presenze", "media_voto", "fantamedia", "gol", "gol_subiti", "rigori_parati",
+                 "rigori_calciati", "bonus", "malus", "assist", "ammonizioni", "espulsioni", "autogol")
+
+
+def upsert_stats(target: DataFrame, imported: DataFrame) -> DataFrame:
+    """Season statistics upsert on (giocatore_id, stagione) (M3). ``imported``
+    are the ``importato`` rows of the season transform. Write the result with
+    ``sinks.tables.write_table(..., "statistiche_storiche", ...)``: only the
+    touched seasons' partitions are rewritten."""
+    cols = ["giocatore_id", "stagione", *STAT_MEASURES]
+    return merge(target, imported.select(*cols), ["giocatore_id", "stagione"], list(STAT_MEASURES))
+
+
+def stats_import_report(transformed: DataFrame, target: DataFrame) -> DataFrame:
+    """Rows inserted / updated / skipped / incomplete of a season import (M14),
+    a real split of insert and update."""
+    ok = transformed.where(F.col("esito") == "importato")
+    merged = upsert_stats(target, ok)
+    done = (merged.where(F.col("azione") != KEPT).groupBy(F.col("azione").alias("voce"))
+            .agg(F.count(F.lit(1)).alias("n")))
+    rest = (transformed.where(F.col("esito") != "importato").groupBy(F.col("esito").alias("voce"))
+            .agg(F.count(F.lit(1)).alias("n")))
+    return done.unionByName(rest)
+
+
+def census_upsert(squadre: DataFrame, entries: DataFrame, budget_totale: float) -> DataFrame:
+    """Team census (M4): names trimmed, coach trimmed (NULL stays NULL), one
+    merge for the whole list; a rerun with another budget updates every team."""
+    src = entries.select(F.trim("nome").alias("nome"), F.trim("allenatore").alias("allenatore"),
+                         F.lit(float(budget_totale)).alias("budget_totale"))
+    src = src.groupBy("nome").agg(F.last("allenatore").alias("allenatore"),
+                                  F.first("budget_totale").alias("budget_totale"))
+    return merge(squadre, src, ["nome"], ["allenatore", "budget_totale"])

@@ -62,7 +62,8 @@ def purchase_history(asta_log: DataFrame, giocatori: DataFrame) -> DataFrame:
     """Every purchase with the player's data (input of X11c / X11d)."""
     g = giocatori.select(F.col("id").alias("gid"), "nome", "ruolo", "squadra")
     return asta_log.join(g, asta_log.giocatore_id == g.gid).select(
-        "id", "nome", "ruolo", "squadra", "prezzo_finale", "squadra_acquirente", "fonte", "creato_il")
+        "id", "nome", "ruolo", "squadra", "prezzo_finale", "squadra_acquirente", "fonte", "creato_il",
+        F.date_format("creato_il", "HH:mm").alias("ora"))  # time of day shown in the list
 
 
 def recent_purchases(asta_log: DataFrame, giocatori: DataFrame, limit: int = 20) -> DataFrame:

@@ -98,3 +98,34 @@ def test_assign_ids_dense_after_shuffle(spark):
     out = merge.assign_ids(m, "id", ["fanta_id"], num_partitions=8).where("azione = 'inserito'")
     got = [(r.fanta_id, r.id) for r in out.orderBy("fanta_id").collect()]
     assert [i for _, i in got] == list(range(3000, 3000 + len(got)))
+
+
+def test_census_upsert_trims_and_reruns(spark):
+    sq = spark.createDataFrame([("Lupi", "Ada", 500.0)], "nome string, allenatore string, budget_totale double")
+    entries = spark.createDataFrame([("  Lupi ", " Bea "), ("Orsi", None)], "nome string, allenatore string")
+    once = merge.census_upsert(sq, entries, 600.0).drop("azione")
+    got = {(r.nome, r.allenatore, r.budget_totale) for r in once.collect()}
+    assert got == {("Lupi", "Bea", 600.0), ("Orsi", None, 600.0)}
+    again = {(r.nome, r.budget_totale) for r in merge.census_upsert(once, entries, 700.0).collect()}
+    assert again == {("Lupi", 700.0), ("Orsi", 700.0)}
+
+
+def test_decode_typed(spark):
+    from rosterlake.functions.numeric import decode_typed
+    df = spark.createDataFrame([("3", "2.5", "true", "2024-01-01T10:00")], "a string, b string, c string, d string")
+    r = decode_typed(df, {"a": "int", "b": "double", "c": "boolean", "d": "timestamp"}).first()
+    assert (r.a, r.b, r.c, r.d) == (3, 2.5, True, "2024-01-01T10:00")
+
+
+def test_stats_upsert_splits_insert_and_update(spark):
+    target = spark.createDataFrame([(1, 100, "2023/24", 10)], "id long, giocatore_id long, stagione string, presenze int")
+    for c in merge.STAT_MEASURES:
+        if c != "presenze":
+            target = target.withColumn(c, F.lit(None).cast("double" if c in ("media_voto", "fantamedia") else "int"))
+    rows = [(100, "2023/24", 12, "importato"), (100, "2024/25", 5, "importato"), (None, "2024/25", 0, "incompleto")]
+    t = spark.createDataFrame(rows, "giocatore_id long, stagione string, presenze int, esito string")
+    for c in merge.STAT_MEASURES:
+        if c != "presenze":
+            t = t.withColumn(c, F.lit(None).cast("double" if c in ("media_voto", "fantamedia") else "int"))
+    rep = {r.voce: r.n for r in merge.stats_import_report(t, target).collect()}
+    assert rep == {"aggiornato": 1, "inserito": 1, "incompleto": 1}
