@@ -9,7 +9,9 @@ player existence) by ordinary joins, hash-partitioned by team and sorted within
 each partition by (team, ts, id); ``mapInPandas`` then folds every partition as
 a stream of Arrow batches, carrying (team, spent) across batch borders. No group
 is ever materialised whole: memory per task is one Arrow batch whatever the size
-of a team, and the external sort spills. The Structured Streaming form
+of a team, and the external sort spills. A team far bigger than the rest is
+cut by time into chunks whose transfer functions are composed exactly (see
+``purchase_admission``). The Structured Streaming form
 (``rosterlake.streaming.admission``) runs the same fold per micro-batch with
 the spent amount kept in state.
 """
@@ -23,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rosterlake.session import ship_package
+
 # Rejection reasons.
 REASON_TEAM = "squadra_non_censita"
 REASON_BUDGET = "budget_insufficiente"
@@ -32,48 +36,61 @@ ATTEMPT_COLUMNS = ["ts", "id", "giocatore_id", "prezzo_finale", "squadra_acquire
 RESULT_SCHEMA = ("ts timestamp_ntz, id long, giocatore_id long, prezzo_finale double, "
                  "squadra_acquirente string, e_mio boolean, fonte string, "
                  "accepted boolean, reason string, residuo_prima double")
+SUMMARY_SCHEMA = ("squadra_acquirente string, _chunk long, _budget_c long, "
+                  "lo array<long>, hi array<long>, off array<long>")
+START_SCHEMA = "squadra_acquirente string, _chunk long, _start_c long"
+
+MONEY_SCALE = 100            # money is compared exactly, in integer cents
+HOT_TEAM_ROWS = 2_000_000    # a team above this many attempts is split into chunks
+CHUNK_ROWS = 500_000         # target attempts per chunk of a hot team
+_NEG, _POS = -(2 ** 62), 2 ** 62
+
 
+def cents(c: F.Column) -> F.Column:
+    return F.round(c * MONEY_SCALE).cast("long")
 
-def fold_block(team: np.ndarray, price: np.ndarray, budget: np.ndarray, team_ok: np.ndarray,
-               player_ok: np.ndarray, start_team=None, start_spent: float = 0.0):
-    """Fold one block of rows sorted by (team, ts, id).
 
-    Returns (accepted, reason, residuo_prima, last_team, last_spent); the last two
-    carry the state into the next block of the same partition.
+def fold_block(team: np.ndarray, chunk: np.ndarray, price_c: np.ndarray, budget_c: np.ndarray,
+               team_ok: np.ndarray, player_ok: np.ndarray, start_c: np.ndarray, state=(None, None, 0)):
+    """Fold rows sorted by (team, chunk, ts, id) in integer cents.
+
+    ``start_c`` is the amount spent before the row's chunk (0 for a whole
+    team). Returns (accepted, reason, residuo_prima, state); the state carries
+    (team, chunk, spent) into the next block of the same partition.
     """
-    n = len(price)
+    n = len(price_c)
     accepted = np.zeros(n, dtype=bool)
     reason = np.empty(n, dtype=object)
     before = np.full(n, np.nan)
-    cur_team, spent = start_team, start_spent
+    cur_team, cur_chunk, spent = state
     for i in range(n):
-        if team[i] != cur_team:
-            cur_team, spent = team[i], 0.0
+        if team[i] != cur_team or chunk[i] != cur_chunk:
+            cur_team, cur_chunk, spent = team[i], chunk[i], int(start_c[i])
         if not team_ok[i]:
             reason[i] = REASON_TEAM
             continue
-        residual = budget[i] - spent
-        before[i] = residual
-        p = price[i]
+        residual = int(budget_c[i]) - spent
+        before[i] = residual / MONEY_SCALE
+        p = int(price_c[i])
         if p > residual:
             reason[i] = REASON_BUDGET
         elif not player_ok[i]:
             reason[i] = REASON_PLAYER
         else:
             accepted[i] = True
-            spent = spent + p
-    return accepted, reason, before, cur_team, spent
+            spent += p
+    return accepted, reason, before, (cur_team, cur_chunk, spent)
 
 
 def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    team, spent = None, 0.0
+    state = (None, None, 0)
     for pdf in batches:
         if pdf.empty:
             continue
-        acc, reason, before, team, spent = fold_block(
-            pdf["squadra_acquirente"].to_numpy(), pdf["prezzo_finale"].to_numpy(dtype=float),
-            pdf["_budget"].to_numpy(dtype=float), pdf["_team_ok"].to_numpy(dtype=bool),
-            pdf["_player_ok"].to_numpy(dtype=bool), team, spent)
+        acc, reason, before, state = fold_block(
+            pdf["squadra_acquirente"].to_numpy(), pdf["_chunk"].to_numpy(), pdf["_price_c"].to_numpy(),
+            pdf["_budget_c"].to_numpy(), pdf["_team_ok"].to_numpy(dtype=bool),
+            pdf["_player_ok"].to_numpy(dtype=bool), pdf["_start_c"].to_numpy(), state)
         out = pdf[ATTEMPT_COLUMNS].copy()
         out["accepted"] = acc
         out["reason"] = reason
@@ -81,6 +98,82 @@ def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
+# ---------------------------------------------------------------- hot teams
+class Transfer:
+    """What a chunk of attempts does to the residual budget r at its start:
+    a piecewise map r -> r - off on the integer intervals [lo, hi). Exact in
+    cents; adjacent pieces with equal offsets are merged, and pieces above the
+    budget are dropped when no price is negative (r can never be there)."""
+
+    def __init__(self, cap: int | None):
+        self.lo = np.array([_NEG], dtype=np.int64)
+        self.hi = np.array([_POS], dtype=np.int64)
+        self.off = np.array([0], dtype=np.int64)
+        self.cap = cap
+
+    def apply(self, p: int) -> None:
+        lo, hi, off = self.lo, self.hi, self.off
+        t = off + p                        # accepted iff r - off >= p, i.e. r >= t
+        inside = (lo < t) & (t < hi)
+        if inside.any():
+            idx = np.nonzero(inside)[0]
+            lo = np.concatenate([lo, t[idx]])
+            hi = np.concatenate([hi, hi[idx]])
+            off = np.concatenate([off, off[idx]])
+            hi[idx] = t[idx]
+            order = np.argsort(lo, kind="stable")
+            lo, hi, off = lo[order], hi[order], off[order]
+        off = np.where(lo >= off + p, off + p, off)
+        if len(lo) > 1:
+            keep = np.ones(len(lo), dtype=bool)
+            keep[1:] = ~((off[1:] == off[:-1]) & (lo[1:] == hi[:-1]))
+            if not keep.all():
+                starts = np.nonzero(keep)[0]
+                last = np.r_[starts[1:] - 1, len(lo) - 1]
+                lo, hi, off = lo[keep], hi[last], off[keep]
+        if self.cap is not None and lo[-1] > self.cap:
+            k = lo <= self.cap
+            lo, hi, off = lo[k], hi[k], off[k]
+        self.lo, self.hi, self.off = lo, hi, off
+
+
+def spent_in(lo, off, r: int) -> int:
+    """Amount a chunk spends when it starts with residual ``r``."""
+    return int(off[np.searchsorted(lo, r, side="right") - 1])
+
+
+def _summarize_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out, key, tf, budget = [], None, None, 0
+    for pdf in batches:
+        team, chunk = pdf["squadra_acquirente"].to_numpy(), pdf["_chunk"].to_numpy()
+        price = pdf["_price_c"].to_numpy()
+        ok = pdf["_team_ok"].to_numpy(dtype=bool) & pdf["_player_ok"].to_numpy(dtype=bool)
+        bud, pmin = pdf["_budget_c"].to_numpy(), pdf["_pmin"].to_numpy()
+        for i in range(len(price)):
+            if key != (team[i], chunk[i]):
+                if key is not None:
+                    out.append((key[0], key[1], budget, tf.lo, tf.hi, tf.off))
+                key = (team[i], chunk[i])
+                budget = 0 if pd.isna(bud[i]) else int(bud[i])
+                tf = Transfer(budget if pmin[i] >= 0 else None)
+            if ok[i]:                      # other rows never change the state
+                tf.apply(int(price[i]))
+    if key is not None:
+        out.append((key[0], key[1], budget, tf.lo, tf.hi, tf.off))
+    yield pd.DataFrame(out, columns=["squadra_acquirente", "_chunk", "_budget_c", "lo", "hi", "off"])
+
+
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Chunk starts of one team from its chunk summaries (a few rows per chunk)."""
+    pdf = pdf.sort_values("_chunk")
+    spent, starts = 0, []
+    for lo, off, budget in zip(pdf["lo"], pdf["off"], pdf["_budget_c"]):
+        starts.append(spent)
+        spent += spent_in(np.asarray(lo), np.asarray(off), int(budget) - spent)
+    return pd.DataFrame({"squadra_acquirente": pdf["squadra_acquirente"].to_numpy(),
+                         "_chunk": pdf["_chunk"].to_numpy(), "_start_c": starts})
+
+
 def enrich_attempts(attempts: DataFrame, census: DataFrame, giocatori: DataFrame) -> DataFrame:
     """Attach the team budget and the two existence flags with equi-joins."""
     c = census.select(F.col("nome").alias("_team"), F.col("budget_totale").alias("_budget"))
@@ -89,17 +182,51 @@ def enrich_attempts(attempts: DataFrame, census: DataFrame, giocatori: DataFrame
     j = (a.join(c, a.squadra_acquirente == c._team, "left")
          .join(g, a.giocatore_id == g._gid, "left"))
     return j.select(*ATTEMPT_COLUMNS, "_budget",
+                    cents(F.col("prezzo_finale")).alias("_price_c"),
+                    cents(F.col("_budget")).alias("_budget_c"),
                     F.col("_team").isNotNull().alias("_team_ok"),
                     F.col("_gid").isNotNull().alias("_player_ok"))
 
 
+_FOLD_COLS = [*ATTEMPT_COLUMNS, "_price_c", "_budget_c", "_team_ok", "_player_ok", "_chunk", "_start_c"]
+
+
 def purchase_admission(attempts: DataFrame, census: DataFrame, giocatori: DataFrame,
-                       num_partitions: int | None = None) -> DataFrame:
-    """Judge every attempt: accepted, reason, residual before the attempt."""
+                       num_partitions: int | None = None, hot_team_rows: int = HOT_TEAM_ROWS,
+                       chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Judge every attempt: accepted, reason, residual before the attempt.
+
+    Teams up to ``hot_team_rows`` attempts are folded whole, streaming. Bigger
+    teams are cut by time into chunks of about ``chunk_rows``: each chunk's
+    transfer function is computed in parallel, a per-team pass composes them
+    into each chunk's starting amount, and every chunk is then folded in
+    parallel from its start. Both paths decide in exact integer cents, so the
+    result does not depend on the split.
+    """
+    ship_package(attempts.sparkSession)
     e = enrich_attempts(attempts, census, giocatori)
     parts = num_partitions or int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (e.repartition(parts, "squadra_acquirente")
-               .sortWithinPartitions("squadra_acquirente", "ts", "id"))
+    team = "squadra_acquirente"
+    t_us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    sizes = e.groupBy(team).agg(F.count(F.lit(1)).alias("_n"), F.min(t_us).alias("_t0"),
+                                F.max(t_us).alias("_t1"), F.min("_price_c").alias("_pmin"))
+    hot = sizes.where(F.col("_n") > hot_team_rows).select(
+        team, "_t0", "_pmin",
+        ((F.col("_t1") - F.col("_t0") + 1) / F.ceil(F.col("_n") / chunk_rows)).alias("_grain"))
+
+    cold = (e.join(hot.select(team), team, "left_anti")
+            .withColumn("_chunk", F.lit(0).cast("long")).withColumn("_start_c", F.lit(0).cast("long")))
+    hot_rows = e.join(hot, team).withColumn(
+        "_chunk", F.floor((t_us - F.col("_t0")) / F.col("_grain")).cast("long"))
+    summaries = (hot_rows.repartition(parts, team, "_chunk")
+                 .sortWithinPartitions(team, "_chunk", "ts", "id")
+                 .mapInPandas(_summarize_partition, SUMMARY_SCHEMA))
+    starts = summaries.groupBy(team).applyInPandas(_compose, START_SCHEMA)
+    hot_ready = hot_rows.join(starts, [team, "_chunk"])
+
+    rows = cold.select(*_FOLD_COLS).unionByName(hot_ready.select(*_FOLD_COLS))
+    ordered = (rows.repartition(parts, team, "_chunk")
+               .sortWithinPartitions(team, "_chunk", "ts", "id"))
     return ordered.mapInPandas(_fold_partition, RESULT_SCHEMA)
 
 

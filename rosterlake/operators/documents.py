@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.functions.numeric import round_half_up
+from rosterlake.session import ship_package
 
 # Document templates and the chat context templates.
 NONE_TEXT = "None"  # how a missing value prints inside a document
@@ -121,6 +122,7 @@ def nearest_vectors(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_
     """
     n_q = queries.count()
     spark = corpus.sparkSession
+    ship_package(spark)
     if n_q == 0:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, similarity double")
     schema = f"query_id long, {id_col} long, similarity double"

@@ -59,3 +59,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``rosterlake`` importable by the Python workers (the equivalent of
+    ``--py-files``): operators with Python code in tasks (``mapInPandas``,
+    ``applyInPandas*``) call this once per SparkContext. A cluster that already
+    ships the package (wheel, ``--py-files``) is unaffected."""
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    import zipfile
+    from pathlib import Path
+
+    pkg = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="rosterlake-pkg-")) / "rosterlake.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in pkg.rglob("*.py"):
+            z.write(f, f.relative_to(pkg.parent).as_posix())
+    sc.addPyFile(str(out))
+    _SHIPPED.add(id(sc))

@@ -13,25 +13,27 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from rosterlake.session import ship_package
 from rosterlake.operators.auction import ATTEMPT_COLUMNS, RESULT_SCHEMA, enrich_attempts, fold_block
 
-STATE_SCHEMA = "spent double"
+STATE_SCHEMA = "spent long"  # integer cents
 
 
 def _judge(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "id"], kind="stable")
-    spent = state.get[0] if state.exists else 0.0
-    team = key[0]
-    acc, reason, before, _, spent = fold_block(
-        pdf["squadra_acquirente"].to_numpy(), pdf["prezzo_finale"].to_numpy(dtype=float),
-        pdf["_budget"].to_numpy(dtype=float), pdf["_team_ok"].to_numpy(dtype=bool),
-        pdf["_player_ok"].to_numpy(dtype=bool), team, spent)
-    state.update((float(spent),))
+    spent = int(state.get[0]) if state.exists else 0
+    zeros = np.zeros(len(pdf), dtype=np.int64)
+    acc, reason, before, (_, _, spent) = fold_block(
+        pdf["squadra_acquirente"].to_numpy(), zeros, pdf["_price_c"].to_numpy(),
+        pdf["_budget_c"].to_numpy(), pdf["_team_ok"].to_numpy(dtype=bool),
+        pdf["_player_ok"].to_numpy(dtype=bool), zeros + spent)
+    state.update((int(spent),))
     out = pdf[ATTEMPT_COLUMNS].copy()
     out["accepted"] = acc
     out["reason"] = reason
@@ -41,6 +43,7 @@ def _judge(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.
 
 def admission_stream(attempts: DataFrame, census: DataFrame, giocatori: DataFrame) -> DataFrame:
     """Streaming DataFrame of judged attempts (append mode)."""
+    ship_package(attempts.sparkSession)
     e = enrich_attempts(attempts, census, giocatori)
     return e.groupBy("squadra_acquirente").applyInPandasWithState(
         _judge, StructType.fromDDL(RESULT_SCHEMA), StructType.fromDDL(STATE_SCHEMA),

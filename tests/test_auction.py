@@ -105,3 +105,69 @@ def test_stream_equals_batch(spark, tmp_path):
         "select accepted, reason, residuo_prima from admission_t1 order by id").collect()]
     want = _judge(spark, rows, [("A", 100.0), ("B", 150.0)], [0, 1, 2, 3, 4])
     assert got == want
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(1, 9000), st.sampled_from("ABX"), st.booleans()),
+                min_size=1, max_size=80))
+def test_hot_team_chunks_equal_whole_fold(spark, rows):
+    rows = [(g, p / 100, t, m) for g, p, t, m in rows]   # prices in cents
+    census = _census(spark, [("A", 100.0), ("B", 37.5)])
+    players = _players(spark, [0, 1, 2, 3, 4, 5])
+    att = _attempts(spark, rows)
+    whole = auction.purchase_admission(att, census, players)
+    split = auction.purchase_admission(att, census, players, hot_team_rows=3, chunk_rows=4)
+    cols = ["id", "accepted", "reason", "residuo_prima"]
+    assert ([tuple(r) for r in split.orderBy("id").select(*cols).collect()]
+            == [tuple(r) for r in whole.orderBy("id").select(*cols).collect()])
+    budgets = {"A": 100.0, "B": 37.5}
+    want = _python_fold_cents(rows, budgets, {0, 1, 2, 3, 4, 5})
+    assert [tuple(r) for r in whole.orderBy("id").select("accepted", "reason", "residuo_prima").collect()] == want
+
+
+def _python_fold_cents(rows, budgets, players):
+    spent, out = {}, []
+    for g, p, team, _ in rows:
+        if team not in budgets:
+            out.append((False, "squadra_non_censita", None))
+            continue
+        res = round(budgets[team] * 100) - spent.get(team, 0)
+        pc = round(p * 100)
+        if pc > res:
+            out.append((False, "budget_insufficiente", res / 100))
+        elif g not in players:
+            out.append((False, "giocatore_non_trovato", res / 100))
+        else:
+            spent[team] = spent.get(team, 0) + pc
+            out.append((True, None, res / 100))
+    return out
+
+
+def test_transfer_function_matches_sequential():
+    import numpy as np
+    rnd = random.Random(3)
+    for _ in range(200):
+        prices = [rnd.randint(0, 300) for _ in range(rnd.randint(1, 30))]
+        budget = rnd.randint(0, 1000)
+        tf = auction.Transfer(budget)
+        for p in prices:
+            tf.apply(p)
+        for r in range(-5, budget + 1, 7):
+            spent, rr = 0, r
+            for p in prices:
+                if p <= rr:
+                    rr -= p
+                    spent += p
+            assert auction.spent_in(np.asarray(tf.lo), np.asarray(tf.off), r) == spent
+
+
+def test_hot_team_path_is_used_and_exact(spark):
+    rnd = random.Random(11)
+    rows = [(rnd.randint(0, 6), rnd.randint(1, 4000) / 100, rnd.choice("AAAB"), False) for _ in range(120)]
+    census = _census(spark, [("A", 180.0), ("B", 90.0)])
+    players = _players(spark, [0, 1, 2, 3, 4, 5])
+    att = _attempts(spark, rows)
+    split = auction.purchase_admission(att, census, players, hot_team_rows=10, chunk_rows=7)
+    got = [tuple(r) for r in split.orderBy("id").select("accepted", "reason", "residuo_prima").collect()]
+    assert got == _python_fold_cents(rows, {"A": 180.0, "B": 90.0}, {0, 1, 2, 3, 4, 5})
+    assert sum(a for a, _, _ in got) > 5
