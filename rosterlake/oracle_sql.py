@@ -67,13 +67,14 @@ MODEL_CTES: dict[str, str] = {
         SELECT giocatore_id * 1000000 + anno * 100 + giornata AS id, giocatore_id, giornata,
                concat(CAST(anno AS VARCHAR), '/', lpad(CAST((anno + 1) % 100 AS VARCHAR), 2, '0')) AS stagione,
                voto, fantavoto, gol, assist, ammonizione, espulsione
-        FROM (SELECT l_partkey AS giocatore_id, year(l_shipdate) AS anno, day(l_shipdate) AS giornata,
+        FROM (SELECT l_partkey AS giocatore_id, year(l_shipdate) AS anno,
+                     CAST(day(l_shipdate) AS INTEGER) AS giornata,
                      min(l_quantity) / 5 AS voto, (max(l_quantity) - 1) / 5 AS fantavoto,
                      CAST(count_if(l_returnflag = 'R') AS INTEGER) AS gol,
                      CAST(count_if(l_returnflag = 'A') AS INTEGER) AS assist,
                      bool_or(l_linestatus = 'O') AS ammonizione,
                      bool_or(l_tax >= 0.075) AS espulsione
-              FROM lineitem GROUP BY l_partkey, year(l_shipdate), day(l_shipdate)) v""",
+              FROM lineitem GROUP BY l_partkey, year(l_shipdate), CAST(day(l_shipdate) AS INTEGER)) v""",
     "purchase_attempts": """
         SELECT ts, event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS giocatore_id,
                value AS prezzo_finale, concat('Team#', CAST(user_id AS VARCHAR)) AS squadra_acquirente,

@@ -37,6 +37,11 @@ def duck():
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     s_rows = [tuple(r) for r in df.collect()]
+    rel = duck.sql(E.oracle_sql()[name])
+    types = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+    want = {f.name: types.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert want == dict(zip(rel.columns, [str(t) for t in rel.types]))   # names and types
     cur = duck.execute(E.oracle_sql()[name])
     d_cols = [c[0] for c in cur.description]
     assert sorted(df.columns) == sorted(d_cols)
