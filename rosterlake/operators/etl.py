@@ -87,3 +87,12 @@ def season_stats_transform(raw: DataFrame, giocatori: DataFrame, season: Column
     cols += [safe_int(c(src)).alias(dst) for src, dst in STATS_INT_COLUMNS]
     cols += [safe_double(c(src)).alias(dst) for src, dst in STATS_FLOAT_COLUMNS]
     return j.select(*cols, status.alias("esito"))
+
+
+def season_column(paths, override: str | None = None) -> Column:
+    """The season of every row (S4): an override applies only when exactly one
+    file is imported (with several files each file's own title or name decides)."""
+    n = 1 if isinstance(paths, str) else len(list(paths))
+    if override and n == 1:
+        return F.lit(override)
+    return season_from(F.col("_title"), F.col("_path"))

@@ -158,3 +158,38 @@ def census_upsert(squadre: DataFrame, entries: DataFrame, budget_totale: float)
     src = src.groupBy("nome").agg(F.last("allenatore").alias("allenatore"),
                                   F.first("budget_totale").alias("budget_totale"))
     return merge(squadre, src, ["nome"], ["allenatore", "budget_totale"])
+
+
+# Per table, the merge key and the columns a match overwrites.
+MERGE_SPECS = {
+    "giocatori": (("fanta_id",), ("nome", "ruolo", "squadra", "quotazione_iniziale",
+                                  "quotazione_attuale", "fvm")),                       # M1
+    "statistiche_storiche": (("giocatore_id", "stagione"), STAT_MEASURES),              # M3
+    "squadre": (("nome",), ("allenatore", "budget_totale")),                            # M4
+    "voti_giornata": (("giocatore_id", "giornata", "stagione"),
+                      ("voto", "fantavoto", "gol", "assist", "ammonizione", "espulsione")),  # M5
+    "asta_log": (("giocatore_id",), ("prezzo_finale", "squadra_acquirente", "fonte")),  # M6
+    "mia_rosa": (("giocatore_id",), ("prezzo_pagato", "ruolo_fanta")),                  # M7
+    "calendario": (("giornata", "squadra_casa", "stagione"), ("squadra_trasferta", "data_partita")),  # M8
+    "formazioni_probabili": (("giornata", "squadra"), ("modulo", "titolari", "fonte")),  # M10
+}
+# columns stamped with the merge time: (on update, on insert)
+STAMPS = {
+    "giocatori": ("aggiornato_il", "creato_il"),
+    "formazioni_probabili": ("creato_il", "creato_il"),
+}
+
+
+def upsert(table: str, target: DataFrame, source: DataFrame, now=None) -> DataFrame:
+    """Upsert by the table's merge spec (M1-M10). ``now`` (a timestamp literal,
+    passed in for repeatable runs) stamps the update/insert time columns."""
+    keys, update = MERGE_SPECS[table]
+    upd, ins = {}, {}
+    if now is not None and table in STAMPS:
+        on_update, on_insert = STAMPS[table]
+        upd[on_update] = F.lit(now)
+        ins[on_insert] = F.lit(now)
+        if on_update != on_insert:
+            ins[on_update] = F.lit(now)
+    update_cols = [c for c in update if c not in upd]
+    return merge(target, source, list(keys), update_cols, insert_values=ins, update_values=upd)

@@ -129,3 +129,32 @@ def test_stats_upsert_splits_insert_and_update(spark):
             t = t.withColumn(c, F.lit(None).cast("double" if c in ("media_voto", "fantamedia") else "int"))
     rep = {r.voce: r.n for r in merge.stats_import_report(t, target).collect()}
     assert rep == {"aggiornato": 1, "inserito": 1, "incompleto": 1}
+
+
+def test_upsert_specs_stamps_and_array_column(spark):
+    import datetime as dt
+    now = dt.datetime(2025, 8, 1, 12, 0)
+    f_ddl = "id long, giornata int, squadra string, modulo string, titolari array<string>, fonte string, creato_il timestamp"
+    t = spark.createDataFrame([(1, 3, "Inter", "343", ["a", "b"], "web", None)], f_ddl)
+    s = spark.createDataFrame([(3, "Inter", "442", ["c"], "img"), (4, "Roma", "433", ["d", "e"], "img")],
+                              "giornata int, squadra string, modulo string, titolari array<string>, fonte string")
+    m = {(r.giornata, r.squadra): r for r in merge.upsert("formazioni_probabili", t, s, now).collect()}
+    assert m[(3, "Inter")].titolari == ["c"] and m[(3, "Inter")].modulo == "442"
+    assert m[(3, "Inter")].creato_il == now and m[(4, "Roma")].creato_il == now
+    g_ddl = ("id long, fanta_id long, nome string, ruolo string, squadra string, quotazione_iniziale double, "
+             "quotazione_attuale double, fvm double, creato_il timestamp, aggiornato_il timestamp")
+    old = dt.datetime(2024, 1, 1)
+    g = spark.createDataFrame([(1, 10, "a", "P", "X", 1.0, 1.0, 5.0, old, old)], g_ddl)
+    src = spark.createDataFrame([(10, "a2", "P", "X", 2.0, 2.0, 6.0)],
+                                "fanta_id long, nome string, ruolo string, squadra string, "
+                                "quotazione_iniziale double, quotazione_attuale double, fvm double")
+    r = merge.upsert("giocatori", g, src, now).first()
+    assert (r.nome, r.creato_il, r.aggiornato_il) == ("a2", old, now)
+
+
+def test_season_override_only_for_one_file(spark):
+    from rosterlake.operators import etl
+    df = spark.createDataFrame([("Statistiche 2022 23", "/x/a.csv")], "_title string, _path string")
+    one = df.select(etl.season_column("/x/a.csv", "2030/31")).first()[0]
+    many = df.select(etl.season_column(["/x/a.csv", "/x/b.csv"], "2030/31")).first()[0]
+    assert (one, many) == ("2030/31", "2022/23")
