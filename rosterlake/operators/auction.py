@@ -208,23 +208,27 @@ def purchase_admission(attempts: DataFrame, census: DataFrame, giocatori: DataFr
     parts = num_partitions or int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     team = "squadra_acquirente"
     t_us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
-    sizes = e.groupBy(team).agg(F.count(F.lit(1)).alias("_n"), F.min(t_us).alias("_t0"),
-                                F.max(t_us).alias("_t1"), F.min("_price_c").alias("_pmin"))
+    # team sizes from the raw attempts (no joins), partial aggregation
+    sizes = attempts.groupBy(team).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(t_us).alias("_t0"), F.max(t_us).alias("_t1"),
+        F.min(cents(F.col("prezzo_finale"))).alias("_pmin"))
     hot = sizes.where(F.col("_n") > hot_team_rows).select(
         team, "_t0", "_pmin",
         ((F.col("_t1") - F.col("_t0") + 1) / F.ceil(F.col("_n") / chunk_rows)).alias("_grain"))
 
-    cold = (e.join(hot.select(team), team, "left_anti")
-            .withColumn("_chunk", F.lit(0).cast("long")).withColumn("_start_c", F.lit(0).cast("long")))
-    hot_rows = e.join(hot, team).withColumn(
-        "_chunk", F.floor((t_us - F.col("_t0")) / F.col("_grain")).cast("long"))
-    summaries = (hot_rows.repartition(parts, team, "_chunk")
+    # every row gets its chunk: 0 for ordinary teams, a time slice for hot ones
+    chunked = (e.join(hot, team, "left")
+               .withColumn("_chunk", F.coalesce(
+                   F.floor((t_us - F.col("_t0")) / F.col("_grain")).cast("long"), F.lit(0).cast("long"))))
+    # hot chunks only: transfer functions, then each chunk's starting amount
+    summaries = (chunked.where(F.col("_grain").isNotNull())
+                 .repartition(parts, team, "_chunk")
                  .sortWithinPartitions(team, "_chunk", "ts", "id")
                  .mapInPandas(_summarize_partition, SUMMARY_SCHEMA))
     starts = summaries.groupBy(team).applyInPandas(_compose, START_SCHEMA)
-    hot_ready = hot_rows.join(starts, [team, "_chunk"])
-
-    rows = cold.select(*_FOLD_COLS).unionByName(hot_ready.select(*_FOLD_COLS))
+    rows = (chunked.join(starts, [team, "_chunk"], "left")
+            .withColumn("_start_c", F.coalesce(F.col("_start_c"), F.lit(0).cast("long")))
+            .select(*_FOLD_COLS))
     ordered = (rows.repartition(parts, team, "_chunk")
                .sortWithinPartitions(team, "_chunk", "ts", "id"))
     return ordered.mapInPandas(_fold_partition, RESULT_SCHEMA)

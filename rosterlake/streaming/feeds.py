@@ -49,7 +49,11 @@ def document_sync(changed_players: DataFrame, stats: DataFrame, mia_rosa: DataFr
     append them (with the batch id) to the document change log at ``path``."""
 
     def rebuild(batch: DataFrame, batch_id: int) -> None:
-        docs = documents.player_documents(batch, stats, mia_rosa)
+        # only the changed players' seasons and roster rows are read
+        ids = batch.select(F.col("id").alias("_cid"))
+        s = stats.join(ids, stats.giocatore_id == ids._cid, "left_semi")
+        r = mia_rosa.join(ids, mia_rosa.giocatore_id == ids._cid, "left_semi")
+        docs = documents.player_documents(batch, s, r)
         docs.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(path)
 
     w = changed_players.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint)
