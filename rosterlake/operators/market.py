@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions.numeric import round_half_up
 from rosterlake.operators.common import ROLES, free_players
+from rosterlake.plans.broadcast import ROLE_ROWS, broadcast_bounded
 
 # Role labels, verdict thresholds and wording.
 ROLE_LABELS = {"P": "Portieri", "D": "Difensori", "C": "Centrocampisti", "A": "Attaccanti"}
@@ -117,7 +118,7 @@ def strategy_slots(mia_rosa: DataFrame, giocatori: DataFrame) -> DataFrame:
     taken = (mia_rosa.join(g, mia_rosa.giocatore_id == g._gid)
              .groupBy("ruolo").agg(F.count(F.lit(1)).cast("int").alias("presi")))
     t = role_targets(giocatori.sparkSession)
-    j = t.join(F.broadcast(taken), "ruolo", "left")
+    j = t.join(broadcast_bounded(taken, ROLE_ROWS, "one row per role"), "ruolo", "left")
     presi = F.coalesce(F.col("presi"), F.lit(0))
     return j.select("ruolo", "richiesti", presi.alias("presi"),
                     F.greatest(F.col("richiesti") - presi, F.lit(0)).alias("mancanti"))
@@ -172,7 +173,8 @@ def strategy_candidates(giocatori: DataFrame, asta_log: DataFrame, slots: DataFr
     """
     missing = slots.where(F.col("mancanti") > 0).select(F.col("ruolo").alias("_r"))
     free = free_players(giocatori, asta_log)
-    free = free.join(F.broadcast(missing), free.ruolo == missing._r, "left_semi")
+    free = free.join(broadcast_bounded(missing, ROLE_ROWS, "roles still missing"), free.ruolo == missing._r,
+                     "left_semi")
     w = Window.partitionBy("ruolo").orderBy(F.col("fvm").desc_nulls_last(), F.col("id").asc())
     return (free.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("ruolo", "rank", "nome", "squadra", "quotazione_attuale", "fvm"))

@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterlake.plans.broadcast import broadcast_bounded
+
 # Action labels of the merge report.
 INSERTED, UPDATED, KEPT = "inserito", "aggiornato", "invariato"
 
@@ -92,7 +94,7 @@ def assign_ids(merged: DataFrame, id_col: str, order_cols: list[str],
     offsets = counts.select("_pid", F.coalesce(
         F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_off"))
-    numbered = (local.join(F.broadcast(offsets), "_pid")
+    numbered = (local.join(broadcast_bounded(offsets, parts, "one row per partition"), "_pid")
                 .withColumn(id_col, (base + F.col("_off") + F.col("_rn")).cast(merged.schema[id_col].dataType))
                 .drop("_pid", "_rn", "_off"))
     return have.unionByName(numbered.select(*merged.columns))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.functions.numeric import round_half_up
+from rosterlake.plans.broadcast import NATION_ROWS, broadcast_bounded
 
 # Fixed values of the model (not data):
 MY_TEAM = "Supplier#000000000"   # the user's own team in asta_log
@@ -122,7 +123,8 @@ class LeagueModel:
         s = self.t.table("supplier")
         # nation is the fixed 25-row dimension of the TPC-H schema: its size is
         # bounded by the spec, so broadcasting it is safe at any scale.
-        n = F.broadcast(self.t.table("nation").select("n_nationkey", "n_name"))
+        n = broadcast_bounded(self.t.table("nation").select("n_nationkey", "n_name"), NATION_ROWS,
+                              "TPC-H nation dimension")
         return s.join(n, s.s_nationkey == n.n_nationkey, "left").select(
             F.col("s_suppkey").alias("id"),
             F.col("s_name").alias("nome"),

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.operators.quality import missing_columns
+from rosterlake.plans.broadcast import broadcast_bounded
 
 PRICE_CSV_SCHEMA = "nome string, ruolo string, squadra string, quotazione double"
 HEADER_FIRST_CELL = "Id"  # fixed value: both sheets start their header with the Id column
@@ -97,4 +98,4 @@ def read_sheets(spark: SparkSession, paths, required) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     # titles: one row per file (bounded by the file list)
-    return out.join(F.broadcast(titles), "_path", "left")
+    return out.join(broadcast_bounded(titles, len(headers), "one title per file"), "_path", "left")
