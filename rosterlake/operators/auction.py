@@ -205,8 +205,14 @@ def purchase_admission(attempts: DataFrame, census: DataFrame, giocatori: DataFr
     """
     ship_package(attempts.sparkSession)
     e = enrich_attempts(attempts, census, giocatori)
-    parts = num_partitions or int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     team = "squadra_acquirente"
+
+    def by_key(df: DataFrame) -> DataFrame:
+        # no fixed count unless asked: AQE may merge adjacent partitions, which
+        # keeps every (team, chunk) whole and contiguous after the sort
+        keys = (team, "_chunk")
+        return df.repartition(num_partitions, *keys) if num_partitions else df.repartition(*keys)
+
     t_us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     # team sizes from the raw attempts (no joins), partial aggregation
     sizes = attempts.groupBy(team).agg(
@@ -221,15 +227,14 @@ def purchase_admission(attempts: DataFrame, census: DataFrame, giocatori: DataFr
                .withColumn("_chunk", F.coalesce(
                    F.floor((t_us - F.col("_t0")) / F.col("_grain")).cast("long"), F.lit(0).cast("long"))))
     # hot chunks only: transfer functions, then each chunk's starting amount
-    summaries = (chunked.where(F.col("_grain").isNotNull())
-                 .repartition(parts, team, "_chunk")
+    summaries = (by_key(chunked.where(F.col("_grain").isNotNull()))
                  .sortWithinPartitions(team, "_chunk", "ts", "id")
                  .mapInPandas(_summarize_partition, SUMMARY_SCHEMA))
     starts = summaries.groupBy(team).applyInPandas(_compose, START_SCHEMA)
     rows = (chunked.join(starts, [team, "_chunk"], "left")
             .withColumn("_start_c", F.coalesce(F.col("_start_c"), F.lit(0).cast("long")))
             .select(*_FOLD_COLS))
-    ordered = (rows.repartition(parts, team, "_chunk")
+    ordered = (by_key(rows)
                .sortWithinPartitions(team, "_chunk", "ts", "id"))
     return ordered.mapInPandas(_fold_partition, RESULT_SCHEMA)
 

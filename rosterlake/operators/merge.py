@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.plans.broadcast import broadcast_bounded
+from rosterlake.session import ensure_checkpoint_dir
 
 # Action labels of the merge report.
 INSERTED, UPDATED, KEPT = "inserito", "aggiornato", "invariato"
@@ -84,11 +85,13 @@ def assign_ids(merged: DataFrame, id_col: str, order_cols: list[str],
     have = merged.where(F.col(id_col).isNotNull())
     need = merged.where(F.col(id_col).isNull())
     parts = num_partitions or int(merged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = need.repartitionByRange(parts, *order_cols).withColumn("_pid", F.spark_partition_id())
+    ranged = (need.repartitionByRange(num_partitions, *order_cols) if num_partitions
+              else need.repartitionByRange(*order_cols)).withColumn("_pid", F.spark_partition_id())
     local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
     # The range bounds come from a sample of the input, and the input order may
     # vary between evaluations: evaluate the ranked rows once (reliable
     # checkpoint in spark.checkpoint.dir) so counts and ranks agree.
+    ensure_checkpoint_dir(merged.sparkSession)   # the cluster's shared folder, or a scratch one in tests
     local = local.checkpoint(eager=True)
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     offsets = counts.select("_pid", F.coalesce(
