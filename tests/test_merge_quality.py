@@ -158,3 +158,32 @@ def test_season_override_only_for_one_file(spark):
     one = df.select(etl.season_column("/x/a.csv", "2030/31")).first()[0]
     many = df.select(etl.season_column(["/x/a.csv", "/x/b.csv"], "2030/31")).first()[0]
     assert (one, many) == ("2030/31", "2022/23")
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 8)), st.integers(0, 99)), max_size=10),
+       st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 8)), st.integers(100, 199)), max_size=10))
+def test_merge_matches_dict_model(spark, target_rows, source_rows):
+    # target keys are unique (a table with a key); the source may repeat keys: last wins
+    seen, t_rows = set(), []
+    for k, v in target_rows:
+        if k is None or k not in seen:
+            t_rows.append((k, v))
+            seen.add(k)
+    t = spark.createDataFrame(t_rows, "k long, v long")
+    s = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(source_rows)], "k long, v long, o long")
+    got = merge.merge(t, merge.dedupe_last_wins(s, ["k"], "o").drop("o"), ["k"], ["v"]).drop("azione")
+    model = {}
+    nulls = [v for k, v in t_rows if k is None] + [v for k, v in source_rows if k is None]
+    for k, v in t_rows:
+        if k is not None:
+            model[k] = v
+    for k, v in source_rows:
+        if k is not None:
+            model[k] = v
+    want = sorted([(k, v) for k, v in model.items()] + [(None, v) for v in nulls], key=repr)
+    assert sorted(map(tuple, got.collect()), key=repr) == want
