@@ -5,6 +5,8 @@ player (``row_number`` with a group limit, so Spark keeps 4 rows per player on t
 map side before the shuffle) -> one row per player with the 4 ranked values
 pivoted into columns (fixed summation order) -> per-role maxima as a 4-row
 aggregate broadcast back -> ``orderBy(score desc, id).limit`` (top-k, no global sort).
+The per-player rows are checkpointed once, since both the maxima and the ranking
+read them.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from rosterlake.functions.numeric import round_half_up
 from rosterlake.operators.common import free_players
 from rosterlake.plans.broadcast import ROLE_ROWS, broadcast_bounded
+from rosterlake.session import ensure_checkpoint_dir
 
 # Fixed values of the score (must equal the source app's):
 SEASON_WEIGHTS = (3.0, 2.0, 1.0, 0.5)   # newest season first; at most 4 seasons
@@ -60,7 +63,7 @@ def player_form(stats: DataFrame, detail: bool = False) -> DataFrame:
 
 def expected_value(giocatori: DataFrame, stats: DataFrame, asta_log: DataFrame,
                    ruolo: str | None = None, budget_max: float | None = None,
-                   limit: int = 20, detail: bool = False) -> DataFrame:
+                   limit: int = 20, detail: bool = False, materialize: bool = True) -> DataFrame:
     """Score 0-100 of every free player; the best ``limit`` (<= 50) by score, id."""
     limit = min(int(limit), MAX_LIMIT)
     cand = free_players(giocatori, asta_log)
@@ -98,6 +101,12 @@ def expected_value(giocatori: DataFrame, stats: DataFrame, asta_log: DataFrame,
     if detail:
         cols.append("stagioni_dettaglio")
     scored = j.select(*cols)
+    if materialize:
+        # The per-player rows feed both the per-role maxima and the ranking.
+        # One reliable checkpoint (players-sized, in spark.checkpoint.dir)
+        # replaces computing the stats window and aggregate twice.
+        ensure_checkpoint_dir(scored.sparkSession)
+        scored = scored.checkpoint(eager=True)
 
     # Per-role maxima over the filtered candidates; a max of 0 becomes 1. At most
     # one row per role (the ruolo CHECK bounds it), so the broadcast is bounded.
