@@ -222,6 +222,13 @@ def purchase_admission(attempts: DataFrame, census: DataFrame, giocatori: DataFr
         team, "_t0", "_pmin",
         ((F.col("_t1") - F.col("_t0") + 1) / F.ceil(F.col("_n") / chunk_rows)).alias("_grain"))
 
+    if hot.limit(1).count() == 0:
+        # the usual case: no team needs splitting, one pass folds every team whole
+        rows = (e.withColumn("_chunk", F.lit(0).cast("long"))
+                .withColumn("_start_c", F.lit(0).cast("long")).select(*_FOLD_COLS))
+        return by_key(rows).sortWithinPartitions(team, "_chunk", "ts", "id") \
+            .mapInPandas(_fold_partition, RESULT_SCHEMA)
+
     # every row gets its chunk: 0 for ordinary teams, a time slice for hot ones
     chunked = (e.join(hot, team, "left")
                .withColumn("_chunk", F.coalesce(
