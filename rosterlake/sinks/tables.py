@@ -18,7 +18,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterlake.schemas import PARTITION_BY, SCHEMAS
+from rosterlake.schemas import PARTITION_BY, schema_of
 from rosterlake.session import ensure_checkpoint_dir
 
 
@@ -32,12 +32,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def ensure_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     """Create ``name`` at ``path`` empty if it does not exist, then read it."""
     if not _exists(spark, path):
-        empty = spark.createDataFrame([], SCHEMAS[name])
+        empty = spark.createDataFrame([], schema_of(name))
         writer = empty.write.mode("errorifexists")
         if name in PARTITION_BY:
             writer = writer.partitionBy(*PARTITION_BY[name])
         writer.parquet(path)
-    return spark.read.schema(SCHEMAS[name]).parquet(path)
+    return spark.read.schema(schema_of(name)).parquet(path)
 
 
 def write_table(df: DataFrame, name: str, path: str) -> None:
