@@ -198,3 +198,24 @@ def upsert(table: str, target: DataFrame, source: DataFrame, now=None) -> DataFr
             ins[on_update] = F.lit(now)
     update_cols = [c for c in update if c not in upd]
     return merge(target, source, list(keys), update_cols, insert_values=ins, update_values=upd)
+
+
+def cascade_report(children: dict[str, DataFrame], target: DataFrame, file_ids: DataFrame,
+                   key: str = "fanta_id", fk: str = "giocatore_id", pk: str = "id") -> DataFrame:
+    """Per child table: rows a sync would delete with their player, and rows
+    that stay (M12). One player-status table (removed / kept), then a single
+    left join and one aggregate per child. Rows whose player is not in the
+    target at all are neither."""
+    ids = file_ids.select(F.col(key).alias("_fid")).where(F.col("_fid").isNotNull()).distinct()
+    status = (target.join(ids, target[key] == ids._fid, "left")
+              .select(F.col(pk).alias("_pk"),
+                      (F.col(key).isNotNull() & F.col("_fid").isNull()).alias("_removed")))
+    out = None
+    for table, child in children.items():
+        j = child.select(fk).join(status, F.col(fk) == status._pk, "left")
+        part = j.agg(
+            F.count_if(F.col("_removed")).alias("rimosse"),
+            F.count_if(F.col(fk).isNull() | ~F.col("_removed")).alias("mantenute"),
+        ).select(F.lit(table).alias("tabella"), "rimosse", "mantenute")
+        out = part if out is None else out.unionByName(part)
+    return out
