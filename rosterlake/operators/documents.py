@@ -214,3 +214,18 @@ def log_summary(app_logs: DataFrame) -> DataFrame:
         F.count("x.k").alias("n_with_k"),
         round_half_up(F.avg("x.k"), 2).alias("avg_k"),
         F.max("x.k").alias("max_k"))
+
+
+REQUEST_SCHEMA = "method string, path string, status int, ms double"
+
+
+def request_summary(app_logs: DataFrame) -> DataFrame:
+    """Request log rows (``extra`` = {method, path, status, ms}) -> count,
+    errors and latency per path (T2c); approximate percentiles are partial
+    aggregates, so a hot path never lands whole in one task."""
+    r = app_logs.select(F.from_json("extra", REQUEST_SCHEMA).alias("r")).select("r.*")
+    return r.groupBy("method", "path").agg(
+        F.count(F.lit(1)).alias("richieste"),
+        F.count_if(F.col("status") >= 500).alias("errori"),
+        round_half_up(F.avg("ms"), 1).alias("ms_medio"),
+        F.percentile_approx("ms", 0.95).alias("ms_p95"))

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -48,3 +49,14 @@ def admission_stream(attempts: DataFrame, census: DataFrame, giocatori: DataFram
     return e.groupBy("squadra_acquirente").applyInPandasWithState(
         _judge, StructType.fromDDL(RESULT_SCHEMA), StructType.fromDDL(STATE_SCHEMA),
         "append", GroupStateTimeout.NoTimeout)
+
+
+def start_admission(attempts: DataFrame, census: DataFrame, giocatori: DataFrame, judged_path: str,
+                    checkpoint: str, available_now: bool = False,
+                    trigger: str = "1 second") -> StreamingQuery:
+    """Run T1 and append every judged attempt to ``judged_path`` (exactly once
+    through the checkpoint); accepted rows are the asta_log appends (I1)."""
+    w = (admission_stream(attempts, census, giocatori).writeStream.format("parquet")
+         .option("path", judged_path).option("checkpointLocation", checkpoint).outputMode("append"))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
+    return w.start()

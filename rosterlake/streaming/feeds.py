@@ -65,3 +65,17 @@ def current_documents(change_log: DataFrame) -> DataFrame:
     """Latest document per id (I5 upsert semantics) from the append-only log."""
     last = change_log.groupBy("id").agg(F.max_by(F.struct("document", "giocatore_id"), "_batch").alias("d"))
     return last.select("id", "d.document", "d.giocatore_id")
+
+
+def start_scoreboard(purchases: DataFrame, squadre: DataFrame, path: str, checkpoint: str,
+                     trigger: str = SCOREBOARD_TRIGGER, available_now: bool = False) -> StreamingQuery:
+    """Every trigger, write the team board (budget, spent, residual) as a
+    new snapshot under ``path/batch=<id>``; readers take the newest batch."""
+
+    def publish(board: DataFrame, batch_id: int) -> None:
+        scoreboard_with_budget(board, squadre).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    w = (scoreboard(purchases).writeStream.outputMode("complete").foreachBatch(publish)
+         .option("checkpointLocation", checkpoint))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
+    return w.start()

@@ -72,3 +72,35 @@ def test_group_limits_and_pushdown(spark):
     pushed = pushed_filters(m.asta_log)
     # (the plan text cuts long filter lists: match the stable prefix)
     assert any("EqualTo(l_linenumber,7)" in f and "GreaterThanOrEqual(l_qu" in f for f in pushed)
+
+
+def test_request_summary(spark):
+    from rosterlake.operators import documents
+    logs = spark.createDataFrame([
+        ('{"method": "GET", "path": "/a", "status": 200, "ms": 10}',),
+        ('{"method": "GET", "path": "/a", "status": 503, "ms": 30}',),
+        ('{"method": "POST", "path": "/b", "status": 201, "ms": 5}',),
+        ('not json',)], "extra string")
+    got = {(r.method, r.path): (r.richieste, r.errori, r.ms_medio) for r in documents.request_summary(logs).collect()}
+    assert got == {("GET", "/a"): (2, 1, 20.0), ("POST", "/b"): (1, 0, 5.0), (None, None): (1, 0, None)}
+
+
+def test_start_scoreboard_and_admission(spark, tmp_path):
+    m = LeagueModel(spark, SF_SMALL)
+    src = tmp_path / "asta"
+    m.asta_log.write.parquet(str(src))
+    stream = spark.readStream.schema(m.asta_log.schema).parquet(str(src))
+    feeds.start_scoreboard(stream, m.squadre, str(tmp_path / "board"), str(tmp_path / "ckb"),
+                           available_now=True).awaitTermination(120)
+    board = spark.read.parquet(str(tmp_path / "board"))
+    assert board.select("batch").distinct().count() >= 1
+    from rosterlake.streaming.admission import start_admission
+    att = tmp_path / "att"
+    m.purchase_attempts.write.parquet(str(att))
+    s = spark.readStream.schema(m.purchase_attempts.schema).parquet(str(att))
+    start_admission(s, m.auction_census, m.giocatori, str(tmp_path / "judged"), str(tmp_path / "cka"),
+                    available_now=True).awaitTermination(180)
+    judged = spark.read.parquet(str(tmp_path / "judged"))
+    want = E.queries()["purchase_admission"](spark, SF_SMALL)
+    key = ["id", "accepted", "reason", "residuo_prima"]
+    assert sorted(map(tuple, judged.select(*key).collect())) == sorted(map(tuple, want.select(*key).collect()))
