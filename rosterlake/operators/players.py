@@ -89,7 +89,9 @@ def compare_players(giocatori: DataFrame, stats: DataFrame, ids=None) -> DataFra
     Stats are aggregated per player before the join (join key = group key).
     """
     if ids is not None:
-        ids = [int(str(i).strip()) for i in ids][:MAX_COMPARED]
+        if isinstance(ids, str):          # "1, 2,3" as in the source app's query string
+            ids = ids.split(",")
+        ids = [int(str(i).strip()) for i in ids][:MAX_COMPARED]  # a bad integer raises
     g = _only(giocatori, "id", ids)
     s = _only(stats, "giocatore_id", ids).groupBy(F.col("giocatore_id").alias("_sid")).agg(
         F.avg("fantamedia").alias("_fm"), F.avg("media_voto").alias("_mv"),

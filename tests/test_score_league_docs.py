@@ -125,3 +125,7 @@ def test_recent_messages_and_compare_ids(spark):
                                   "presenze int, gol int, assist int, ammonizioni int")
     ids = [r.id for r in players.compare_players(g, s, ["1", " 2", "2", "5", "6"]).collect()]
     assert sorted(ids) == [1, 2, 5]          # first four of the list, duplicates count
+    assert sorted(r.id for r in players.compare_players(g, s, "3, 4,4,6,1").collect()) == [3, 4, 6]
+    import pytest
+    with pytest.raises(ValueError):
+        players.compare_players(g, s, "1,x")
