@@ -23,7 +23,7 @@ from rosterlake.operators.quality import missing_columns
 from rosterlake.plans.broadcast import broadcast_bounded
 
 PRICE_CSV_SCHEMA = "nome string, ruolo string, squadra string, quotazione double"
-HEADER_FIRST_CELL = "Id"  # fixed value: both sheets start their header with the Id column
+HEADER_CELL = "Id"  # fixed value: the header row is the row with an "Id" cell (data rows hold numbers)
 
 
 def _as_list(paths) -> list[str]:
@@ -61,10 +61,10 @@ def read_sheets(spark: SparkSession, paths, required) -> DataFrame:
     # 1. The header line of each file (one per file, so bounded by the file
     #    list) decides the width and the names; parsed on the driver.
     lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_path"))
-    first = F.trim(F.split("value", ",").getItem(0))
-    headers = lines.where(first == HEADER_FIRST_CELL).select("_path", "value").distinct().collect()
+    has_id = F.array_contains(F.transform(F.split("value", ","), lambda x: F.trim(x)), HEADER_CELL)
+    headers = lines.where(has_id).select("_path", "value").distinct().collect()
     if not headers:
-        raise ValueError("no header row (first cell 'Id') found")
+        raise ValueError("no header row (a row with an 'Id' cell) found")
     layouts: dict[tuple, list[str]] = {}
     for row in headers:
         names = tuple(n.strip() for n in next(csv.reader([row["value"]])))
@@ -79,7 +79,8 @@ def read_sheets(spark: SparkSession, paths, required) -> DataFrame:
     raw = (spark.read.schema(", ".join(f"{c} string" for c in cells))
            .option("header", False).option("encoding", "UTF-8").csv(paths))
     raw = raw.select(*cells, F.col("_metadata.file_path").alias("_path"), _ordinal(paths).alias("_ordinal"))
-    is_header = F.coalesce(F.trim(F.col(cells[0])) == HEADER_FIRST_CELL, F.lit(False))
+    is_header = F.coalesce(F.array_contains(F.array(*[F.trim(F.col(c)) for c in cells]), HEADER_CELL),
+                           F.lit(False))
     others_empty = F.lit(True)
     for c in cells[1:]:
         others_empty = others_empty & F.col(c).isNull()

@@ -112,3 +112,14 @@ def test_team_roster_words(spark):
     assert search.team_roster(asta, g, sq, "   ").count() == 0
     assert [r.nome for r in search.team_roster(asta, g, sq, "mar xyz").collect()] == ["Ab_c"]
     assert search.team_roster(asta, g, sq, "orsi lupi").count() == 2
+
+
+def test_sheets_with_different_column_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Listone A\nId,R,Nome,Squadra,Qt.A,Qt.I,FVM\n1,P,Rossi,Inter,10,9,30\n")
+    (tmp_path / "b.csv").write_text("Listone B\nNome,Id,Squadra,R,FVM,Qt.I,Qt.A,Extra\nVerdi,2,Milan,D,40,7,8,x\n")
+    raw = sheets.read_sheets(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], etl.PRICE_LIST_REQUIRED)
+    got = {r.fanta_id: (r.nome, r.ruolo, r.quotazione_attuale, r.fvm)
+           for r in etl.price_list_transform(raw).collect()}
+    assert got == {1: ("Rossi", "P", 10.0, 30.0), 2: ("Verdi", "D", 8.0, 40.0)}
+    titles = {r._title for r in raw.select("_title").collect()}
+    assert titles == {"Listone A", "Listone B"}
