@@ -219,3 +219,20 @@ def cascade_report(children: dict[str, DataFrame], target: DataFrame, file_ids:
         ).select(F.lit(table).alias("tabella"), "rimosse", "mantenute")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def upsert_players_from_csv(players: DataFrame, csv_rows: DataFrame, now=None) -> DataFrame:
+    """M2: the hand-made CSV (nome, ruolo, squadra, quotazione, _ordinal) keyed
+    on (nome, squadra): a match updates only quotazione_attuale; a new player
+    gets both quotations from the file, fanta_id and fvm stay NULL. Repeated
+    rows of the file: last wins. New players need ids: ``assign_ids``."""
+    src = dedupe_last_wins(csv_rows, ["nome", "squadra"], "_ordinal").drop("_ordinal")
+    q = F.col("s_quotazione")
+    ins = {"quotazione_iniziale": q, "quotazione_attuale": q}
+    upd = {"quotazione_attuale": q}
+    if now is not None and "aggiornato_il" in players.columns:
+        upd["aggiornato_il"] = F.lit(now)
+        ins["aggiornato_il"] = F.lit(now)
+        if "creato_il" in players.columns:
+            ins["creato_il"] = F.lit(now)
+    return merge(players, src, ["nome", "squadra"], [], insert_values=ins, update_values=upd)

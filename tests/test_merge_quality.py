@@ -187,3 +187,17 @@ def test_merge_matches_dict_model(spark, target_rows, source_rows):
             model[k] = v
     want = sorted([(k, v) for k, v in model.items()] + [(None, v) for v in nulls], key=repr)
     assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
+def test_upsert_players_from_csv(spark, tmp_path):
+    from rosterlake.sources import sheets
+    p = tmp_path / "prezzi.csv"
+    p.write_text("nome,ruolo,squadra,quotazione\nRossi,P,Inter,10\nRossi,P,Inter,12\nNeri,D,Roma,5\n")
+    players = spark.createDataFrame([(1, 10, "Rossi", "P", "Inter", 4.0, 4.0, 30.0)],
+                                    "id long, fanta_id long, nome string, ruolo string, squadra string, "
+                                    "quotazione_iniziale double, quotazione_attuale double, fvm double")
+    m = merge.upsert_players_from_csv(players, sheets.read_price_csv(spark, str(p)))
+    m = merge.assign_ids(m, "id", ["nome", "squadra"])
+    got = {r.nome: (r.id, r.fanta_id, r.quotazione_iniziale, r.quotazione_attuale, r.fvm, r.ruolo)
+           for r in m.collect()}
+    assert got == {"Rossi": (1, 10, 4.0, 12.0, 30.0, "P"), "Neri": (2, None, 5.0, 5.0, None, "D")}
