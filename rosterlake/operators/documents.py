@@ -126,7 +126,9 @@ def nearest_vectors(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_
     if n_q == 0:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, similarity double")
     schema = f"query_id long, {id_col} long, similarity double"
-    c = corpus.select(id_col, vec_col)
+    dim = queries.select(F.max(F.size("query_vector"))).first()[0]  # one scalar
+    # vectors that are missing or of another length cannot be scored: left out
+    c = corpus.select(id_col, vec_col).where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim))
     passes = []
     # Hash buckets of about half the pass size each: no global ordering of the
     # query set is needed, and each collect is checked against its bound.

@@ -129,3 +129,11 @@ def test_recent_messages_and_compare_ids(spark):
     import pytest
     with pytest.raises(ValueError):
         players.compare_players(g, s, "1,x")
+
+
+def test_nearest_vectors_skips_null_and_bad_length(spark):
+    emb = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0, 0.0, 0.0]), (5, [0.6, 0.8])],
+                                "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, query_vector array<double>")
+    got = [(r.rank, r.vec_id) for r in documents.nearest_vectors(emb, q, 2).orderBy("rank").collect()]
+    assert got == [(1, 1), (2, 5)]
