@@ -45,6 +45,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def is_classic(spark: SparkSession) -> bool:
+    """True for a classic session (with a SparkContext), False for Spark Connect."""
+    try:
+        spark.sparkContext  # noqa: B018 - raises on Spark Connect
+        return True
+    except Exception:  # noqa: BLE001
+        return False
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, creating a scratch one only when unset.
 
@@ -52,6 +61,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A local scratch folder is only ever made for local runs (tests, bench).
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
+    if not is_classic(spark):
+        return current  # Spark Connect: the server's own setting applies
     if not current:
         current = spark.sparkContext.getCheckpointDir() or None
     if not current:
@@ -69,8 +80,9 @@ def ship_package(spark: SparkSession) -> None:
     ``--py-files``): operators with Python code in tasks (``mapInPandas``,
     ``applyInPandas*``) call this once per SparkContext. A cluster that already
     ships the package (wheel, ``--py-files``) is unaffected."""
-    sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    classic = is_classic(spark)
+    key = id(spark.sparkContext) if classic else id(spark)
+    if key in _SHIPPED:
         return
     import zipfile
     from pathlib import Path
@@ -80,5 +92,8 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for f in pkg.rglob("*.py"):
             z.write(f, f.relative_to(pkg.parent).as_posix())
-    sc.addPyFile(str(out))
-    _SHIPPED.add(id(sc))
+    if classic:
+        spark.sparkContext.addPyFile(str(out))
+    else:
+        spark.addArtifacts(str(out), pyfile=True)
+    _SHIPPED.add(key)

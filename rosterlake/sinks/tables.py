@@ -19,14 +19,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from rosterlake.schemas import PARTITION_BY, schema_of
-from rosterlake.session import ensure_checkpoint_dir
+from rosterlake.session import ensure_checkpoint_dir, is_classic
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
+    if is_classic(spark):
+        hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
+    try:  # Spark Connect: no JVM handle on the client
+        spark.read.parquet(path).schema  # noqa: B018
+        return True
+    except Exception:  # noqa: BLE001
+        return False
 
 
 def ensure_table(spark: SparkSession, name: str, path: str) -> DataFrame:
