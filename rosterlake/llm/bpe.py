@@ -304,3 +304,12 @@ def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=[*base, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.mapInArrow(emit, schema)
+
+
+def digests(encoded: DataFrame) -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 beside the columns of ``encode_documents``."""
+    return encoded.withColumns({
+        "n_tokens": F.size("ids").cast("long"),
+        "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256),
+        "decoded_sha256": F.sha2("decoded", 256),
+    })

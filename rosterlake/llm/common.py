@@ -98,6 +98,17 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, dtype=np.int64) - (ends - lengths), lengths)
 
 
+def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the runs of equal rows in sorted key columns."""
+    n = len(keys[0])
+    if n == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.ones(n, dtype=bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    begin = np.flatnonzero(new)
+    return begin, np.append(begin[1:], n)
+
+
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Mask of length ``n`` of the positions inside any [s, s + width)."""
     if n == 0 or len(starts) == 0:

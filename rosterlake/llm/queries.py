@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, language_id, line_dedup, quality_rules
+from . import bpe, decontaminate, html_extract, language_id, line_dedup, quality_rules, substring_dedup
 from .common import table
 
 # Where the public tokenizer files lie; the file goes from the driver to the tasks.
@@ -26,6 +26,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_digests(docs, tokenizer_path())
@@ -62,7 +67,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_bpe, op4_decontaminate, op7_quality_rules, op8_language_id, op9_line_dedup, op10_html_extract)}
+    op1_substring_dedup, op3_bpe, op4_decontaminate, op7_quality_rules, op8_language_id, op9_line_dedup, op10_html_extract)}
 
 _WS = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -133,4 +138,18 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN
 FROM m GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op4_decontaminate": _OP4, "op7_quality_rules": _op7_sql(), "op9_line_dedup": _OP9}
+_OP1 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+     win AS (SELECT doc_id, k, md5(array_to_string(w[k : k + 19], ' ')) AS s FROM (
+             SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS k FROM d WHERE len(w) >= 20)),
+     late AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS r FROM win) WHERE r > 1),
+     gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(generate_series(k, k + 19)) AS p FROM late)),
+     words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+     kept AS (SELECT words.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY words.p) AS t
+              FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL = {"op1_substring_dedup": _OP1, "op4_decontaminate": _OP4, "op7_quality_rules": _op7_sql(), "op9_line_dedup": _OP9}
