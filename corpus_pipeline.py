@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import bpe, decontaminate, line_dedup, quality_rules
+from rosterlake.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_rules
 from rosterlake.llm.common import stored, table
 from rosterlake.llm.queries import tokenizer_path
 
@@ -35,6 +35,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _renewed(docs, line_dedup.dedup_lines(docs), "kept_text")
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of linked documents the one with the smallest doc_id stays."""
+    groups = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
+    gone = groups.filter("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go; documents that are mostly benchmark go whole."""
     return _renewed(docs, decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark")), "text")
@@ -47,7 +54,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality rules", quality), ("line dedup", lines), ("benchmark decontamination", benchmark), ("bpe", tokens)]
+    ("quality rules", quality), ("line dedup", lines), ("near copies", near_copies),
+    ("benchmark decontamination", benchmark), ("bpe", tokens)]
 
 # SQL can't express the merges of the last stage: tested against brute force.
 ORACLE_SQL: str | None = None

@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, jaccard_join, language_id, line_dedup, quality_rules, substring_dedup
+from . import bpe, decontaminate, html_extract, jaccard_join, language_id, line_dedup, quality_rules, substring_dedup, suffix_dedup
 from .common import table
 
 # Where the public tokenizer files lie; the file goes from the driver to the tasks.
@@ -31,6 +31,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.dedup_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_digests(docs, tokenizer_path())
@@ -71,7 +76,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op3_bpe, op4_decontaminate, op5_jaccard_join, op7_quality_rules, op8_language_id, op9_line_dedup, op10_html_extract)}
+    op1_substring_dedup, op2_suffix_dedup, op3_bpe, op4_decontaminate, op5_jaccard_join, op7_quality_rules, op8_language_id, op9_line_dedup, op10_html_extract)}
 
 _WS = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"

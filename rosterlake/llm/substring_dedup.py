@@ -98,6 +98,51 @@ class Sketch:
             c = mix(hashes ^ np.uint64(0xA0761D6478BD642F * (row + 1) & (1 << 64) - 1)) & np.uint64(self.width - 1)
             yield (c // np.uint64(self.block)).astype(np.int64) + row * self.blocks, (c % np.uint64(self.block)).astype(np.uint32)
 
+    def table(self, chunk: int, hashes: np.ndarray) -> pa.Table:
+        """One chunk's sketch: per block the occupied cells, and which were hit more than once."""
+        blocks, once, more = [], [], []
+        for block, cell in self.cells(hashes) if len(hashes) else ():
+            order = np.lexsort((cell, block))
+            block, cell = block[order], cell[order]
+            for a, b in zip(*runs(block), strict=True):
+                c, n = np.unique(cell[a:b], return_counts=True)
+                blocks.append(int(block[a]))
+                once.append(c.tobytes())
+                more.append(np.flatnonzero(n > 1).astype(np.uint32).tobytes())
+        return pa.table({"block": pa.array(blocks, pa.int64()), "chunk": pa.array([chunk] * len(blocks), pa.int32()),
+                         "cells": pa.array(once, pa.binary()), "more": pa.array(more, pa.binary())})
+
+    def merge_block(self, table: pa.Table) -> pa.Table:
+        """All chunks' parts of one block: back to each chunk go its cells with a merged count of two or more."""
+        counts = np.zeros(self.block, dtype=np.uint8)
+        parts = [np.frombuffer(c, np.uint32) for c in table.column("cells").to_pylist()]
+        for c, m in zip(parts, table.column("more").to_pylist(), strict=True):
+            counts[c] = np.minimum(counts[c] + 1, 2)
+            counts[c[np.frombuffer(m, np.uint32)]] = 2
+        hot = pa.array([c[counts[c] > 1].tobytes() for c in parts], pa.binary())
+        out = pa.table({"chunk": table.column("chunk"), "doc_id": pa.nulls(len(parts), pa.int64()), "block": table.column("block"), "data": hot})
+        return out.filter(pa.compute.greater(pa.compute.binary_length(hot), 0))
+
+    def marked(self, notes: pa.Table) -> list[np.ndarray]:
+        """Per row the sorted cells that came back to a chunk (rows of block -1 are other notes)."""
+        cells = notes.filter(pa.compute.greater_equal(notes.column("block"), 0))
+        rows: list[list[np.ndarray]] = [[] for _ in range(self.depth)]
+        for block, data in zip(cells.column("block").to_pylist(), cells.column("data").to_pylist(), strict=True):
+            row, at = divmod(block, self.blocks)
+            rows[row].append(np.frombuffer(data, np.uint32).astype(np.uint64) + np.uint64(at * self.block))
+        return [np.sort(np.concatenate(r)) if r else np.zeros(0, np.uint64) for r in rows]
+
+    def repeated(self, marked: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
+        """Which hashes have an estimate (the least of their cells) of two or more."""
+        keep = np.ones(len(hashes), dtype=bool)
+        for row, (block, cell) in enumerate(self.cells(hashes)):
+            if not len(marked[row]):
+                return np.zeros(len(hashes), dtype=bool)
+            value = (block - row * self.blocks).astype(np.uint64) * np.uint64(self.block) + cell
+            at = np.minimum(np.searchsorted(marked[row], value), len(marked[row]) - 1)
+            keep &= marked[row][at] == value
+        return keep
+
 
 def _slices(table: pa.Table, copies: set[int]) -> Iterator[tuple[list[int], list[list[bytes]]]]:
     """(doc ids, words) of a chunk's documents that take part, in bounded slices."""
@@ -155,54 +200,23 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
             place, h = anchors(w, w.starts(width), width, anchor, hasher)
             if len(place):
                 found.append(h[np.concatenate([[True], place[1:] != place[:-1]])])   # places never go back
-        blocks, once, more = [], [], []
-        if found:
-            for block, cell in sketch.cells(np.concatenate(found)):
-                order = np.lexsort((cell, block))
-                block, cell = block[order], cell[order]
-                for a, b in zip(*runs(block), strict=True):
-                    c, n = np.unique(cell[a:b], return_counts=True)
-                    blocks.append(int(block[a]))
-                    once.append(c.tobytes())
-                    more.append(np.flatnonzero(n > 1).astype(np.uint32).tobytes())
-        return pa.table({"block": pa.array(blocks, pa.int64()), "chunk": pa.array([key[0].as_py()] * len(blocks), pa.int32()),
-                         "cells": pa.array(once, pa.binary()), "more": pa.array(more, pa.binary())})
+        return sketch.table(key[0].as_py(), np.concatenate(found) if found else np.zeros(0, np.uint64))
 
     sketches = grouped.cogroup(copies.groupBy("chunk")).applyInArrow(local_sketch, "block long, chunk int, cells binary, more binary")
 
-    def merge_block(table: pa.Table) -> pa.Table:
-        counts = np.zeros(sketch.block, dtype=np.uint8)
-        parts = [np.frombuffer(c, np.uint32) for c in table.column("cells").to_pylist()]
-        for c, m in zip(parts, table.column("more").to_pylist(), strict=True):
-            counts[c] = np.minimum(counts[c] + 1, 2)
-            counts[c[np.frombuffer(m, np.uint32)]] = 2
-        hot = [c[counts[c] > 1].tobytes() for c in parts]
-        return pa.table({"chunk": table.column("chunk"), "doc_id": pa.nulls(len(parts), pa.int64()),
-                         "block": table.column("block"), "data": pa.array(hot, pa.binary())}).filter(
-                             pa.compute.greater(pa.compute.binary_length(pa.array(hot, pa.binary())), 0))
-
     kind = "chunk int, doc_id long, block long, data binary"
-    hot = sketches.groupBy("block").applyInArrow(merge_block, kind)
+    hot = sketches.groupBy("block").applyInArrow(lambda t: sketch.merge_block(t), kind)
 
     def candidates(key, table: pa.Table, notes: pa.Table) -> pa.Table:
         skip, hashes, hasher = _copies(notes), WordHashes(), WindowHash(BASE3)
         first, second = WindowHash(BASE1), WindowHash(BASE2)
-        cells = notes.filter(pa.compute.greater_equal(notes.column("block"), 0))
-        by_row: list[list[np.ndarray]] = [[] for _ in range(depth)]
-        for block, data in zip(cells.column("block").to_pylist(), cells.column("data").to_pylist(), strict=True):
-            row, at = divmod(block, sketch.blocks)
-            by_row[row].append(np.frombuffer(data, np.uint32).astype(np.uint64) + np.uint64(at * sketch.block))
-        marked = [np.sort(np.concatenate(r)) if r else np.zeros(0, np.uint64) for r in by_row]
+        marked = sketch.marked(notes)
         h1, h2, doc, at = [], [], [], []
         for ids, words in _slices(table, skip):
             w = _Words(words, hashes)
             starts = w.starts(width)
             place, h = anchors(w, starts, width, anchor, hasher)
-            keep = np.ones(len(starts), dtype=bool)
-            for row, (block, cell) in enumerate(sketch.cells(h)):
-                value = (block - row * sketch.blocks).astype(np.uint64) * np.uint64(sketch.block) + cell
-                k = np.searchsorted(marked[row], value)
-                keep &= (k < len(marked[row])) & (marked[row][np.minimum(k, len(marked[row]) - 1)] == value) if len(marked[row]) else False
+            keep = sketch.repeated(marked, h)
             starts = starts[keep]
             if len(starts):
                 owner = w.owner[starts]
