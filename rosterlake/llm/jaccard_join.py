@@ -231,14 +231,14 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, frag
     matched = (heads.filter(rare).repartition("token").sortWithinPartitions("token")
                .mapInArrow(_keep_shared, "token long, cid long, pos int"))
     facts = real.join(classes.select("cid", F.col("rep").alias("doc_id")), ["cid", "doc_id"]).select(
-        "cid", "n", "share", F.element_at("head", -1).alias("last"))
+        "cid", "n", "share")
     shared = stored(matched.unionByName(heads.filter(~rare)).join(facts.dropDuplicates(["cid"]), "cid"), "shared")
 
     # round 1: every class with the hub of each of its shared shingles
     hubs = shared.groupBy("token").agg(F.max(F.struct("share", F.col("cid").alias("y"))).alias("hub")).select("token", "hub.y")
     hub_rows = shared.join(hubs, "token").filter("cid = y").select(
-        "token", "y", F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("last").alias("ly"))
-    left = shared.select("token", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("last").alias("lx"))
+        "token", "y", F.col("n").alias("ny"), F.col("pos").alias("py"))
+    left = shared.select("token", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
     near = left.join(hub_rows, "token").filter("x <> y")
     found = stored(_links(_possible(near, percent), docs, classes, sent, n, percent, fragments), "links")
 
@@ -251,7 +251,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, frag
              .filter("k > 1").select("token", F.col("top.root").alias("major")))
     there = placed.join(mixed, "token")
     side = lambda s: there.select("token", "major", F.col("cid").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"),
-                                  F.col("last").alias(f"l{s}"), F.col("root").alias(f"r{s}"))
+                                  F.col("root").alias(f"r{s}"))
     across = (side("x").filter("rx <> major").join(side("y").drop("major"), "token")
               .filter("rx <> ry and (ry = major or x < y)"))
     more = _links(_possible(across, percent), docs, classes, sent, n, percent, fragments)
@@ -268,17 +268,15 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, frag
 def _possible(matches: DataFrame, percent: int) -> DataFrame:
     """Pairs whose partial overlap in the head fragment leaves the threshold in reach.
 
-    ``matches`` has a row for each head shingle that x and y share. Up to the last
-    one both heads are known, and the head that ends first holds no further match
-    up to its end: what is left on either side bounds the rest."""
+    ``matches`` has a row for each head shingle that x and y share, with its places.
+    Sizes fix the least overlap, so a pair that links shares one of the first
+    ``size - least + 1`` shingles on both sides; matches behind those places are left
+    out. All matches up to the last one are counted, and what stands behind it on
+    either side bounds the rest."""
     need = f"ceil({percent} * (nx + ny) / {100 + percent}D - 1e-9)"
-    lengths = f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
+    early = f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and px <= nx - {need} and py <= ny - {need}"
     # one way round, so that a pair's matches are all counted together
     pick = lambda a, b: F.when(F.col("x") < F.col("y"), F.col(a)).otherwise(F.col(b))
-    turned = matches.filter(lengths).select(*(pick(p + a, p + b).alias(p + a) for p in ("", "n", "p", "l") for a, b in (("x", "y"), ("y", "x"))))
-    sums = turned.groupBy("x", "y", "nx", "ny", "lx", "ly").agg(
-        F.count("*").alias("c"), (F.max("px") + 1).alias("ax"), (F.max("py") + 1).alias("ay"))
-    head = lambda n: f"({n} - ceil({percent} * {n} / 100D - 1e-9) + 1)"
-    room_x = f"nx - if(lx <= ly, greatest(ax, {head('nx')}), ax)"
-    room_y = f"ny - if(ly <= lx, greatest(ay, {head('ny')}), ay)"
-    return sums.filter(f"c + least({room_x}, {room_y}) >= {need}")
+    turned = matches.filter(early).select(*(pick(p + a, p + b).alias(p + a) for p in ("", "n", "p") for a, b in (("x", "y"), ("y", "x"))))
+    sums = turned.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.max("px").alias("px"), F.max("py").alias("py"))
+    return sums.filter(f"c + least(nx - px - 1, ny - py - 1) >= {need}")
