@@ -1,7 +1,7 @@
 """BPE by backtracking over longest token matches.
 
-One Aho-Corasick pass over a word gives the longest token that starts at every
-place. The encoder walks left to right with the longest match, keeps a token
+An Aho-Corasick automaton of the vocabulary gives the longest token that starts
+at a place. The encoder walks left to right with the longest match, keeps a token
 only if it is compatible with the one before it (the pair could not have been
 merged, or split differently, by the merge ranks), and else tries the next
 shorter token or goes back one token; a bit per place marks dead ends, so every
@@ -20,7 +20,6 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, plus, prepare, ranges, sha256_hex, text_slices
 
-MAX_CACHED_WORDS = 200_000
-MAX_CACHED_WORD_BYTES = 64
+MAX_CACHED_WORDS = 80_000     # a generation of the cache
+MAX_CACHED_PAIRS = 80_000
+SLICE = 1 << 20              # text bytes encoded at a time
 LATIN = 0x180           # below this code point all Unicode versions agree
 BLANKS = "\\x09-\\x0d\\x20\\x85\\xa0"   # white space below it
 
@@ -46,19 +46,22 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class _Cache(dict):
-    """word -> token ids of the words seen; emptied when full."""
+    """Memory of a function over two generations: a full one becomes the old one,
+    so what is met often stays and at most twice ``limit`` entries are held."""
 
-    def __init__(self, encode):
+    def __init__(self, function, limit: int):
         super().__init__()
-        self.encode = encode
+        self.function, self.limit, self.old = function, limit, {}
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.encode(word)
-        if len(word) <= MAX_CACHED_WORD_BYTES:
-            if len(self) >= MAX_CACHED_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.function(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Bpe:
@@ -89,34 +92,36 @@ class Bpe:
         for b, c in alphabet.items():
             self.base[chr(b)] = vocab[c]
             self.base[chr(256 + b)] = vocab[c + self.suffix]
-        self.rank, self.left, self.right, self.pairs = {}, {}, {}, {}
+        size = max(vocab.values()) + 1
+        self.rank, self.left, self.right = [-1] * size, [-1] * size, [-1] * size    # -1: a single symbol
+        self.pairs = {}                                                               # (left, right) -> rank of their merge
         symbols = {i: s for s, i in self.base.items()}
-        for r, (a, b) in enumerate(tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]):
+        for r, m in enumerate(model["merges"]):
+            a, b = m.split(" ") if isinstance(m, str) else m
             ia, ib, ic = vocab[a], vocab[b], vocab[a + b]
-            self.rank[ic], self.left[ic], self.right[ic], self.pairs[ia, ib] = r, ia, ib, ic
+            self.rank[ic], self.left[ic], self.right[ic], self.pairs[ia, ib] = r, ia, ib, r
             symbols[ic] = symbols[ia] + symbols[ib]
-        self.symbols = symbols
-        self.length = {i: len(s) for i, s in symbols.items()}
         # a token that its own merges never make can't be in any result
         self.reach = set(self.base.values())
-        for i in sorted(self.rank, key=self.rank.__getitem__):
+        for i in sorted((i for i in symbols if self.rank[i] >= 0), key=self.rank.__getitem__):
             if self.left[i] in self.reach and self.right[i] in self.reach and self.compatible(self.left[i], self.right[i], self.rank[i]):
                 self.reach.add(i)
         by_symbols = {symbols[i]: i for i in self.reach}
-        # matching runs on reversed words: a match that ends at a place there starts at it here
-        auto = ahocorasick.Automaton()
+        self.forward = ahocorasick.Automaton()
         for s, i in by_symbols.items():
-            auto.add_word(s[::-1], i)
-        auto.make_automaton()
-        self.auto = auto
-        self.shorter: dict[int, int] = {}
+            self.forward.add_word(s, i)
+        self.forward.make_automaton()
+        self.shorter = [-1] * (max(symbols) + 1)     # the longest token that a token begins with
+        self.length = [0] * (max(symbols) + 1)
         for s, i in by_symbols.items():
+            self.length[i] = len(s)
             for k in range(len(s) - 1, 0, -1):
                 if (j := by_symbols.get(s[:k])) is not None:
                     self.shorter[i] = j
                     break
-        self.word_cache, self.chunk_cache = _Cache(self.encode_word), _Cache(self.encode_chunk)
-        self._spec, self._library = spec, None
+        self.pair_ok = _Cache(lambda pair: self.compatible(*pair), MAX_CACHED_PAIRS)
+        self.word_cache, self.chunk_cache = _Cache(self.encode_word, MAX_CACHED_WORDS), _Cache(self.encode_chunk, MAX_CACHED_WORDS)
+        self._spec, self._library = {k: v for k, v in spec.items() if k != "model"}, None
         self.decimals = [str(i) for i in range(len(self.offsets) - 1)]
 
     def _classes(self, split: str) -> None:
@@ -145,37 +150,45 @@ class Bpe:
         before the merges that are still done."""
         rank, left, right, pairs = self.rank, self.left, self.right, self.pairs
         while True:
-            c = pairs.get((a, b))
-            if c is not None and rank[c] < limit:
+            r = pairs.get((a, b))
+            if r is not None and r < limit:
                 return False
-            ra, rb = rank.get(a, -1), rank.get(b, -1)
-            if ra < 0 and rb < 0:
-                return True
+            ra, rb = rank[a], rank[b]
             if ra > rb:          # a was made later: before that, its right half stood here
                 limit, a = ra, right[a]
+            elif rb < 0:         # two single symbols
+                return True
             else:                # on a tie both were made by the same merge, left one first
                 limit, b = rb + 1, left[b]
 
     def encode_symbols(self, word: str) -> list[int]:
-        n = len(word)
-        longest = [-1] * n
-        for end, i in self.auto.iter(word[::-1]):   # at each end the longest comes first
-            if longest[n - 1 - end] < 0:
-                longest[n - 1 - end] = i
-        length, shorter, ok = self.length, self.shorter, self._ok
+        """The merge result. Longest matches from left to right are tried first: a
+        row of tokens is the result exactly if every neighbour pair is compatible."""
+        ok = self.pair_ok
+        out = [i for _, i in self.forward.iter_long(word)]
+        if all(map(ok.__getitem__, zip(out, out[1:]))) and sum(map(self.length.__getitem__, out)) == len(word):
+            return out
+        return self._backtrack(word)
+
+    def _backtrack(self, word: str) -> list[int]:
+        n, matches = len(word), self.forward.iter_long
+        longest: dict[int, int] = {}                # of the places come to: the first match from there on
+        length, shorter, ok = self.length, self.shorter, self.pair_ok
         alive = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, token = 0, next(matches(word))[1]
         while at < n:
-            last = out[-1] if out else None
             while True:
                 end = at + length[token]
-                if alive[end] and (last is None or ok(last, token)):
+                if alive[end] and (not out or ok[out[-1], token]):
                     out.append(token)
                     at = end
-                    token = longest[at] if at < n else 0
+                    if at < n:
+                        token = longest.get(at, -1)
+                        if token < 0:
+                            token = longest[at] = next(matches(word, at))[1]
                     break
-                token = shorter.get(token, -1)
+                token = shorter[token]
                 if token < 0:                    # dead end: give this place up and go back
                     alive[at] = 0
                     token = out.pop()
@@ -183,13 +196,10 @@ class Bpe:
                     break
         return out
 
-    @lru_cache(maxsize=1 << 17)  # noqa: B019 - one encoder a worker
-    def _ok(self, a: int, b: int) -> bool:
-        return self.compatible(a, b)
-
     def encode_word(self, word: str) -> list[int]:
-        raw = word.encode()
-        return self.encode_symbols(raw[:-1].decode("latin-1") + chr(256 + raw[-1]))
+        if not word.isascii():
+            word = word.encode().decode("latin-1")
+        return self.encode_symbols(word[:-1] + chr(256 + ord(word[-1])))
 
     def encode_chunk(self, chunk: str) -> list[int]:
         """A run of text between blanks: no alternative of the split pattern
@@ -270,7 +280,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(sent.value)
         for batch in batches:
-            for part, texts in text_slices(batch, "_b_text"):
+            for part, texts in text_slices(batch, "_b_text", SLICE):
                 ids = [np.array(bpe.encode(t.decode("utf-8", "replace")), dtype=np.int32) if t else np.zeros(0, np.int32) for t in texts]
                 decoded = [bpe.decode(x).decode() for x in ids]
                 off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -295,7 +305,7 @@ def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         bpe = loaded(sent.value)
         dec = bpe.decimals
         for batch in batches:
-            for part, texts in text_slices(batch, "_b_text"):
+            for part, texts in text_slices(batch, "_b_text", SLICE):
                 ids = [bpe.encode(t.decode("utf-8", "replace")) if t else [] for t in texts]
                 cols = [part.column(k) for k in range(len(base))]
                 cols += [pa.array([len(x) for x in ids], pa.int64()),

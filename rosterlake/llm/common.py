@@ -62,13 +62,13 @@ def slices(lengths: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         a = b
 
 
-def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """(rows, texts) of a batch in slices of bounded text size."""
     if batch.num_rows == 0:
         return
     col = batch.column(batch.schema.get_field_index(column))
     lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0))
-    for a, b in slices(lengths):
+    for a, b in slices(lengths, limit):
         part = batch.slice(a, b - a)
         yield part, part.column(part.schema.get_field_index(column)).to_pylist()
 

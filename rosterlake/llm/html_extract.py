@@ -301,7 +301,8 @@ def train(pages: DataFrame, max_pages: int = MAX_TRAIN_PAGES) -> PageModel:
     """Count the tables on at most ``max_pages`` pages that mark their article, and the seeds."""
     prepare(pages)
     marked = pages.filter(F.lower("html").rlike("<(article|main)[ >]"))
-    chosen = marked.orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages).select(as_bytes("html"))
+    ids = marked.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
+    chosen = marked.join(F.broadcast(ids), "page_id", "left_semi").select(as_bytes("html"))   # at most max_pages ids
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
