@@ -13,26 +13,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_rules
-from rosterlake.llm.common import stored, table
+from rosterlake.llm.common import shielded, stored, table
 from rosterlake.llm.queries import tokenizer_path
 
 
-def _renewed(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
-    """The columns of ``docs`` with ``text`` as the new text and n_chars following it."""
-    out = changed.drop("text").withColumnRenamed(text, "text") if text != "text" else changed
+def _changed(docs: DataFrame, work: Callable[[DataFrame], DataFrame], text: str) -> DataFrame:
+    """The columns of ``docs`` after ``work``, with its column ``text`` as the new
+    text and n_chars following it; other columns are out of its reach."""
+    inner, restore = shielded(docs, "doc_id", "text", "n_chars")
+    out = work(inner)
+    if text != "text":
+        out = out.drop("text").withColumnRenamed(text, "text")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return restore(out)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; failing lines of the others go."""
-    return _renewed(docs, quality_rules.quality_columns(docs).filter("kept"), "clean_text")
+    return _changed(docs, lambda d: quality_rules.quality_columns(d).filter("kept"), "clean_text")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 20 characters and more in three documents and more stay in the last only."""
-    return _renewed(docs, line_dedup.dedup_lines(docs), "kept_text")
+    return _changed(docs, line_dedup.dedup_lines, "kept_text")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +48,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go; documents that are mostly benchmark go whole."""
-    return _renewed(docs, decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark")), "text")
+    return _changed(docs, lambda d: decontaminate.remove_contamination(d, table(spark, sf_dir, "benchmark")), "text")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ offset table.
 The tokenizer file is a parameter (``tokenizers`` JSON of a byte-level BPE with
 an end-of-word suffix); its pre-tokenisation (normal form, white space, lower
 case, split pattern, added tokens) is rebuilt from the file's own settings.
-Defined results: null text is empty and has no tokens.
+Defined results: null text is empty and has no tokens. An extra column with the
+name of a result column gives way to it.
 """
 
 from __future__ import annotations
@@ -273,6 +274,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     spark = prepare(docs)
     with open(tokenizer_path, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
+    docs = docs.drop("ids", "decoded")                       # the results take these names
     base = [f.name for f in docs.schema.fields]
     schema = plus(docs.schema, ids="array<int>", decoded="string")
     df = docs.withColumn("_b_text", as_bytes("text"))
@@ -297,7 +299,7 @@ def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     spark = prepare(docs)
     with open(tokenizer_path, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
-    base = [f.name for f in docs.schema.fields if f.name != "text"]
+    base = [f.name for f in docs.schema.fields if f.name not in ("text", "n_tokens", "ids_sha256", "decoded_sha256")]
     df = docs.select(*base, as_bytes("text").alias("_b_text"))
     schema = plus(docs.select(*base).schema, n_tokens="long", ids_sha256="string", decoded_sha256="string")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +78,14 @@ def plus(schema: T.StructType, **fields: str) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in fields.items())])
 
 
+def shielded(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with every column but ``own`` under a working name that clashes with
+    nothing, and the function that gives a result its names and order back."""
+    names = {c: c if c in own else f"_shield_{k}" for k, c in enumerate(docs.columns)}
+    out = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    return out, lambda df: df.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -12,7 +12,8 @@ through one after the other in the same stage (no shuffle at any size).
 
 Defined results: null or blank text has no words and is clean; null or empty
 items match nothing; equal items are each named; an empty benchmark leaves every
-document clean. Extra columns of the documents pass through.
+document clean. Extra columns of the documents pass through; one with the name of
+a result column gives way to it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, prepare, sha256_hex, text_slices
+from .common import as_bytes, prepare, sha256_hex, shielded, text_slices
 
 WIDTH = 10                    # fixed value (contract): words of a window
 MAX_AUTOMATON_WORDS = 100_000
@@ -171,6 +172,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
                        max_words: int = MAX_AUTOMATON_WORDS) -> DataFrame:
     """``docs`` plus n_words, hit_spans (array of word ranges [a, b)) and items (sorted)."""
     spark = prepare(docs)
+    docs = docs.drop("n_words", "hit_spans", "items", "n_hit", "n_items")   # the results take these names
     base = [f.name for f in docs.schema.fields]
     df = docs.select("*", F.col("text").cast("binary").alias("_d_text"), F.lit(0).cast("long").alias("n_words"),
                      F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("hit_spans"),
@@ -210,6 +212,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WID
                          max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """Cut every hit span out of the text; documents whose hit share exceeds
     ``max_coverage`` go whole. Clean documents stay byte for byte."""
+    docs, restore = shielded(docs, "text")
     found = find_contamination(docs, benchmark, width)
     found = found.filter(F.col("n_hit") <= F.col("n_words") * max_coverage)
     names = [f.name for f in docs.schema.fields]
@@ -227,7 +230,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WID
     schema = docs.schema
     out = extra.withColumn("text", F.col("text").cast("binary"))
     kinds = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in schema.fields)
-    return out.mapInArrow(emit, kinds).withColumn("text", F.col("text").cast("string")).select(*names)
+    return out.mapInArrow(emit, kinds).withColumn("text", F.col("text").cast("string")).transform(restore)
 
 
 def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:

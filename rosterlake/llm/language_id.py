@@ -121,7 +121,7 @@ def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray, orders: t
     """``docs`` without text, plus lang_pred and score; no shuffle."""
     spark = prepare(docs)
     sent = spark.sparkContext.broadcast((languages, matrix))
-    base = [f.name for f in docs.schema.fields if f.name != "text"]
+    base = [f.name for f in docs.schema.fields if f.name not in ("text", "lang_pred", "score")]
     df = docs.select(*base, as_bytes("text").alias("_i_text"))
     schema = plus(docs.select(*base).schema, lang_pred="string", score="double")
 

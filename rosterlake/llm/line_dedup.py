@@ -13,7 +13,8 @@ document id, to meet its list of dropped keys (at most one entry a line).
 
 Defined results: null or empty text is one empty line; rows that share a doc_id
 count as one document; a null doc_id counts for no key and loses nothing; an
-empty table gives an empty result.
+empty table gives an empty result. Extra columns pass through; one with the name
+of a result column gives way to it.
 """
 
 from __future__ import annotations
@@ -136,6 +137,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, min_docs: int =
                 batches: int = BATCHES) -> DataFrame:
     """``docs`` with kept_text, n_lines and n_dropped added; rows and other columns stay."""
     prepare(docs)
+    docs = docs.drop("kept_text", "n_lines", "n_dropped")   # the results take these names
     drop = dropped_keys(docs, min_chars, min_docs, batches)
     joined = docs.join(drop, docs["doc_id"].cast("long") == drop["_l_doc"], "left").drop("_l_doc")
     joined = joined.withColumn("_l_drop", F.col("_l_drop").cast("array<struct<h1:bigint,h2:bigint>>"))

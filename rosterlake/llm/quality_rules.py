@@ -6,8 +6,8 @@ rejected. Document-level base statistics come with it. One projection over the
 rows: no shuffle, no Python.
 
 Defined results: null or blank text has no words and fails the base rule. A line
-of white space only never fails. Extra columns pass through untouched (working
-columns carry the prefix ``_q_``).
+of white space only never fails. Extra columns pass through (working columns carry
+the prefix ``_q_``); one with the name of a result column gives way to it.
 """
 
 from __future__ import annotations
