@@ -29,9 +29,11 @@ def nullif_zero(c: Column) -> Column:
 
 
 def safe_int(c: Column, default: int = 0) -> Column:
-    """Integer with a default: text that is not an integer (``'3.5'``, ``'abc'``)
-    and NULL/NaN give the default; a double is truncated (``3.9 -> 3``)."""
-    return F.coalesce(c.try_cast("int"), F.lit(default))
+    """Integer with a default: text that is no whole number (``'3.5'``, ``'abc'``)
+    and NULL/NaN give the default; ``'28.0'`` is 28, as numeric cells are often
+    exported so; a double is truncated (``3.9 -> 3``)."""
+    d = c.try_cast("double")
+    return F.coalesce(c.try_cast("int"), F.when(d == F.floor(d), d.try_cast("int")), F.lit(default))
 
 
 def safe_double(c: Column) -> Column:

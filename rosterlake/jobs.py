@@ -33,17 +33,19 @@ def import_price_list(spark: SparkSession, paths, players: DataFrame, out_path:
     ``children`` tables written to ``children_out``."""
     raw = sheets.read_sheets(spark, paths, etl.PRICE_LIST_REQUIRED)
     source = etl.price_list_transform(raw, budget_lega, ("_ordinal",))
-    if sync and source.limit(1).count() == 0:
+    # sync goes by every Id of the files, also of rows that the transform skips
+    listed = raw.select(etl.c("Id").try_cast("double").try_cast("long").alias("fanta_id")).where("fanta_id is not null")
+    if sync and listed.limit(1).count() == 0:
         raise ValueError("empty price list with sync: refusing to delete every player")
     source = merge.dedupe_last_wins(source, ["fanta_id"], "_ordinal").drop("_ordinal")
     merged = merge.assign_ids(merge.upsert("giocatori", players, source, now), "id", ["fanta_id"])
     report = merge.merge_report(merged).withColumnRenamed("azione", "voce")
     result = merged.drop("azione")
     if sync:
-        removed = merge.sync_removed(result, source)
+        removed = merge.sync_removed(result, listed)
         report = report.unionByName(removed.agg(F.count(F.lit(1)).alias("n"))
                                     .select(F.lit("rimosso").alias("voce"), "n"))
-        result = merge.sync_keep(result, source)
+        result = merge.sync_keep(result, listed)
         # the kept players are written first and read back, so the cascade
         # below joins against the snapshot, not against a re-run of the merge
         tables.write_table(result, "giocatori", out_path)
@@ -60,12 +62,13 @@ def import_season_stats(spark: SparkSession, paths, players: DataFrame, stats: D
     """Import season sheets; writes the merged statistics (dynamic partition
     overwrite by season) and returns the report rows (voce, n)."""
     raw = sheets.read_sheets(spark, paths, etl.STATS_REQUIRED)
-    transformed = etl.season_stats_transform(raw, players, etl.season_column(paths, stagione_override))
+    transformed = etl.season_stats_transform(raw, players, etl.season_column(paths, stagione_override), ("_ordinal",))
     if transformed.where(F.col("stagione").isNull() & (F.col("esito") == etl.STATUS_OK)).limit(1).count():
         raise ValueError("season not found in the title or the file name: pass stagione_override")
     ok = transformed.where(F.col("esito") == etl.STATUS_OK)
-    merged = merge.upsert("statistiche_storiche", stats, ok.select(
-        "giocatore_id", "stagione", *merge.STAT_MEASURES))
+    source = merge.dedupe_last_wins(ok.select("giocatore_id", "stagione", *merge.STAT_MEASURES, "_ordinal"),
+                                    ["giocatore_id", "stagione"], "_ordinal").drop("_ordinal")
+    merged = merge.upsert("statistiche_storiche", stats, source)
     merged = merge.assign_ids(merged, "id", ["giocatore_id", "stagione"])
     touched = ok.select("stagione").distinct()
     # only the imported seasons' partitions are rewritten

@@ -31,6 +31,9 @@ from rosterlake.session import ship_package
 REASON_TEAM = "squadra_non_censita"
 REASON_BUDGET = "budget_insufficiente"
 REASON_PLAYER = "giocatore_non_trovato"
+# Rows that no fold can judge; they spend nothing.
+REASON_PRICE = "prezzo_non_valido"
+REASON_NO_BUDGET = "budget_non_valido"
 
 ATTEMPT_COLUMNS = ["ts", "id", "giocatore_id", "prezzo_finale", "squadra_acquirente", "e_mio", "fonte"]
 RESULT_SCHEMA = ("ts timestamp_ntz, id long, giocatore_id long, prezzo_finale double, "
@@ -51,7 +54,7 @@ def cents(c: F.Column) -> F.Column:
 
 
 def fold_block(team: np.ndarray, chunk: np.ndarray, price_c: np.ndarray, budget_c: np.ndarray,
-               team_ok: np.ndarray, player_ok: np.ndarray, start_c: np.ndarray, state=(None, None, 0)):
+               team_ok: np.ndarray, player_ok: np.ndarray, start_c: np.ndarray, state=(None, None, 0), fault=None):
     """Fold rows sorted by (team, chunk, ts, id) in integer cents.
 
     ``start_c`` is the amount spent before the row's chunk (0 for a whole
@@ -69,6 +72,9 @@ def fold_block(team: np.ndarray, chunk: np.ndarray, price_c: np.ndarray, budget_
         if not team_ok[i]:
             reason[i] = REASON_TEAM
             continue
+        if fault is not None and fault[i] is not None:
+            reason[i] = fault[i]
+            continue
         residual = int(budget_c[i]) - spent
         before[i] = residual / MONEY_SCALE
         p = int(price_c[i])
@@ -90,7 +96,7 @@ def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc, reason, before, state = fold_block(
             pdf["squadra_acquirente"].to_numpy(), pdf["_chunk"].to_numpy(), pdf["_price_c"].to_numpy(),
             pdf["_budget_c"].to_numpy(), pdf["_team_ok"].to_numpy(dtype=bool),
-            pdf["_player_ok"].to_numpy(dtype=bool), pdf["_start_c"].to_numpy(), state)
+            pdf["_player_ok"].to_numpy(dtype=bool), pdf["_start_c"].to_numpy(), state, pdf["_fault"].to_numpy())
         out = pdf[ATTEMPT_COLUMNS].copy()
         out["accepted"] = acc
         out["reason"] = reason
@@ -147,7 +153,8 @@ def _summarize_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFra
     for pdf in batches:
         team, chunk = pdf["squadra_acquirente"].to_numpy(), pdf["_chunk"].to_numpy()
         price = pdf["_price_c"].to_numpy()
-        ok = pdf["_team_ok"].to_numpy(dtype=bool) & pdf["_player_ok"].to_numpy(dtype=bool)
+        ok = (pdf["_team_ok"].to_numpy(dtype=bool) & pdf["_player_ok"].to_numpy(dtype=bool)
+              & pdf["_fault"].isna().to_numpy())
         bud, pmin = pdf["_budget_c"].to_numpy(), pdf["_pmin"].to_numpy()
         for i in range(len(price)):
             if key != (team[i], chunk[i]):
@@ -174,28 +181,45 @@ def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
                          "_chunk": pdf["_chunk"].to_numpy(), "_start_c": starts})
 
 
-def enrich_attempts(attempts: DataFrame, census: DataFrame, giocatori: DataFrame) -> DataFrame:
-    """Attach the team budget and the two existence flags with equi-joins."""
+def enrich_attempts(attempts: DataFrame, census: DataFrame, giocatori: DataFrame,
+                    ledger: DataFrame | None = None) -> DataFrame:
+    """Attach the team budget and the two existence flags with equi-joins.
+
+    The budget is what is left of it: the census budget less what the team has
+    already spent in ``ledger`` (the stored asta_log), added up per team before
+    the join. A NULL price or budget marks the row (``_fault``)."""
     c = census.select(F.col("nome").alias("_team"), F.col("budget_totale").alias("_budget"))
+    if ledger is not None:
+        spent = (ledger.where(F.col("squadra_acquirente").isNotNull()).groupBy(F.col("squadra_acquirente").alias("_team"))
+                 .agg(F.sum(cents(F.col("prezzo_finale"))).alias("_spent_c")))
+        c = c.join(spent, "_team", "left")
+    else:
+        c = c.withColumn("_spent_c", F.lit(0).cast("long"))
     g = giocatori.select(F.col("id").alias("_gid")).distinct()
     a = attempts.select(*ATTEMPT_COLUMNS)
     j = (a.join(c, a.squadra_acquirente == c._team, "left")
          .join(g, a.giocatore_id == g._gid, "left"))
     return j.select(*ATTEMPT_COLUMNS, "_budget",
-                    cents(F.col("prezzo_finale")).alias("_price_c"),
-                    cents(F.col("_budget")).alias("_budget_c"),
+                    F.coalesce(cents(F.col("prezzo_finale")), F.lit(0).cast("long")).alias("_price_c"),
+                    (F.coalesce(cents(F.col("_budget")), F.lit(0).cast("long"))
+                     - F.coalesce(F.col("_spent_c"), F.lit(0).cast("long"))).alias("_budget_c"),
+                    F.when(F.col("_team").isNotNull() & F.col("_budget").isNull(), REASON_NO_BUDGET)
+                    .when(F.col("prezzo_finale").isNull() | F.isnan("prezzo_finale"), REASON_PRICE).alias("_fault"),
                     F.col("_team").isNotNull().alias("_team_ok"),
                     F.col("_gid").isNotNull().alias("_player_ok"))
 
 
-_FOLD_COLS = [*ATTEMPT_COLUMNS, "_price_c", "_budget_c", "_team_ok", "_player_ok", "_chunk", "_start_c"]
+_FOLD_COLS = [*ATTEMPT_COLUMNS, "_price_c", "_budget_c", "_team_ok", "_player_ok", "_fault", "_chunk", "_start_c"]
 
 
 def purchase_admission(attempts: DataFrame, census: DataFrame, giocatori: DataFrame,
                        num_partitions: int | None = None, hot_team_rows: int = HOT_TEAM_ROWS,
-                       chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                       chunk_rows: int = CHUNK_ROWS, ledger: DataFrame | None = None) -> DataFrame:
     """Judge every attempt: accepted, reason, residual before the attempt.
 
+    ``ledger`` holds the purchases already made (asta_log): a team starts with
+    its budget less their sum, so two batches in a row judge as one would.
+
     Teams up to ``hot_team_rows`` attempts are folded whole, streaming. Bigger
     teams are cut by time into chunks of about ``chunk_rows``: each chunk's
     transfer function is computed in parallel, a per-team pass composes them
@@ -204,7 +228,7 @@ def purchase_admission(attempts: DataFrame, census: DataFrame, giocatori: DataFr
     result does not depend on the split.
     """
     ship_package(attempts.sparkSession)
-    e = enrich_attempts(attempts, census, giocatori)
+    e = enrich_attempts(attempts, census, giocatori, ledger)
     team = "squadra_acquirente"
 
     def by_key(df: DataFrame) -> DataFrame:

@@ -66,7 +66,8 @@ def price_list_transform(raw: DataFrame, budget_lega: int = FVM_REFERENCE_BUDGET
     )
 
 
-def season_stats_transform(raw: DataFrame, giocatori: DataFrame, season: Column | str) -> DataFrame:
+def season_stats_transform(raw: DataFrame, giocatori: DataFrame, season: Column | str,
+                           extra_cols: tuple[str, ...] = ()) -> DataFrame:
     """Sheet rows -> statistiche rows with a status per row.
 
     ``season`` is a column (per-file season from ``season_from``) or a fixed
@@ -86,7 +87,7 @@ def season_stats_transform(raw: DataFrame, giocatori: DataFrame, season: Column
     cols = [F.col("_fanta_id").alias("fanta_id"), "giocatore_id", "stagione"]
     cols += [safe_int(c(src)).alias(dst) for src, dst in STATS_INT_COLUMNS]
     cols += [safe_double(c(src)).alias(dst) for src, dst in STATS_FLOAT_COLUMNS]
-    return j.select(*cols, status.alias("esito"))
+    return j.select(*cols, status.alias("esito"), *extra_cols)
 
 
 def season_column(paths, override: str | None = None) -> Column:

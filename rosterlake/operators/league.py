@@ -49,14 +49,23 @@ _ROUND_COLS = ["nome", "ruolo", "squadra", "voto", "fantavoto", "gol", "assist",
                "ammonizione", "espulsione", "squadra_fanta"]
 
 
+MAX_ROUND_LIMIT = 20  # fixed value
+
+
 def _tie():
     return [F.col("voto_id").asc(), F.col("asta_id").asc_nulls_first()]
 
 
+def _round_limit(limit: int) -> int:
+    if not 1 <= int(limit) <= MAX_ROUND_LIMIT:
+        raise ValueError(f"limit must be 1 to {MAX_ROUND_LIMIT}")
+    return int(limit)
+
+
 def round_top(voti: DataFrame, giocatori: DataFrame, asta_log: DataFrame, numero: int,
               limit: int = 10) -> DataFrame:
     """Best grades of round ``numero``: fantavoto desc, NULLs last."""
-    limit = min(int(limit), 20)
+    limit = _round_limit(limit)
     rows = _round_rows(voti, giocatori, asta_log, numero)
     return (rows.orderBy(F.col("fantavoto").desc_nulls_last(), *_tie())
             .limit(limit).select(*_ROUND_COLS))
@@ -65,7 +74,7 @@ def round_top(voti: DataFrame, giocatori: DataFrame, asta_log: DataFrame, numero
 def round_flop(voti: DataFrame, giocatori: DataFrame, asta_log: DataFrame, numero: int,
                limit: int = 10) -> DataFrame:
     """Worst grades of round ``numero``: NULL counts as 0, ties keep the top order."""
-    limit = min(int(limit), 20)
+    limit = _round_limit(limit)
     rows = _round_rows(voti, giocatori, asta_log, numero)
     return (rows.orderBy(F.coalesce(F.col("fantavoto"), F.lit(0.0)).asc(),
                          F.col("fantavoto").desc_nulls_last(), *_tie())

@@ -65,7 +65,9 @@ def expected_value(giocatori: DataFrame, stats: DataFrame, asta_log: DataFrame,
                    ruolo: str | None = None, budget_max: float | None = None,
                    limit: int = 20, detail: bool = False, materialize: bool = True) -> DataFrame:
     """Score 0-100 of every free player; the best ``limit`` (<= 50) by score, id."""
-    limit = min(int(limit), MAX_LIMIT)
+    if not 1 <= int(limit) <= MAX_LIMIT:
+        raise ValueError(f"limit must be 1 to {MAX_LIMIT}")
+    limit = int(limit)
     cand = free_players(giocatori, asta_log)
     if ruolo:
         cand = cand.where(F.col("ruolo") == ruolo)

@@ -5,8 +5,6 @@ which names the bound that makes it safe (a schema-fixed dimension, the role
 domain, the file list, the partition count). Everything else is left to
 Spark's own size-checked choice (``autoBroadcastJoinThreshold`` + AQE runtime
 statistics), which falls back to a shuffle join when a side is large.
-``broadcast_if_small`` is the runtime-checked form for inputs without a static
-bound: it counts at most ``max_rows + 1`` rows and broadcasts only below it.
 """
 
 from __future__ import annotations
@@ -22,9 +20,3 @@ ROLE_ROWS = 5           # the four roles + NULL (CHECK ruolo IN ('P','D','C','A'
 def broadcast_bounded(df: DataFrame, bound: int, why: str) -> DataFrame:  # noqa: ARG001
     """Broadcast ``df``, whose row count is at most ``bound`` because ``why``."""
     return F.broadcast(df)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (checked)."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return (F.broadcast(df) if small else df), small

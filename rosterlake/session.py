@@ -62,11 +62,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not is_classic(spark):
-        return current  # Spark Connect: the server's own setting applies
+        if not current:
+            raise RuntimeError("set spark.checkpoint.dir on the Spark Connect server")
+        return current
     if not current:
         current = spark.sparkContext.getCheckpointDir() or None
     if not current:
-        current = tempfile.mkdtemp(prefix="rosterlake-ckpt-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="rosterlake-ckpt-")   # one process: tests and the bench
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current

@@ -33,7 +33,7 @@ def _judge(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.
     acc, reason, before, (_, _, spent) = fold_block(
         pdf["squadra_acquirente"].to_numpy(), zeros, pdf["_price_c"].to_numpy(),
         pdf["_budget_c"].to_numpy(), pdf["_team_ok"].to_numpy(dtype=bool),
-        pdf["_player_ok"].to_numpy(dtype=bool), zeros + spent)
+        pdf["_player_ok"].to_numpy(dtype=bool), zeros + spent, fault=pdf["_fault"].to_numpy())
     state.update((int(spent),))
     out = pdf[ATTEMPT_COLUMNS].copy()
     out["accepted"] = acc
@@ -42,10 +42,13 @@ def _judge(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.
     yield out
 
 
-def admission_stream(attempts: DataFrame, census: DataFrame, giocatori: DataFrame) -> DataFrame:
-    """Streaming DataFrame of judged attempts (append mode)."""
+def admission_stream(attempts: DataFrame, census: DataFrame, giocatori: DataFrame,
+                     ledger: DataFrame | None = None) -> DataFrame:
+    """Streaming DataFrame of judged attempts (append mode). ``ledger`` is the
+    asta_log as it stood when the stream first started; what the stream accepts
+    itself is in its state."""
     ship_package(attempts.sparkSession)
-    e = enrich_attempts(attempts, census, giocatori)
+    e = enrich_attempts(attempts, census, giocatori, ledger)
     return e.groupBy("squadra_acquirente").applyInPandasWithState(
         _judge, StructType.fromDDL(RESULT_SCHEMA), StructType.fromDDL(STATE_SCHEMA),
         "append", GroupStateTimeout.NoTimeout)
@@ -53,10 +56,10 @@ def admission_stream(attempts: DataFrame, census: DataFrame, giocatori: DataFram
 
 def start_admission(attempts: DataFrame, census: DataFrame, giocatori: DataFrame, judged_path: str,
                     checkpoint: str, available_now: bool = False,
-                    trigger: str = "1 second") -> StreamingQuery:
+                    trigger: str = "1 second", ledger: DataFrame | None = None) -> StreamingQuery:
     """Run T1 and append every judged attempt to ``judged_path`` (exactly once
     through the checkpoint); accepted rows are the asta_log appends (I1)."""
-    w = (admission_stream(attempts, census, giocatori).writeStream.format("parquet")
+    w = (admission_stream(attempts, census, giocatori, ledger).writeStream.format("parquet")
          .option("path", judged_path).option("checkpointLocation", checkpoint).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
     return w.start()

@@ -171,3 +171,27 @@ def test_hot_team_path_is_used_and_exact(spark):
     got = [tuple(r) for r in split.orderBy("id").select("accepted", "reason", "residuo_prima").collect()]
     assert got == _python_fold_cents(rows, {"A": 180.0, "B": 90.0}, {0, 1, 2, 3, 4, 5})
     assert sum(a for a, _, _ in got) > 5
+
+
+def test_null_price_and_null_budget_are_rejected_and_spend_nothing(spark):
+    rows = [(0, 1, 1, None, "A"), (1, 2, 1, 60.0, "A"), (2, 3, 1, 10.0, "B"), (3, 4, 1, 50.0, "A")]
+    att = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0, s), i, g, p, t, False, "x") for s, i, g, p, t in rows],
+                                "ts timestamp_ntz, id long, giocatore_id long, prezzo_finale double, "
+                                "squadra_acquirente string, e_mio boolean, fonte string")
+    census = spark.createDataFrame([("A", 100.0), ("B", None)], "nome string, budget_totale double")
+    out = {r.id: (r.accepted, r.reason) for r in auction.purchase_admission(att, census, _players(spark, [1])).collect()}
+    assert out == {1: (False, auction.REASON_PRICE), 2: (True, None), 3: (False, auction.REASON_NO_BUDGET),
+                   4: (False, auction.REASON_BUDGET)}
+
+
+def test_two_batches_with_the_ledger_judge_as_one(spark):
+    rows = [(dt.datetime(2024, 1, 1, 0, 0, s), s + 1, 1, p, "A", False, "x") for s, p in enumerate((60.0, 50.0, 30.0, 20.0, 10.0))]
+    kinds = ("ts timestamp_ntz, id long, giocatore_id long, prezzo_finale double, "
+             "squadra_acquirente string, e_mio boolean, fonte string")
+    census = spark.createDataFrame([("A", 100.0)], "nome string, budget_totale double")
+    judge = lambda r, ledger=None: auction.purchase_admission(
+        spark.createDataFrame(r, kinds), census, _players(spark, [1]), ledger=ledger)
+    whole = {r.id: r.accepted for r in judge(rows).collect()}
+    first = judge(rows[:2])
+    second = judge(rows[2:], auction.accepted_purchases(first))
+    assert {r.id: r.accepted for r in [*first.collect(), *second.collect()]} == whole

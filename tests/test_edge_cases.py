@@ -44,3 +44,22 @@ def test_accented_search(spark):
                               "quotazione_attuale double, fvm double")
     assert [r.id for r in search.name_search(g, "NICOLÒ").collect()] == [1]
     assert search.name_search(g, "nicolo").count() == 0   # no accent folding, as in the source
+
+
+def test_limits_out_of_range_are_refused(spark, model_small):
+    import pytest
+
+    from rosterlake.operators import league, score
+    m = model_small
+    with pytest.raises(ValueError):
+        score.expected_value(m.giocatori, m.statistiche, m.asta_log, limit=51)
+    with pytest.raises(ValueError):
+        league.round_top(m.voti_giornata, m.giocatori, m.asta_log, 1, limit=21)
+
+
+def test_whole_numbers_with_a_decimal_point_are_integers(spark):
+    from pyspark.sql import functions as F
+
+    from rosterlake.functions.numeric import safe_int
+    rows = spark.createDataFrame([("28.0",), ("28",), ("3.5",), ("x",), (None,), ("1e99",)], "v string")
+    assert [r.i for r in rows.select(safe_int(F.col("v")).alias("i")).collect()] == [28, 28, 0, 0, 0, 0]
