@@ -43,7 +43,8 @@ from .components import components
 
 N = 5                         # fixed value (contract)
 PERCENT = 80                  # fixed value (contract)
-FRAGMENTS = 4                 # of the shingles without a frequency class; every class is one more
+FRAGMENTS = 4                 # of the shingles without a frequency class
+CLASS_FRAGMENTS = 4           # of those with one: four classes each, the last takes the rest
 MIN_COMMON = 16               # counted occurrences that give a shingle a frequency class
 MAX_COMMON = 400_000          # shingles with a class (9 bytes each in a task)
 COUNT_BUFFER = 2_000_000      # shingles counted at a time in a task
@@ -112,9 +113,12 @@ def head_size(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1 if size else 0
 
 
-def _fragment(keys: np.ndarray, fragments: int) -> np.ndarray:
-    rank = keys >> _CLASS_SHIFT
-    return np.where(rank > 0, fragments - 1 + rank, (keys >> (_CLASS_SHIFT - 16)) * fragments >> 16)
+def fragments_of(keys: np.ndarray, fragments: int) -> list[np.ndarray]:
+    """The sorted keys of a set, cut where the global order is cut: ``fragments``
+    ranges of the shingles without a class, then ``CLASS_FRAGMENTS`` of classes."""
+    span = 1 << _CLASS_SHIFT
+    cuts = [span * k // fragments for k in range(1, fragments + 1)] + [span * (1 + 4 * k) for k in range(1, CLASS_FRAGMENTS)]
+    return np.split(keys, np.searchsorted(keys, cuts))
 
 
 def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sent, n: int, percent: int, fragments: int) -> DataFrame:
@@ -128,30 +132,26 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sent, n: int,
         hashes, hasher = WordHashes(), WindowHash(BASE)
         for batch in batches:
             for _, texts in text_slices(batch, "text"):
-                cid, size, frag, keys = [], [], [], []
+                cid, size, keys = [], [], []
                 for s in word_sets(texts, n, hashes, hasher):
                     if len(s):
-                        k = ordered(s, common, ranks)
-                        f = _fragment(k, fragments)
-                        cut = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
-                        for a, b in zip(cut, [*cut[1:], len(k)], strict=True):
-                            cid.append(set_id(s)[0])
-                            size.append(len(s))
-                            frag.append(int(f[a]))
-                            keys.append(k[a:b])
+                        cid.append(set_id(s)[0])
+                        size.append(len(s))
+                        keys.append(fragments_of(ordered(s, common, ranks), fragments))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cid, pa.int64()), pa.array(size, pa.int64()), pa.array(frag, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["cid", "n", "f", "keys"])
+                    [pa.array(cid, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.list_(pa.int64())))],
+                    names=["cid", "n", "keys"])
 
     parts = (docs.join(first, "doc_id", "left_semi").select(as_bytes("text"))
-             .mapInArrow(emit, "cid long, n long, f int, keys array<long>").dropDuplicates(["cid", "f"]))
+             .mapInArrow(emit, "cid long, n long, keys array<array<long>>").dropDuplicates(["cid"]))
     parts = stored(parts, "fragments")
-    x = parts.select(F.col("cid").alias("x"), F.col("n").alias("nx"), "f", F.col("keys").alias("kx"))
-    y = parts.select(F.col("cid").alias("y"), F.col("n").alias("ny"), "f", F.col("keys").alias("ky"))
-    partial = (pairs.join(x, "x").join(y, ["y", "f"])
-               .select("x", "y", "nx", "ny", F.size(F.array_intersect("kx", "ky")).alias("o")))
-    return (partial.groupBy("x", "y", "nx", "ny").agg(F.sum("o").alias("o"))
-            .filter(F.expr(f"100 * o >= {percent} * (nx + ny - o)")).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    x = parts.select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("keys").alias("kx"))
+    y = parts.select(F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("keys").alias("ky"))
+    # one row a pair: the fragments are matched place by place and their counts added
+    total = pairs.join(x, "x").join(y, "y").select("x", "y", "nx", "ny", F.aggregate(
+        F.zip_with("kx", "ky", lambda p, q: F.size(F.array_intersect(p, q))), F.lit(0), lambda t, o: t + o).alias("o"))
+    return (total.filter(F.expr(f"100 * o >= {percent} * (nx + ny - o)"))
+            .select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def set_id(s: np.ndarray) -> tuple[int, int]:
