@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, jaccard_join, language_id, line_dedup, quality_rules, substring_dedup, suffix_dedup
+from . import bpe, decontaminate, html_extract, jaccard_join, language_id, license_scan, line_dedup, quality_rules, substring_dedup, suffix_dedup
 from .common import table
 
 # Where the public tokenizer files lie; the file goes from the driver to the tasks.
@@ -54,6 +54,13 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's directory is its source."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("file_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
+    return license_scan.scan(docs).withColumnRenamed("file_id", "doc_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality_columns(docs).select(
@@ -76,7 +83,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_suffix_dedup, op3_bpe, op4_decontaminate, op5_jaccard_join, op7_quality_rules, op8_language_id, op9_line_dedup, op10_html_extract)}
+    op1_substring_dedup, op2_suffix_dedup, op3_bpe, op4_decontaminate, op5_jaccard_join, op6_license_scan, op7_quality_rules, op8_language_id, op9_line_dedup, op10_html_extract)}
 
 _WS = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
