@@ -72,9 +72,12 @@ def short_documents(giocatori: DataFrame) -> DataFrame:
 
 
 def upsert_documents(current: DataFrame, fresh: DataFrame, key: str = "id") -> DataFrame:
-    """Document upsert by id (I5): fresh rows replace, others are kept."""
-    kept = current.join(fresh.select(key), key, "left_anti")
-    return kept.unionByName(fresh)
+    """Document upsert by id (I5): fresh rows replace, others are kept. Of fresh
+    rows with one id the greatest by their other columns is taken."""
+    rest = [c for c in fresh.columns if c != key]
+    once = fresh.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, "_row.*")
+    kept = current.join(once.select(key), key, "left_anti")
+    return kept.unionByName(once)
 
 
 # ----------------------------------------------------------------------------- X13
@@ -99,10 +102,15 @@ def _topk_scorer(q_ids: np.ndarray, q_mat: np.ndarray, k: int, id_col: str, vec_
                 continue
             mat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
             ids = pdf[id_col].to_numpy(dtype=np.int64)
-            sims = (mat @ q_mat.T) / (np.linalg.norm(mat, axis=1)[:, None] * q_norm[None, :])
+            with np.errstate(invalid="ignore", divide="ignore"):
+                sims = (mat @ q_mat.T) / (np.linalg.norm(mat, axis=1)[:, None] * q_norm[None, :])
             for j in range(len(q_ids)):
-                cand_ids = np.concatenate([best_ids[j], ids])
-                cand_sims = np.concatenate([best_sims[j], sims[:, j]])
+                s = sims[:, j]
+                near = ~np.isnan(s)         # a zero vector has no direction: no neighbour
+                if k < near.sum():          # only what reaches the k-th place is sorted
+                    near &= s >= np.partition(s[near], -k)[-k]
+                cand_ids = np.concatenate([best_ids[j], ids[near]])
+                cand_sims = np.concatenate([best_sims[j], s[near]])
                 order = np.lexsort((cand_ids, -cand_sims))[:k]
                 best_ids[j], best_sims[j] = cand_ids[order], cand_sims[order]
         rows = [(q_ids[j], best_ids[j][i], best_sims[j][i])

@@ -173,8 +173,8 @@ def strategy_candidates(giocatori: DataFrame, asta_log: DataFrame, slots: DataFr
     """
     missing = slots.where(F.col("mancanti") > 0).select(F.col("ruolo").alias("_r"))
     free = free_players(giocatori, asta_log)
-    free = free.join(broadcast_bounded(missing, ROLE_ROWS, "roles still missing"), free.ruolo == missing._r,
-                     "left_semi")
+    missing = broadcast_bounded(missing, ROLE_ROWS, "roles still missing")
+    free = free.join(missing, free.ruolo == missing._r, "left_semi")
     w = Window.partitionBy("ruolo").orderBy(F.col("fvm").desc_nulls_last(), F.col("id").asc())
     return (free.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("ruolo", "rank", "nome", "squadra", "quotazione_attuale", "fvm"))

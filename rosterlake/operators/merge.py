@@ -45,13 +45,19 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], update_cols: li
       (evaluated over source columns ``s.*``), the rest kept;
     - source only: source columns, with ``insert_values`` for the others;
     - target only: kept as is.
-    Adds ``azione`` (inserito / aggiornato / invariato).
+    A NULL key matches nothing; such rows are spread by a hash of the whole row, so
+    that the join doesn't send them all to one task. Adds ``azione`` (inserito /
+    aggiornato / invariato).
     """
     insert_values = insert_values or {}
     update_values = update_values or {}
-    t = target.select(*[F.col(c).alias(f"t_{c}") for c in target.columns], F.lit(True).alias("_in_t"))
-    s = source.select(*[F.col(c).alias(f"s_{c}") for c in source.columns], F.lit(True).alias("_in_s"))
-    cond = reduce(lambda a, b: a & b, [t[f"t_{k}"] == s[f"s_{k}"] for k in keys])
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    spread = lambda df: F.when(no_key, F.xxhash64(*df.columns)).otherwise(F.lit(0).cast("long"))
+    t = target.select(*[F.col(c).alias(f"t_{c}") for c in target.columns], F.lit(True).alias("_in_t"),
+                      spread(target).alias("_spread_t"))
+    s = source.select(*[F.col(c).alias(f"s_{c}") for c in source.columns], F.lit(True).alias("_in_s"),
+                      spread(source).alias("_spread_s"))
+    cond = reduce(lambda a, b: a & b, [t[f"t_{k}"] == s[f"s_{k}"] for k in keys]) & (t._spread_t == s._spread_s)
     j = t.join(s, cond, "full_outer")
     in_t = F.coalesce(F.col("_in_t"), F.lit(False))
     in_s = F.coalesce(F.col("_in_s"), F.lit(False))
@@ -157,11 +163,14 @@ def stats_import_report(transformed: DataFrame, target: DataFrame) -> DataFrame:
 
 def census_upsert(squadre: DataFrame, entries: DataFrame, budget_totale: float) -> DataFrame:
     """Team census (M4): names trimmed, coach trimmed (NULL stays NULL), one
-    merge for the whole list; a rerun with another budget updates every team."""
-    src = entries.select(F.trim("nome").alias("nome"), F.trim("allenatore").alias("allenatore"),
-                         F.lit(float(budget_totale)).alias("budget_totale"))
-    src = src.groupBy("nome").agg(F.last("allenatore").alias("allenatore"),
-                                  F.first("budget_totale").alias("budget_totale"))
+    merge for the whole list; a rerun with another budget updates every team. Of
+    repeated names the last by ``_ordinal`` wins, without that column the greatest
+    coach; entries without a name name no team and are left out."""
+    order = [F.col("_ordinal")] if "_ordinal" in entries.columns else []
+    src = entries.select(F.trim("nome").alias("nome"),
+                         F.struct(*order, F.trim("allenatore").alias("allenatore")).alias("_last")).where("nome is not null")
+    src = src.groupBy("nome").agg(F.max("_last").alias("_last")).select(
+        "nome", "_last.allenatore", F.lit(float(budget_totale)).alias("budget_totale"))
     return merge(squadre, src, ["nome"], ["allenatore", "budget_totale"])
 
 

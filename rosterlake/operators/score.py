@@ -119,7 +119,8 @@ def expected_value(giocatori: DataFrame, stats: DataFrame, asta_log: DataFrame,
         "_ruolo",
         F.when(F.col("_mf") == 0, F.lit(1.0)).otherwise(F.col("_mf")).alias("_mf"),
         F.when(F.col("_mm") == 0, F.lit(1.0)).otherwise(F.col("_mm")).alias("_mm"))
-    s = scored.join(broadcast_bounded(maxes, ROLE_ROWS, "one row per role"), scored.ruolo.eqNullSafe(maxes._ruolo))
+    maxes = broadcast_bounded(maxes, ROLE_ROWS, "one row per role")
+    s = scored.join(maxes, scored.ruolo.eqNullSafe(maxes._ruolo))
     fvm_norm = F.col("fvm") / F.col("_mf")
     fm_norm = F.coalesce(F.col("fantamedia_ponderata"), F.lit(0.0)) / F.col("_mm")
     score = round_half_up((fvm_norm * FVM_SHARE + fm_norm * FORM_SHARE) * F.col("affidabilita") * 100, 1)

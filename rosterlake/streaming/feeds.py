@@ -46,9 +46,14 @@ def scoreboard_with_budget(board: DataFrame, squadre: DataFrame) -> DataFrame:
 def document_sync(changed_players: DataFrame, stats: DataFrame, mia_rosa: DataFrame, path: str,
                   checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """For every micro-batch of changed players, rebuild their documents and
-    append them (with the batch id) to the document change log at ``path``."""
+    append them (with the batch id) to the document change log at ``path``. Of
+    several changes of one player in a batch the last by ``aggiornato_il`` counts
+    (then the greatest by the other columns)."""
 
     def rebuild(batch: DataFrame, batch_id: int) -> None:
+        order = sorted((c for c in batch.columns if c != "id"), key=lambda c: c != "aggiornato_il")
+        batch = (batch.groupBy("id").agg(F.max(F.struct(*order)).alias("_row"))
+                 .select("id", "_row.*").select(*batch.columns))
         # only the changed players' seasons and roster rows are read
         ids = batch.select(F.col("id").alias("_cid"))
         s = stats.join(ids, stats.giocatore_id == ids._cid, "left_semi")
@@ -62,8 +67,9 @@ def document_sync(changed_players: DataFrame, stats: DataFrame, mia_rosa: DataFr
 
 
 def current_documents(change_log: DataFrame) -> DataFrame:
-    """Latest document per id (I5 upsert semantics) from the append-only log."""
-    last = change_log.groupBy("id").agg(F.max_by(F.struct("document", "giocatore_id"), "_batch").alias("d"))
+    """Latest document per id (I5 upsert semantics) from the append-only log; the
+    greatest document where a batch holds several of one id."""
+    last = change_log.groupBy("id").agg(F.max(F.struct("_batch", "document", "giocatore_id")).alias("d"))
     return last.select("id", "d.document", "d.giocatore_id")
 
 

@@ -1,5 +1,6 @@
 """Merge operator (M1-M14) and constraints (Q1-Q19) on tiny frames."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from rosterlake.operators import merge, quality
@@ -201,3 +202,24 @@ def test_upsert_players_from_csv(spark, tmp_path):
     got = {r.nome: (r.id, r.fanta_id, r.quotazione_iniziale, r.quotazione_attuale, r.fvm, r.ruolo)
            for r in m.collect()}
     assert got == {"Rossi": (1, 10, 4.0, 12.0, 30.0, "P"), "Neri": (2, None, 5.0, 5.0, None, "D")}
+
+
+def test_null_keys_are_kept_apart(spark):
+    t = spark.createDataFrame([(1, "a"), (None, "b"), (None, "b")], "k long, v string")
+    s = spark.createDataFrame([(1, "c"), (None, "b"), (None, "d")], "k long, v string")
+    got = sorted((r.k or 0, r.v, r.azione) for r in merge.merge(t, s, ["k"], ["v"]).collect())
+    assert got == [(0, "b", "inserito"), (0, "b", "invariato"), (0, "b", "invariato"), (0, "d", "inserito"), (1, "c", "aggiornato")]
+
+
+def test_census_last_entry_wins(spark):
+    sq = spark.createDataFrame([], "nome string, allenatore string, budget_totale double")
+    entries = spark.createDataFrame([("Lupi", "Zoe", 1), ("Lupi ", "Bea", 2), (None, "x", 3)], "nome string, allenatore string, _ordinal long")
+    assert [(r.nome, r.allenatore) for r in merge.census_upsert(sq, entries, 5.0).collect()] == [("Lupi", "Bea")]
+
+
+def test_broadcast_bound_is_checked(spark):
+    from rosterlake.plans.broadcast import broadcast_bounded
+    few = spark.range(5).withColumnRenamed("id", "k")
+    assert spark.range(10).join(broadcast_bounded(few, 5, "test"), F.col("id") == F.col("k")).count() == 5
+    with pytest.raises(Exception, match="more than 4 rows"):
+        spark.range(10).join(broadcast_bounded(few, 4, "test"), F.col("id") == F.col("k")).collect()

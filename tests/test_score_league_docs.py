@@ -137,3 +137,19 @@ def test_nearest_vectors_skips_null_and_bad_length(spark):
     q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, query_vector array<double>")
     got = [(r.rank, r.vec_id) for r in documents.nearest_vectors(emb, q, 2).orderBy("rank").collect()]
     assert got == [(1, 1), (2, 5)]
+
+
+def test_nearest_vectors_skips_zero_vectors_and_keeps_ties(spark):
+    rows = [(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 1.0]), (4, [3.0, 0.0])]
+    emb = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, query_vector array<double>")
+    got = [(r.vec_id, r.similarity) for r in documents.nearest_vectors(emb, q, 2).orderBy("rank").collect()]
+    assert got == [(1, 1.0), (2, 1.0)]
+    every = documents.nearest_vectors(emb, q, 9).orderBy("rank").collect()
+    assert [r.vec_id for r in every] == [1, 2, 4, 3]
+
+
+def test_repeated_fresh_documents(spark):
+    cur = spark.createDataFrame([(1, "old"), (2, "keep")], "id long, document string")
+    fresh = spark.createDataFrame([(1, "a"), (1, "b")], "id long, document string")
+    assert sorted(tuple(r) for r in documents.upsert_documents(cur, fresh).collect()) == [(1, "b"), (2, "keep")]
