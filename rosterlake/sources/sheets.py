@@ -87,7 +87,8 @@ def read_sheets(spark: SparkSession, paths, required) -> DataFrame:
     is_title = F.coalesce(~is_header & others_empty & F.col(cells[0]).isNotNull()
                           & F.col(cells[0]).try_cast("double").isNull(), F.lit(False))
 
-    titles = (raw.where(is_title).groupBy("_path")
+    with_header = [f for files in layouts.values() for f in files]   # files without one give no rows
+    titles = (raw.where(is_title & F.col("_path").isin(with_header)).groupBy("_path")
               .agg(F.min_by(F.col(cells[0]), F.col("_ordinal")).alias("_title")))
     data = raw.where(~is_header & ~is_title)
     parts = []
