@@ -30,13 +30,24 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
 
 
+# Spark's own setting: a finished query's shuffle files go at once, not with the driver's next GC.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, so a
-    lost executor costs no recomputation of what lies behind."""
+    lost executor costs no recomputation of what lies behind. The shuffle files of
+    the write are of no use after it and are removed with it; the setting holds for
+    this write only, whose plan is its own."""
     spark = df.sparkSession
     path = shared_path(spark, label)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
