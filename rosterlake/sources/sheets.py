@@ -14,7 +14,8 @@ block sequentially, so the id grows with the line within a block.
 from __future__ import annotations
 
 import csv
-from pathlib import Path
+import re
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,12 +31,30 @@ def _as_list(paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
+_SCHEME = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?")
+
+
+def _place(path: str) -> str:
+    """A path as Spark shows it in ``_metadata.file_path``, without scheme and host:
+    which file system a bare path means is the session's affair, not this process's.
+    A relative path is looked up as a trailing part of the full one."""
+    return quote(_SCHEME.sub("", path).rstrip("/"), safe="/:+&=@!$'()*,;~-._%")
+
+
 def _file_index(paths: list[str]) -> Column:
-    """Index of the row's file in ``paths`` (files of a folder keep the folder's index)."""
+    """Index of the row's file in ``paths``: the file itself, or the folder that holds
+    it (then the folder's index); ``list`` doesn't stand for ``list2``."""
+    full = F.col("_metadata.file_path")
+    bare = F.regexp_replace(full, _SCHEME.pattern, "")
     idx = None
     for i, p in enumerate(paths):
-        uri = Path(p).resolve().as_uri()
-        cond = F.col("_metadata.file_path").startswith(uri)
+        place, host = _place(p), _SCHEME.match(p)
+        if place.startswith("/"):
+            cond = (bare == place) | bare.startswith(place + "/")
+        else:
+            cond = bare.endswith("/" + place) | bare.contains(f"/{place}/")
+        if host is not None and host.group(1) not in (None, "//"):      # a named host or bucket must match too
+            cond = cond & full.startswith(host.group(0) + "/")
         idx = F.when(cond, F.lit(i)) if idx is None else idx.when(cond, F.lit(i))
     return idx.otherwise(F.lit(len(paths)))
 

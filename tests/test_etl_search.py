@@ -123,3 +123,16 @@ def test_sheets_with_different_column_orders(spark, tmp_path):
     assert got == {1: ("Rossi", "P", 10.0, 30.0), 2: ("Verdi", "D", 8.0, 40.0)}
     titles = {r._title for r in raw.select("_title").collect()}
     assert titles == {"Listone A", "Listone B"}
+
+
+def test_rows_know_their_file_whatever_its_name(spark, tmp_path):
+    row = "nome,ruolo,squadra,quotazione\n{},P,Inter,{}\n"
+    for k, name in enumerate(("list2", "list", "a b")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.csv").write_text(row.format(name, k))
+    for prefix in ("", "file:", "file://"):
+        paths = [f"{prefix}{tmp_path}/{name}" for name in ("list2", "list", "a b")]
+        got = {r.nome: r._ordinal.file for r in sheets.read_price_csv(spark, paths).collect()}
+        assert got == {"list2": 0, "list": 1, "a b": 2}
+        got = {r.nome: r._ordinal.file for r in sheets.read_price_csv(spark, paths[1::-1]).collect()}
+        assert got == {"list": 0, "list2": 1}
