@@ -45,12 +45,11 @@ def scan(files: DataFrame) -> DataFrame:
     distinct = lines.select("words").distinct().withColumn("key", F.xxhash64("words"))   # a notice shared by many files is scored once
     terms = distinct.select("key", F.explode("words").alias("w")).groupBy("key", "w").agg(F.count("*").alias("tf"))
     df = terms.groupBy("w").agg(F.count("*").alias("df"))
-    total = distinct.agg(F.count("*").alias("n"))
+    total = distinct.agg(F.count("*")).scalar()
     named = spark.createDataFrame(list(TEMPLATES.items()), "name string, t string")
     known = (named.select("name", F.explode(_words(F.col("t"))).alias("w")).groupBy("name", "w").agg(F.count("*").alias("tf")))
     idf = (df.join(known.select("w").distinct().withColumn("known", F.lit(1)), "w", "full")
-           .join(F.broadcast(total))                                             # one row
-           .select("w", (1 + F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0))))).alias("idf")))
+           .select("w", (1 + F.log((1 + total) / (1 + F.coalesce("df", F.lit(0))))).alias("idf")))
 
     def weigh(t: DataFrame, key: str) -> DataFrame:
         v = t.join(idf, "w").select(key, "w", (F.col("tf") * F.col("idf")).alias("x"))
