@@ -1,10 +1,11 @@
 """Licence scans with DataFrame functions only.
 
 Lines that speak of a licence (headers, or the lines of a licence file) are
-sparse TF-IDF vectors over their words; their cosine to the templates' vectors
-names the licence. A file without a notice of its own inherits from the nearest
+sparse TF-IDF vectors over their words; their cosine to the vectors of several
+templates a licence (``license_texts``) names the licence. A file without a notice of its own inherits from the nearest
 directory above it that holds a licence file, by a join of its ancestor
-directories. Document frequencies are counted over all notice lines.
+directories. Term frequencies count as 1 + ln(tf); document frequencies are counted
+over the licences, so no file's verdict depends on other files' words.
 
 Defined results: null or empty text has no notice; a null path is the root
 directory; ties go to the template first by name; without any match the licence
@@ -13,58 +14,108 @@ is null. No Python runs on the executors.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Short notices of common licences.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License",
-    "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-}
-NOTICE = r"(?i)\b(licen[cs]ed?|redistribution|spdx)\b"
+from . import license_texts
+
+# What every notice speaks of, whichever way it is worded (in lower case).
+NOTICE = ("licen", "spdx", "redistribut", "permission", "copyleft", "creativecommons", "creative commons", "public domain", "neighboring rights",
+          "cc by", "cc-by", "cc0", "gpl", "gfdl", "mpl", "epl", "cddl")
 MIN_COSINE = 0.7
 MAX_NOTICE_WORDS = 60          # a longer line is prose that mentions a licence
 MIN_FILE_SHARE = 0.5           # of a file's words in notices: then it is a licence file
 
 
+# Words that any notice may have, whatever its licence: they weigh least.
+FILLER = frozenset("""a all an and any are article as at available be book by can code content copyright data details distributed document file files for found
+free freely from here image images in is it its library license licensed may module of on or our package page program project project's published released
+reserved rights see site software source terms text that the these this to under use was we which with work works you""".split())
+
+# One spelling of the same thing: licence, GPLv3 and v3, 4.0 and 4.
+_SPELLING = ((r"licenc", "licens"), (r"gpl[ -]?v?(?=[0-9])", "gpl "), (r"\bv(?=[0-9])", ""), (r"\b([0-9]+)\.0\b(?!\.[0-9])", "$1"))
+_BREAK = r"[^a-z0-9.]+|\.(?=\s|$|[^a-z0-9.])"
+
+
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9.]+|\.(?=\s|$)"), lambda w: w != "")
+    text = F.lower(text)
+    for pattern, to in _SPELLING:
+        text = F.regexp_replace(text, pattern, to)
+    return F.filter(F.split(text, _BREAK), lambda w: w != "")
+
+
+def speaks(text: Column) -> Column:
+    """Whether a text has a word of ``NOTICE``; it is put into lower case once."""
+    def any_of(t: Column) -> Column:
+        found = t.contains(NOTICE[0])
+        for word in NOTICE[1:]:
+            found = found | t.contains(word)
+        return found
+    return F.exists(F.array(F.lower(text)), any_of)
+
+
+def template_words(text: str) -> list[str]:
+    """``_words`` on the driver."""
+    text = text.lower()
+    for pattern, to in _SPELLING:
+        text = re.sub(pattern, to.replace("$", "\\"), text)
+    return [w for w in re.split(_BREAK, text) if w]
+
+
+@cache
+def weights() -> tuple[dict[str, float], float, list[tuple[str, str, str, float]]]:
+    """(idf by word, idf of any other word, (template, licence, word, unit weight) of every template). A word's document
+    frequency is the number of licences that have it, so a verdict on one file doesn't depend on the others."""
+    bags = [(name, Counter(template_words(text))) for name, text in license_texts.templates()]
+    holders: dict[str, set[str]] = {}
+    for name, bag in bags:
+        for w in bag:
+            holders.setdefault(w, set()).add(name)
+    n = len({name for name, _ in bags})
+    idf = {w: 1.0 for w in FILLER} | {w: 1 + math.log((1 + n) / (1 + len(names))) for w, names in holders.items() if w not in FILLER}
+    rows = []
+    for k, (name, bag) in enumerate(bags):
+        x = {w: (1 + math.log(tf)) * idf[w] for w, tf in bag.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        rows += [(str(k), name, w, v / norm) for w, v in x.items()]
+    return idf, 1 + math.log(1 + n), rows
+
+
+def nearest(units: DataFrame) -> DataFrame:
+    """(key, name, cosine) of the nearest template for every (key, words) that reaches ``MIN_COSINE``; a licence's best template counts."""
+    spark = units.sparkSession
+    idf, other, rows = weights()
+    known = F.broadcast(spark.createDataFrame(list(idf.items()), "w string, idf double"))                       # the templates' words
+    postings = F.broadcast(spark.createDataFrame(rows, "template string, name string, w string, x_name double"))  # bounded alike
+    terms = (units.select("key", F.explode("words").alias("w")).groupBy("key", "w").agg(F.count("*").alias("tf")).join(known, "w", "left")
+             .select("key", "w", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(other))).alias("x")))
+    norm = terms.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    cosine = (terms.join(postings, "w").groupBy("key", "template", "name").agg(F.sum(F.col("x") * F.col("x_name")).alias("dot"))
+              .join(norm, "key").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)))
+    return (cosine.filter(F.col("cosine") >= MIN_COSINE).groupBy("key")
+            .agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("name").alias("name"))).alias("b"))
+            .select("key", F.col("b.name").alias("name"), (-F.col("b.c")).alias("cosine")))
 
 
 def scan(files: DataFrame) -> DataFrame:
     """(file_id, own, cosine, is_license_file, inherited, license) for (file_id, path, text)."""
-    spark = files.sparkSession
     base = files.select("file_id", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = base.select("file_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).filter(F.col("t").rlike(NOTICE))
+    spoken = base.filter(speaks(F.col("text")))                                  # no other file has a notice
+    lines = spoken.select("file_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).filter(speaks(F.col("t")))
     lines = lines.select("file_id", "line", _words(F.col("t")).alias("words")).filter(F.size("words") <= MAX_NOTICE_WORDS)
     distinct = lines.select("words").distinct().withColumn("key", F.xxhash64("words"))   # a notice shared by many files is scored once
-    terms = distinct.select("key", F.explode("words").alias("w")).groupBy("key", "w").agg(F.count("*").alias("tf"))
-    df = terms.groupBy("w").agg(F.count("*").alias("df"))
-    total = distinct.agg(F.count("*")).scalar()
-    named = spark.createDataFrame(list(TEMPLATES.items()), "name string, t string")
-    known = (named.select("name", F.explode(_words(F.col("t"))).alias("w")).groupBy("name", "w").agg(F.count("*").alias("tf")))
-    idf = (df.join(known.select("w").distinct().withColumn("known", F.lit(1)), "w", "full")
-           .select("w", (1 + F.log((1 + total) / (1 + F.coalesce("df", F.lit(0))))).alias("idf")))
-
-    def weigh(t: DataFrame, key: str) -> DataFrame:
-        v = t.join(idf, "w").select(key, "w", (F.col("tf") * F.col("idf")).alias("x"))
-        norm = v.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-        return v.join(norm, key).select(key, "w", (F.col("x") / F.col("norm")).alias(f"x_{key}"))
-
-    cosine = (weigh(terms, "key").join(weigh(known, "name"), "w")                # at most one row a word and template
-              .groupBy("key", "name").agg(F.round(F.sum(F.col("x_key") * F.col("x_name")), 6).alias("cosine")))
-    best = (cosine.filter(F.col("cosine") >= MIN_COSINE).groupBy("key")
-            .agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("name").alias("name"))).alias("b"))
-            .select("key", F.col("b.name").alias("name"), (-F.col("b.c")).alias("cosine")))
+    best = nearest(distinct)
     hits = lines.withColumn("key", F.xxhash64("words")).join(best, "key")
     own = hits.groupBy("file_id").agg(
         F.min(F.struct((-F.col("cosine")).alias("c"), F.col("name").alias("name"))).alias("b"), F.sum(F.size("words")).alias("notice_words"))
-    marked = (base.withColumn("all_words", F.size(_words(F.col("text")))).drop("text").join(own, "file_id", "left")
+    sizes = spoken.join(own.select("file_id"), "file_id", "left_semi").groupBy("file_id").agg(
+        F.max(F.size(_words(F.col("text")))).alias("all_words"))
+    marked = (base.drop("text").join(own.join(sizes, "file_id", "left"), "file_id", "left")
               .select("file_id", F.regexp_replace("path", "/[^/]*$|^[^/]*$", "").alias("dir"), F.col("b.name").alias("own"), (-F.col("b.c")).alias("cosine"),
                       F.coalesce(F.col("notice_words") >= F.col("all_words") * MIN_FILE_SHARE, F.lit(False)).alias("is_license_file")))
     held = (marked.filter("is_license_file").groupBy("dir").agg(F.min("own").alias("inherited")))

@@ -16,3 +16,17 @@ def test_notices_and_inheritance(spark):
     assert got == {1: ("MIT", True, "MIT"), 2: (None, False, "MIT"), 3: ("Apache-2.0", False, "Apache-2.0"), 4: (None, False, None),
                    5: (None, False, None), 6: ("GPL-3.0", True, "GPL-3.0"), 7: (None, False, "GPL-3.0"), 8: (None, False, None)}
     assert license_scan.scan(spark.createDataFrame([], "file_id long, path string, text string")).count() == 0
+
+
+def test_notices_in_other_words(spark):
+    want = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "// SPDX-License-Identifier: MIT": "MIT", "MIT License": "MIT", "Licensed under the MIT license": "MIT",
+            "License: CC-BY-SA-3.0": "CC-BY-SA-3.0", "Available under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported Licence": "CC-BY-NC-SA-3.0",
+            "Simplified BSD Licence": "BSD-2-Clause", "Distributed under the 3-clause BSD license": "BSD-3-Clause", "This package is GPLv3 licensed": "GPL-3.0",
+            "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "We publish it under the GNU Affero General Public License v3.0": "AGPL-3.0",
+            "This code is licensed under Apache 2.0": "Apache-2.0", "https://creativecommons.org/licenses/by-nd/4.0/": "CC-BY-ND-4.0",
+            "Licensed under the GNU GPL": "GPL", "This document is under the Foo Widget Licence": None, "He got a driving licence at last": None,
+            "Use of this work under the license of the author": None, "with permission of the board": None}
+    prose = "\n" + "Some words of a text that says nothing of the kind. " * 5
+    rows = [(k, f"d{k}/x", t + prose) for k, t in enumerate(want)]
+    got = license_scan.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()
+    assert {rows[r.file_id][2].removesuffix(prose): r.license for r in got} == want
