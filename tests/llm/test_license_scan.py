@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from rosterlake.llm import license_scan
+import textwrap
+
+from rosterlake.llm import license_scan, license_texts
 
 
 def test_notices_and_inheritance(spark):
@@ -30,3 +32,45 @@ def test_notices_in_other_words(spark):
     rows = [(k, f"d{k}/x", t + prose) for k, t in enumerate(want)]
     got = license_scan.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()
     assert {rows[r.file_id][2].removesuffix(prose): r.license for r in got} == want
+
+
+def test_headers_and_whole_texts(spark):
+    texts = dict(license_texts.full_texts())
+    prose = "def f(x):\n    return x + 1  # some words of code that say nothing of the kind at all\n\n" * 12
+    gpl = """# This file is part of Thing.
+#
+# Thing is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# Thing is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+"""
+    apache = """/*
+ * Copyright 2020 The Thing Authors
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */
+"""
+    wrap = textwrap.fill
+    owner = "Copyright (c) 2020 A Person Of That Name <person@example.org>\nAll rights reserved.\n\n"
+    agpl, mit = texts["AGPL-3.0"], texts["MIT"]
+    want = {"m/LICENSE": (owner + wrap(mit, 78), "MIT", True), "n/LICENSE": (owner + mit, "MIT", True),     # wrapped, and as one long line
+            "o/x.txt": (texts["Apache-2.0"], "Apache-2.0", True), "g/COPYING": (texts["GPL-3.0"], "GPL-3.0", True), "h/c": (texts["GPL-2.0"], "GPL-2.0", True),
+            "l/c": (texts["LGPL-2.1"], "LGPL-2.1", True), "af/c": (agpl, "AGPL-3.0", True), "p/c": (texts["MPL-2.0"], "MPL-2.0", True),
+            "b2/LICENSE": (owner + wrap(texts["BSD-2-Clause"], 70), "BSD-2-Clause", True), "b3/LICENSE": (owner + wrap(texts["BSD-3-Clause"], 70), "BSD-3-Clause", True),
+            "src/a.py": (gpl + prose, "GPL-3.0", False), "src/b.c": (apache + prose, "Apache-2.0", False),
+            "src/e.c": ("\n".join("// " + x if x else "//" for x in wrap(texts["BSD-2-Clause"], 70).splitlines()) + "\n\n" + prose, "BSD-2-Clause", False),
+            "src/c.py": (prose + "\n\n" + mit + "\n\n" + prose, "MIT", False), "src/d.py": (prose, None, False),
+            "m/LICENSE.md.d/deep/z.py": (prose, "MIT", False), "q/license.py": (prose + "\n# SPDX-License-Identifier: ISC\n", "ISC", False)}
+    rows = [(k, path, text) for k, (path, (text, _, _)) in enumerate(want.items())]
+    got = {rows[r.file_id][1]: (r.license, r.is_license_file) for r in license_scan.scan(
+        spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert got == {path: tuple(v[1:]) for path, v in want.items()}
