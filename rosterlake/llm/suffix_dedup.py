@@ -14,6 +14,9 @@ removed, on all sides of the repeat.
 3. A shard's stretches form one text whose suffixes are sorted by induced sorting
    with disk-backed queues (``induced_sort``). Neighbours in that order with a
    common prefix of ``width`` bytes or more are repeats.
+   A shard of more than ``hot_bytes`` (a passage that very many documents hold in
+   different surroundings) is never held by a task: its starts are grouped by the
+   128-bit hash of their ``width`` bytes, added up within each chunk first.
 4. The starts found go back to the chunks, which cut their texts.
 
 Defined results: null text is empty; texts shorter than ``width`` lose nothing;
@@ -37,6 +40,7 @@ from .substring_dedup import CHUNK_BYTES, Sketch, anchors, chunk_count
 WIDTH = 200                 # fixed value (contract)
 ANCHOR = 32
 SHARD_BYTES = 2 << 20       # text bytes for which there is one shard
+HOT_BYTES = 8 << 20         # stretches a shard may hold to be sorted by one task
 BASE = 0xD6E8FEB86659FD93
 _BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64))
 _SLICE = 1 << 20
@@ -76,8 +80,40 @@ def _skipped(notes: pa.Table) -> set[int]:
     return set(notes.filter(pa.compute.equal(notes.column("block"), -1)).column("doc_id").to_pylist())
 
 
+def split_hot(parts: DataFrame, hot_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The stretches of the shards that one task may hold, and of the others."""
+    dealt = parts.filter("shard >= 0")
+    hot = F.broadcast(dealt.groupBy("shard").agg(F.sum(F.octet_length("data")).alias("n")).filter(F.col("n") > hot_bytes)
+                      .select("shard"))                     # at most one number a ``hot_bytes`` of stretches
+    return dealt.join(hot, "shard", "left_anti"), dealt.join(hot, "shard", "left_semi")
+
+
+def hot_repeats(hot: DataFrame, width: int) -> DataFrame:
+    """(chunk, rid, data) of the repeated starts of hot shards; no key has more rows than there are chunks, or than a chunk holds."""
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("data") - F.lit(width)))
+    starts = hot.select("chunk", "rid", "start", "known", "data", at.alias("i"))
+    string = F.substring("data", F.col("i") + 1, F.lit(width))
+    starts = starts.select("chunk", "rid", (F.col("start") + F.col("i")).alias("start"), "known",
+                           F.xxhash64(string).alias("a"), F.xxhash64(F.lit(7), string).alias("b"))
+    by_chunk = starts.groupBy("chunk", "a", "b").agg(F.count("*").alias("c"), F.max("known").alias("known"))
+    many = by_chunk.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("known").alias("known")).filter("c > 1 or known").select("a", "b")
+    told = by_chunk.select("chunk", "a", "b").join(many, ["a", "b"])
+    found = starts.filter("not known").join(told, ["chunk", "a", "b"]).select("chunk", "rid", "start")    # known ones are marked in their chunk
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk, rid, start = (batch.column(k).to_numpy() for k in range(3))
+            order = np.lexsort((rid, chunk))
+            chunk, rid, start = chunk[order], rid[order], start[order].astype(np.int32)
+            cut, end = runs(chunk, rid)
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[cut], pa.int32()), pa.array(rid[cut], pa.int64()), pa.array(
+                [start[x:y].tobytes() for x, y in zip(cut, end, strict=True)], pa.binary())], names=["chunk", "rid", "data"])
+
+    return found.mapInArrow(pack, "chunk int, rid long, data binary")
+
+
 def dedup_bytes(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, chunk_bytes: int = CHUNK_BYTES,
-                shard_bytes: int = SHARD_BYTES) -> DataFrame:
+                shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): one row for every row of ``docs``."""
     prepare(docs)
     text = F.col("text").cast("binary")
@@ -175,8 +211,9 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, chunk
                         starts.append((found + np.int32(rows[k][2])).tobytes())
         return pa.table({"chunk": pa.array(chunk, pa.int32()), "rid": pa.array(rid, pa.int64()), "data": pa.array(starts, pa.binary())})
 
-    found = parts.filter("shard >= 0").groupBy("shard").applyInArrow(sort_shard, "chunk int, rid long, data binary")
-    gone = (found.unionByName(parts.filter("shard < 0").select("chunk", "rid", "data"))
+    cold, hot_parts = split_hot(parts, hot_bytes)
+    found = cold.groupBy("shard").applyInArrow(sort_shard, "chunk int, rid long, data binary")
+    gone = (found.unionByName(hot_repeats(hot_parts, width)).unionByName(parts.filter("shard < 0").select("chunk", "rid", "data"))
             .unionByName(copies.select("chunk", F.col("doc_id").alias("rid"), F.lit(None).cast("binary").alias("data"))))
 
     def cut_texts(table: pa.Table, marks: pa.Table) -> pa.Table:

@@ -97,6 +97,32 @@ def test_byte_strings_against_brute_force(docs, empty):
     assert suffix_dedup.dedup_bytes(empty).count() == 0
 
 
+def test_passage_in_very_many_documents(spark):
+    """A passage in different surroundings: its shards are beyond what a task may hold."""
+    import random
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = noise(450)
+    rows = [(d, noise(rng.randint(50, 300)) + passage + noise(rng.randint(50, 300))) for d in range(80)] + [(d, noise(400)) for d in range(80, 100)]
+    rows += [(100, rows[3][1]), (101, rows[3][1][40:] + noise(60)), (102, None)]
+    seen, gone = defaultdict(list), defaultdict(set)
+    for d, t in rows:
+        for i in range(len(t or "") - 199):
+            seen[t[i:i + 200]].append((d, i))
+    for places in seen.values():
+        if len(places) > 1:
+            for d, i in places:
+                gone[d].update(range(i, i + 200))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_dedup.dedup_bytes(df, chunk_bytes=5000, shard_bytes=8000, hot_bytes=8000).collect()}
+    assert {d: r.n_removed for d, r in got.items()} == {d: len(gone[d]) for d, _ in rows}
+    assert all(bytes(got[d].kept) == bytes(x for i, x in enumerate((t or "").encode()) if i not in gone[d]) for d, t in rows)
+    parts = spark.createDataFrame([(d % 3 if d < 50 else 7, d % 4, d, 0, False, bytearray(t.encode()[:240])) for d, t in rows[:80]],
+                                  "shard long, chunk int, rid long, start int, known boolean, data binary")
+    cold, hot = suffix_dedup.split_hot(parts, 5000)
+    assert {r.shard for r in hot.select("shard").distinct().collect()} == {7} and cold.count() == 50
+
+
 @pytest.mark.parametrize("limit", [10, 1 << 20])
 def test_induced_sort(monkeypatch, limit):
     monkeypatch.setattr(induced_sort.BucketQueues.__init__, "__defaults__", (limit,))
