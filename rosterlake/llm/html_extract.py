@@ -12,7 +12,8 @@ few labelled seed pages for layouts without such marks. Prediction reads every
 page whole and shuffles nothing.
 
 Defined results: null or empty html gives empty text; pages without any block
-give their loose text the root's verdict; broken markup is read as browsers do
+give their loose text the root's verdict, beside blocks it is a node of its own at the
+root; svg, math and option have no text and end with their parent; broken markup is read as browsers do
 (open paragraphs end at the next block, cut tags and comments at the end are
 dropped).
 """
@@ -44,8 +45,9 @@ CATEGORY = ({t: "heading" for t in HEADINGS} | {t: "item" for t in ("li", "dt",
             | {t: "table" for t in ("table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption")}
             | {t: "quote" for t in ("blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "hgroup", "center")}
             | {t: t for t in ("p", "div", "section", "article", "main", "nav", "aside", "header", "footer", "form")}
-            | {t: "form" for t in ("fieldset", "dialog")})
-DROPPED = ("script", "style", "noscript", "template", "iframe", "svg", "select", "textarea", "title", "button", "object", "canvas", "math", "option")
+            | {t: "form" for t in ("fieldset", "dialog")} | {"body": "body"})
+DROPPED = ("script", "style", "noscript", "template", "iframe", "select", "textarea", "title", "button", "object", "canvas")
+SILENT = frozenset(("svg", "math", "option"))      # elements without text of the page: they end with their tag or their parent
 BOILER_WORDS = frozenset("""nav navbar navigation menu sidebar side footer foot header masthead banner ad ads adv advert adverts
 advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification popup modal overlay
 newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments
@@ -55,7 +57,7 @@ CONTENT_WORDS = frozenset("article content post entry story main body text".spli
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(DROPPED) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>" + "|".join(DROPPED) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>"
     r"|<[a-z/!?][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)", re.I | re.S)
@@ -78,15 +80,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     stack: list[int] = []
     piece: list[str] = []
     in_link = False
+    silent: list[str] = []                      # an open element without text of the page, and the inline ones open in it
+    body = Node(-1, "body", 2, None)            # holds the text in no block; its hint: whether the page marks its article
+    nodes.append(body)
 
     def flush() -> None:
         if piece:
             text = " ".join(html_lib.unescape("".join(piece)).split())
             piece.clear()
             if text:
-                blocks.append((stack[-1] if stack else -1, text))
-                if stack:
-                    nodes[stack[-1]].size += len(text)
+                blocks.append((stack[-1] if stack else 0, text))
+                nodes[blocks[-1][0]].size += len(text)
 
     def close(stop: set[str], within: tuple[str, ...]) -> None:
         """End the innermost open element of ``stop`` unless one of ``within`` is nearer."""
@@ -101,20 +105,36 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     for m in _TOKEN.finditer(page):
         text = m.group("text")
         if text is not None:
-            piece.append(text)
-            if in_link and stack:
-                nodes[stack[-1]].links += len(text.strip())
+            if not silent:
+                piece.append(text)
+                if in_link:
+                    nodes[stack[-1] if stack else 0].links += len(text.strip())
             continue
         tag = (m.group("tag") or "").lower()
         if not tag:
             continue
-        if tag not in CATEGORY:
+        if tag in CATEGORY or tag == "html":
+            silent.clear()                      # a block begins or ends
+        elif silent and not m.group("end"):
+            silent.append(tag)
+            continue
+        elif silent and tag in silent:
+            del silent[len(silent) - 1 - silent[::-1].index(tag):]
+            continue
+        elif tag in SILENT:
+            if not m.group("end") and not (m.group("attrs").endswith("/") and tag != "option"):
+                silent.append(tag)
+            continue
+        silent.clear()                          # here it is its parent's end
+        if tag not in CATEGORY or tag == "body":
             if tag == "a":
                 in_link = not m.group("end")
             elif tag in ("br", "hr", "img", "wbr"):
                 piece.append(" ")
             elif tag in ("html", "body", "head"):
                 flush()
+                if tag == "body" and m.group("attrs"):
+                    body.label = _attributes(m.group("attrs"))[1]
             continue
         flush()
         if m.group("end"):
@@ -131,12 +151,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         elif tag in HEADINGS:
             close(HEADINGS, ("div", "section", "article", "td", "li"))
         hint, label = _attributes(m.group("attrs") or "")
-        parent = stack[-1] if stack else -1
-        if parent >= 0:
+        parent = stack[-1] if stack else 0
+        if parent:
             nodes[parent].kids += 1
+        if tag in ("article", "main"):
+            body.hint = 1
         stack.append(len(nodes))
         nodes.append(Node(parent, tag, hint, label))
     flush()
+    if body.size == 0 or len(nodes) == 1:       # no loose text beside blocks: no body node
+        for n in nodes:
+            n.parent -= 1
+        return nodes[1:], [(k - 1, text) for k, text in blocks]
     return nodes, blocks
 
 
@@ -146,7 +172,7 @@ def _attributes(attrs: str) -> tuple[int, int | None]:
     for name, value in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "data-y":
-            label = int(value)
+            label = int(value) if value in ("0", "1") else label
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             hint = 1
         elif name == "style":
@@ -161,14 +187,14 @@ def _attributes(attrs: str) -> tuple[int, int | None]:
 
 
 def _emissions(nodes: list[Node]) -> list[tuple[int, int, int, int]]:
-    """Per node (hint, inner or leaf, text size class, link share class), sizes of the subtree."""
+    """Per node (hint, leaf, inner or body, text size class, link share class), sizes of the subtree."""
     size = [n.size for n in nodes]
     links = [n.links for n in nodes]
     for k in range(len(nodes) - 1, -1, -1):
-        if (p := nodes[k].parent) >= 0:
+        if (p := nodes[k].parent) >= 0 and nodes[p].tag != "body":     # the body's are those of its loose text
             size[p] += size[k]
             links[p] += links[k]
-    return [(n.hint, int(n.kids > 0), min(6, s.bit_length() // 2), 0 if not x else 1 + min(2, int(3 * x / max(s, 1))))
+    return [(n.hint, 2 if n.tag == "body" else int(n.kids > 0), min(6, s.bit_length() // 2), 0 if not x else 1 + min(2, int(3 * x / max(s, 1))))
             for n, s, x in zip(nodes, size, links, strict=True)]
 
 
@@ -200,6 +226,13 @@ SEEDS = [
     f"""<section data-y=1><h1 data-y=1>Title</h1><div class="text" data-y=1><p data-y=1>{_BODY}</p><p class="notice" data-y=0>{_BODY}</p>
     <ul class="menu" data-y=0><li data-y=0><a>Go</a></li></ul></div></section><section class="newsletter" data-y=0><p data-y=0>{_BODY}</p></section>
     <div class="cookie-banner" data-y=0><p data-y=0>{_BODY}</p></div>""",
+    f"""<body data-y=1><div class="menu" data-y=0><a>Home</a></div><h1 data-y=1>Title</h1>{_BODY}<br>{_BODY}<h2 data-y=1>Part</h2>{_BODY}
+    <div class="footer" data-y=0>Imprint</div></body>""",
+    f"""<body data-y=1>{_BODY}<p data-y=1>{_BODY}<ul data-y=1><li data-y=1>One point of it.</li></ul></body>""",
+    f"""<body data-y=0><div class="menu" data-y=0><a>Home</a></div> | <div data-y=1><h1 data-y=1>Title</h1><p data-y=1>{_BODY}</p></div>Imprint</body>""",
+    *(f"<body data-y=1><h1 data-y=1>Title</h1>{text}<br>{text}</body>" for text in (_BODY[:90], _BODY[:220], _BODY * 2, _BODY * 8)),
+    *(f'<body data-y=0>{text}<div class="content" data-y=1><h1 data-y=1>Title</h1><p data-y=1>{_BODY}</p></div></body>' for text in (
+        "Home", "Imprint and contact", "Our motto, and contact of this site", "<a>Home</a> <a>News</a>", "<a>Some link</a> " * 40)),
 ]
 _OUT_TAGS = {"nav", "aside", "footer", "form"}
 
@@ -217,15 +250,20 @@ def _labels(nodes: list[Node]) -> list[int]:
     return out
 
 
+def _above(nodes: list[Node], parent: int, y: int) -> int:
+    """The parent's state as the potentials know it: 3 and 4 are the body's."""
+    return y + 3 if nodes[parent].tag == "body" else y
+
+
 def count_page(page: str, into: Counter, weight: int = 1) -> None:
     nodes, _ = parse(page)
     labels, emitted = _labels(nodes), _emissions(nodes)
     for n, y, (hint, inner, size, link) in zip(nodes, labels, emitted, strict=True):
-        above = labels[n.parent] if n.parent >= 0 else 2
+        above = _above(nodes, n.parent, labels[n.parent]) if n.parent >= 0 else 2
         into["tree", above * 3 + hint, n.cat, y] += weight
         into["hint", hint, "", y] += weight
-        into["size", inner * 8 + size, "", y] += weight
-        into["link", inner * 8 + link, "", y] += weight
+        into["body" if inner == 2 else "size", inner * 8 + size, "", y] += weight
+        into["body" if inner == 2 else "link", inner * 8 + (8 if inner == 2 else 0) + link, "", y] += weight
 
 
 class PageModel:
@@ -239,22 +277,30 @@ class PageModel:
             n0, n1 = (counts.get(("hint", hint, "", y), 0) + s for y in (0, 1))
             by_hint[hint] = n1 / (n0 + n1)
         self.tree = {}                              # (parent's state, hint, tag kind) -> P(state)
-        for above in (0, 1, 2):                     # 2: no parent
+        for above in (0, 1, 2, 3, 4):               # 2: no parent; 3, 4: a body with loose text that isn't main text, or is
             for hint in range(3):
                 for c in cats:
                     n0, n1 = (counts.get(("tree", above * 3 + hint, c, y), 0) for y in (0, 1))
-                    prior = by_hint[hint] if above == 2 or hint == 1 else 0.1 + 0.8 * above
+                    if above > 2:                   # as without a parent, or within main text, unless counted otherwise
+                        prior = self.tree[2 if above == 3 else 1, hint, c][1]
+                    elif c == "body":
+                        prior = 0.1 if hint == 1 else 0.5
+                    else:
+                        prior = by_hint[hint] if above == 2 or hint == 1 else 0.1 + 0.8 * above
                     p = (n1 + BACKOFF * prior) / (n0 + n1 + BACKOFF)
                     self.tree[above, hint, c] = (1 - p, p)
         self.ratio = {}
-        for kind, values in (("size", range(16)), ("link", range(16))):
+        for kind, values in (("size", range(16)), ("link", range(16)), ("body", range(16, 24)), ("body", range(24, 28))):
             totals = [sum(counts.get((kind, v, "", y), 0) + s for v in values) for y in (0, 1)]
             for v in values:
                 p0, p1 = ((counts.get((kind, v, "", y), 0) + s) / totals[y] for y in (0, 1))
                 self.ratio[kind, v] = math.log(p1 / p0)
 
     def unary(self, inner: int, size: int, link: int) -> tuple[float, float]:
-        r = SIZE_WEIGHT * self.ratio["size", inner * 8 + size] + LINK_WEIGHT * self.ratio["link", inner * 8 + link]
+        if inner == 2:                          # nothing else says what a body's loose text is
+            r = self.ratio["body", 16 + size] + self.ratio["body", 24 + link]
+        else:
+            r = SIZE_WEIGHT * self.ratio["size", inner * 8 + size] + LINK_WEIGHT * self.ratio["link", inner * 8 + link]
         r = max(-30.0, min(30.0, r))
         return 1 / (1 + math.exp(r)), 1 / (1 + math.exp(-r))
 
@@ -268,7 +314,7 @@ class PageModel:
             if p >= 0:
                 a, b = phi[k]
                 h, c = nodes[k].hint, nodes[k].cat
-                t0, t1 = self.tree[0, h, c], self.tree[1, h, c]
+                t0, t1 = self.tree[_above(nodes, p, 0), h, c], self.tree[_above(nodes, p, 1), h, c]
                 m0, m1 = t0[0] * a + t0[1] * b, t1[0] * a + t1[1] * b
                 z = m0 + m1
                 up[k] = m0, m1 = m0 / z, m1 / z
@@ -284,7 +330,7 @@ class PageModel:
             else:
                 q1 = out[p] / max(up[k][1], 1e-300)        # the parent's belief without this child
                 q0 = (1 - out[p]) / max(up[k][0], 1e-300)
-                t0, t1 = self.tree[0, h, cat], self.tree[1, h, cat]
+                t0, t1 = self.tree[_above(nodes, p, 0), h, cat], self.tree[_above(nodes, p, 1), h, cat]
                 d0, d1 = q0 * t0[0] + q1 * t1[0], q0 * t0[1] + q1 * t1[1]
             b0, b1 = d0 * phi[k][0], d1 * phi[k][1]
             out[k] = b1 / (b0 + b1)
@@ -294,7 +340,7 @@ class PageModel:
         nodes, blocks = parse(page)
         p = self.marginals(nodes)
         loose = self.tree[2, 0, "p"][1]
-        return "\n".join(text for k, text in blocks if (p[k] if k >= 0 else loose if not nodes else 0.0) > 0.5)
+        return "\n".join(text for k, text in blocks if (p[k] if k >= 0 else loose) > 0.5)
 
 
 def train(pages: DataFrame, max_pages: int = MAX_TRAIN_PAGES) -> PageModel:

@@ -301,6 +301,38 @@ def test_pages(page, want):
     assert html_extract.PageModel(dict(counts)).extract(page) == want
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<body><h1>T</h1>{BODY}<br>{BODY}<div class=footer>x</div>", f"T\n{BODY} {BODY}"),
+    (f"<body class=has-sidebar><ul class=menu><li><a>Home</a></ul>{BODY} {BODY}<p>{BODY}</p></body>", f"{BODY} {BODY}\n{BODY}"),
+    (f"<nav><a>Home</a></nav> | <article><p>{BODY}</p></article> &copy; us <footer>x</footer>", BODY),
+    (f"<body><a>Home</a> | <a>News</a><div class=content><p>{BODY}</p></div>Imprint</body>", BODY),
+    ("<article><svg-icon name=x></svg-icon><p>main text</p></article>", "main text"),
+    (f"<form><datalist><option value=a></datalist></form><article><p>{BODY}</p></article>", BODY),
+    (f"<article><a><svg><g><text>no</text></g></a><p>{BODY} <svg viewBox='0'><path/><text>no</text></svg>yes <math><mi>x</mi></math></p></article>", f"{BODY} yes"),
+    (f"<article><svg/><p data-y=x>{BODY}</p><option>no<p>{BODY}</p></article>", f"{BODY}\n{BODY}"),
+])
+def test_loose_text_and_nested_elements(page, want):
+    test_pages(page, want)
+
+
+def test_marginals_with_a_body():
+    from itertools import product
+    counts: Counter = Counter()
+    for seed in html_extract.SEEDS:
+        html_extract.count_page(seed, counts)
+    m = html_extract.PageModel(dict(counts))
+    nodes, _ = html_extract.parse(f"<body><h1>T</h1>{BODY}<div class=ad><p>x</p></div><p>{BODY}</p>")
+    phi = [m.unary(*e[1:]) for e in html_extract._emissions(nodes)]
+    total, yes = 0.0, [0.0] * len(nodes)
+    for y in product((0, 1), repeat=len(nodes)):
+        p = 1.0
+        for k, n in enumerate(nodes):
+            p *= m.tree[2 if n.parent < 0 else y[n.parent] + 3 * (n.parent == 0), n.hint, n.cat][y[k]] * phi[k][y[k]]
+        total += p
+        yes = [a + p * b for a, b in zip(yes, y, strict=True)]
+    assert nodes[0].tag == "body" and m.marginals(nodes) == pytest.approx([v / total for v in yes])
+
+
 def test_marginals_are_exact():
     """Sum-product against all assignments of a small tree."""
     from itertools import product
