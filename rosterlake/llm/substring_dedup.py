@@ -20,8 +20,8 @@ Text is shuffled by chunk (never by content), so a hot passage or a large group
 of copies spreads over all chunks and adds at most one row a chunk to its key.
 
 Defined results: null text has no words; fewer than ``width`` words hold no
-window and lose nothing; rows that share a doc_id are one place, so neither is
-earlier; rows with a null doc_id are no document: they lose nothing and count
+window and lose nothing; rows that share a doc_id are told apart by their text
+and neither is earlier than the other; rows with a null doc_id are no document: they lose nothing and count
 for nothing. Words are bytes between ASCII white space, unchanged.
 """
 
@@ -144,32 +144,37 @@ class Sketch:
         return keep
 
 
-def _slices(table: pa.Table, copies: set[int]) -> Iterator[tuple[list[int], list[list[bytes]]]]:
-    """(doc ids, words) of a chunk's documents that take part, in bounded slices."""
-    ids, texts = table.column("doc_id").to_pylist(), table.column("text")
+def _slices(table: pa.Table, copies: set[int]) -> Iterator[tuple[list[tuple[int, int]], list[list[bytes]]]]:
+    """((row id, doc id) pairs, words) of a chunk's documents that take part, in bounded slices."""
+    ids, texts = list(zip(table.column("rid").to_pylist(), table.column("doc_id").to_pylist(), strict=True)), table.column("text")
     lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy())
     for a, b in slices(lengths, SLICE_BYTES // 2):
         part = [(d, t.split()) for d, t in zip(ids[a:b], texts.slice(a, b - a).to_pylist(), strict=True)
-                if t and d is not None and d not in copies]
+                if t and d[0] is not None and d[0] not in copies]
         if part:
             yield [d for d, _ in part], [w for _, w in part]
 
 
 def _copies(notes: pa.Table) -> set[int]:
+    """Row ids (under the notes' name doc_id) of the whole copies."""
     return set(notes.filter(pa.compute.equal(notes.column("block"), -1)).column("doc_id").to_pylist())
 
 
-def repeated_copies(docs: DataFrame, key: Column) -> DataFrame:
-    """doc_id of every row whose whole text has been there with a smaller doc_id (pre-aggregated by hash)."""
+def row_id() -> Column:
+    """A number for doc_id and text together; null without a doc_id."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.xxhash64("text"), F.xxhash64(F.lit(7), "text")))
+
+
+def repeated_copies(docs: DataFrame) -> DataFrame:
+    """rid of every row whose whole text has been there with a smaller doc_id (pre-aggregated by hash)."""
     hashed = docs.filter("doc_id is not null and text is not null").select(
-        "doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"), F.octet_length("text").alias("n"))
+        row_id().alias("rid"), "doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"), F.octet_length("text").alias("n"))
     firsts = hashed.groupBy("a", "b", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1")
-    return (hashed.join(firsts, ["a", "b", "n"]).filter("doc_id > first")
-            .groupBy("doc_id").agg(F.lit(-1).alias("block")).withColumn("chunk", key))
+    return hashed.join(firsts, ["a", "b", "n"]).filter("doc_id > first").select("rid").distinct()
 
 
-def chunk_of(chunks: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")
+def chunk_of(rid: Column, chunks: int) -> Column:
+    return F.pmod(rid, F.lit(chunks)).cast("int")
 
 
 def chunk_count(docs: DataFrame, chunk_bytes: int) -> tuple[int, int]:
@@ -186,10 +191,10 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
     # about 6 bytes a word; 2 anchors in width - anchor + 2 places
     sketch = Sketch(total // (3 * (width - anchor + 2)) + 1, depth, cells_per_anchor)
     # a null doc_id takes no part; its rows are spread by text
-    chunk = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(chunks)).cast("int")).otherwise(chunk_of(chunks))
-    dealt = base.select(chunk.alias("chunk"), "doc_id", as_bytes("text"))
-    copies = stored(repeated_copies(base, chunk_of(chunks)).select("chunk", "doc_id", F.col("block").cast("long"),
-                                                                   F.lit(None).cast("binary").alias("data")), "copies")
+    chunk = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(chunks)).cast("int")).otherwise(chunk_of(row_id(), chunks))
+    dealt = base.select(chunk.alias("chunk"), row_id().alias("rid"), "doc_id", as_bytes("text"))
+    copies = stored(repeated_copies(base).select(chunk_of(F.col("rid"), chunks).alias("chunk"), F.col("rid").alias("doc_id"),
+                                                 F.lit(-1).cast("long").alias("block"), F.lit(None).cast("binary").alias("data")), "copies")
     grouped = dealt.groupBy("chunk")
 
     def local_sketch(key, table: pa.Table, notes: pa.Table) -> pa.Table:
@@ -211,7 +216,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
         skip, hashes, hasher = _copies(notes), WordHashes(), WindowHash(BASE3)
         first, second = WindowHash(BASE1), WindowHash(BASE2)
         marked = sketch.marked(notes)
-        h1, h2, doc, at = [], [], [], []
+        h1, h2, rid, doc, at = [], [], [], [], []
         for ids, words in _slices(table, skip):
             w = _Words(words, hashes)
             starts = w.starts(width)
@@ -222,56 +227,60 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
                 owner = w.owner[starts]
                 h1.append(first(w.x, width)[starts])
                 h2.append(second(w.x, width)[starts])
-                doc.append(np.array(ids, dtype=np.int64)[owner])
+                both = np.array(ids, dtype=np.int64)[owner]
+                rid.append(both[:, 0])
+                doc.append(both[:, 1])
                 at.append(starts - w.begins[owner])
         if not h1:
-            return _removals(key, [], [], [], [], [])
-        h1, h2, doc, at = (np.concatenate(v) for v in (h1, h2, doc, at))
-        order = np.lexsort((at, doc, h2, h1))
-        h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
+            return _removals(key, [], [], [], [], [], [])
+        h1, h2, rid, doc, at = (np.concatenate(v) for v in (h1, h2, rid, doc, at))
+        order = np.lexsort((at, rid, doc, h2, h1))
+        h1, h2, rid, doc, at = h1[order], h2[order], rid[order], doc[order], at[order]
         new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = (doc != doc[lead]) | (at != at[lead])      # not the chunk's first place
-        one = new
-        local_doc, local_at = doc[later], at[later]
-        by = np.lexsort((local_at, local_doc))
-        local_doc, local_at = local_doc[by], local_at[by]
-        cut, end = runs(local_doc)
+        row = new | np.concatenate([[True], rid[1:] != rid[:-1]])              # a row is in one chunk: its first place is here
+        first_at = at[np.flatnonzero(row)[np.cumsum(row) - 1]]
+        later = (doc != doc[lead]) | (at != first_at)      # not the first document of the chunk, or not its first place
+        one = row & ~later
+        local_rid, local_at = rid[later], at[later]
+        by = np.lexsort((local_at, local_rid))
+        local_rid, local_at = local_rid[by], local_at[by]
+        cut, end = runs(local_rid)
         pieces = [local_at[a:b].astype(np.int32).tobytes() for a, b in zip(cut, end, strict=True)]
-        return _removals(key, h1[one].view(np.int64), h2[one].view(np.int64), doc[one], at[one], list(zip(local_doc[cut].tolist(), pieces, strict=True)))
+        return _removals(key, h1[one].view(np.int64), h2[one].view(np.int64), rid[one], doc[one], at[one], list(zip(local_rid[cut].tolist(), pieces, strict=True)))
 
     places = stored(grouped.cogroup(hot.unionByName(copies).groupBy("chunk")).applyInArrow(
-        candidates, "h1 long, h2 long, chunk int, doc_id long, start int, local binary"), "windows")
-    order = Window.partitionBy("h1", "h2").orderBy("doc_id", "start")
+        candidates, "h1 long, h2 long, chunk int, rid long, doc_id long, start int, local binary"), "windows")
+    order = Window.partitionBy("h1", "h2").orderBy("doc_id")
     later = (places.filter("local is null").withColumn("r", F.rank().over(order)).filter("r > 1")
-             .select("chunk", "doc_id", "start", F.lit(None).cast("binary").alias("local")))
-    gone = later.unionByName(places.filter("local is not null").select("chunk", "doc_id", "start", "local")).unionByName(
-        copies.select("chunk", "doc_id", F.lit(-1).alias("start"), F.lit(None).cast("binary").alias("local")))
+             .select("chunk", "rid", "start", F.lit(None).cast("binary").alias("local")))
+    gone = later.unionByName(places.filter("local is not null").select("chunk", "rid", "start", "local")).unionByName(
+        copies.select("chunk", F.col("doc_id").alias("rid"), F.lit(-1).alias("start"), F.lit(None).cast("binary").alias("local")))
 
     def cut_texts(key, table: pa.Table, marks: pa.Table) -> pa.Table:
         gone: dict[int, list] = {}
         whole: set[int] = set()
         single = marks.filter(pa.compute.greater_equal(marks.column("start"), 0))
-        d, s = single.column("doc_id").to_numpy(), single.column("start").to_numpy()
+        d, s = single.column("rid").to_numpy(), single.column("start").to_numpy()
         by = np.argsort(d, kind="stable")
         d, s = d[by], s[by]
         for a, b in zip(*runs(d), strict=True):
             gone[int(d[a])] = [s[a:b]]
         other = marks.filter(pa.compute.less(marks.column("start"), 0))
-        for doc, local in zip(other.column("doc_id").to_pylist(), other.column("local").to_pylist(), strict=True):
+        for rid, local in zip(other.column("rid").to_pylist(), other.column("local").to_pylist(), strict=True):
             if local is None:
-                whole.add(doc)
+                whole.add(rid)
             else:
-                gone.setdefault(doc, []).append(np.frombuffer(local, np.int32))
+                gone.setdefault(rid, []).append(np.frombuffer(local, np.int32))
         ids = table.column("doc_id").to_pylist()
         n_words, n_removed, kept = [], [], []
-        for doc, text in zip(ids, table.column("text").to_pylist(), strict=True):
+        for rid, text in zip(table.column("rid").to_pylist(), table.column("text").to_pylist(), strict=True):
             words = (text or b"").split()
             removed = 0
-            if doc in whole and len(words) >= width:
+            if rid in whole and len(words) >= width:
                 removed, words_left = len(words), []
-            elif doc in gone:
-                mask = covered(np.concatenate(gone[doc]).astype(np.int64), width, len(words))
+            elif rid in gone:
+                mask = covered(np.concatenate(gone[rid]).astype(np.int64), width, len(words))
                 removed = int(mask.sum())
                 words_left = [x for x, m in zip(words, mask.tolist(), strict=True) if not m]
             else:
@@ -286,13 +295,14 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
     return out.withColumn("kept_text", F.col("kept_text").cast("string"))
 
 
-def _removals(key, h1, h2, doc, at, local: list[tuple[int, bytes]]) -> pa.Table:
-    """First windows of a chunk, then per document the starts found later in the chunk itself."""
+def _removals(key, h1, h2, rid, doc, at, local: list[tuple[int, bytes]]) -> pa.Table:
+    """First windows of a chunk, then per row the starts found later in the chunk itself."""
     n, m = len(h1), len(local)
     return pa.table({
         "h1": pa.concat_arrays([pa.array(h1, pa.int64()), pa.nulls(m, pa.int64())]),
         "h2": pa.concat_arrays([pa.array(h2, pa.int64()), pa.nulls(m, pa.int64())]),
         "chunk": pa.array(np.full(n + m, key[0].as_py(), dtype=np.int32)),
-        "doc_id": pa.concat_arrays([pa.array(doc, pa.int64()), pa.array([d for d, _ in local], pa.int64())]),
+        "rid": pa.concat_arrays([pa.array(rid, pa.int64()), pa.array([r for r, _ in local], pa.int64())]),
+        "doc_id": pa.concat_arrays([pa.array(doc, pa.int64()), pa.nulls(m, pa.int64())]),
         "start": pa.concat_arrays([pa.array(np.asarray(at, dtype=np.int32)), pa.array(np.full(m, -1, dtype=np.int32))]),
         "local": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([x for _, x in local], pa.binary())])})

@@ -75,6 +75,30 @@ def test_word_windows_against_brute_force(docs, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+@pytest.mark.parametrize("chunk_bytes", [600, 1 << 20])
+def test_word_windows_of_rows_that_share_a_doc_id(spark, chunk_bytes):
+    import random
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    passage, other = words(30), words(25)
+    rows = [(1, passage + words(5)), (1, words(4) + passage + words(9)), (2, other), (3, other), (3, words(600) + other + words(3) + passage),
+            (3, words(30)), (4, words(400) + passage + words(5) + passage + other), (4, passage), (4, passage), (5, words(50)), (None, passage), (0, words(3) + other + other)]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    seen = defaultdict(list)
+    for k, (d, t) in enumerate(rows):
+        for i in range(len(t.split()) - 19 if d is not None else 0):
+            seen[tuple(t.split()[i:i + 20])].append((d, k, i))
+    late = defaultdict(set)
+    for places in seen.values():
+        for d, k, i in places:
+            if any(e < d or (m == k and j < i) for e, m, j in places):
+                late[k].update(range(i, i + 20))
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=chunk_bytes).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    want = [(d, len(w), len(late[k]), " ".join(x for i, x in enumerate(w) if i not in late[k])) for k, (d, t) in enumerate(rows) for w in [t.split()]]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key) and sum(map(len, late.values())) > 100
+
+
 def test_byte_strings_against_brute_force(docs, empty):
     rows, seen = corpus(), defaultdict(list)
     for d, t, *_ in rows:
