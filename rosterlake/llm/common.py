@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterlake.session import ensure_checkpoint_dir, ship_package
+from rosterlake.session import ensure_checkpoint_dir, is_classic, ship_package
 
 # The contracts' white space, as code points U+0020, U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -42,13 +42,26 @@ def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     spark = df.sparkSession
     path = shared_path(spark, label)
     writer = df.write.option("compression", "zstd")
-    before = spark.conf.get(_CLEANUP)
+    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the folders of ``stored`` tables that nothing will read again. Tables that
+    the caller's lazy result still reads must stay; so does everything where the session
+    gives no file system (Spark Connect)."""
+    for df in tables:
+        path, spark = getattr(df, "_stored_at", None), df.sparkSession
+        if path and is_classic(spark):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def as_bytes(name: str) -> Column:
@@ -109,12 +122,17 @@ def record_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of arange(s, s + n) for every pair."""
-    lengths = np.asarray(lengths, dtype=np.int64)
-    total = int(lengths.sum())
-    if total == 0:
+    starts, lengths = np.asarray(starts, dtype=np.int64), np.asarray(lengths, dtype=np.int64)
+    full = lengths > 0
+    if not full.all():
+        starts, lengths = starts[full], lengths[full]
+    if not len(lengths):
         return np.zeros(0, dtype=np.int64)
     ends = np.cumsum(lengths)
-    return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, dtype=np.int64) - (ends - lengths), lengths)
+    out = np.ones(int(ends[-1]), dtype=np.int64)          # steps; a running sum makes places of them
+    out[0] = starts[0]
+    out[ends[:-1]] = starts[1:] - starts[:-1] - lengths[:-1] + 1
+    return np.cumsum(out, out=out)
 
 
 def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,4 +1,4 @@
-"""The registered queries ``op1`` to ``op10`` under their contracts, and their SQL.
+"""The registered queries ``op1`` to ``op13`` under their contracts, and their SQL.
 
 Every query reads its whole table. ``ORACLE_SQL`` holds DuckDB SQL where SQL can
 express the contract; the others are tested against brute force in tests/llm.
@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, jaccard_join, language_id, license_scan, line_dedup, quality_rules, substring_dedup, suffix_dedup
+from . import (bpe, decontaminate, html_extract, jaccard_join, language_id, lexical_search, license_scan, line_dedup, periodic_runs, piece_bpe,
+               quality_rules, substring_dedup, suffix_dedup)
 from .common import table
 
 # Where the public tokenizer files lie; the file goes from the driver to the tasks.
@@ -82,8 +83,44 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages, html_extract.train(pages))
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_bpe.encode_digests(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "item_id")
+
+
+def folded(docs: DataFrame) -> DataFrame:
+    """The contract's words: with h = crc32(doc_id), g = h div 10, a tenth of the documents
+    goes on from word a = g % n by repeating the p = 1 + (n - a) div (3 + g % 8) words there."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.expr("crc32(cast(doc_id as string)) div 10")
+
+    def fold(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("int")
+        at = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i)
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, at(i))), " "))
+
+    words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
+    return docs.withColumn("text", F.when(h % 10 == 0, F.get(F.transform(F.array(words), fold), F.lit(0))).otherwise(F.col("text")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.detect_runs(folded(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")))
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("kept_text", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_suffix_dedup, op3_bpe, op4_decontaminate, op5_jaccard_join, op6_license_scan, op7_quality_rules, op8_language_id, op9_line_dedup, op10_html_extract)}
+    op1_substring_dedup, op2_suffix_dedup, op3_bpe, op4_decontaminate, op5_jaccard_join, op6_license_scan, op7_quality_rules, op8_language_id, op9_line_dedup,
+    op10_html_extract, op11_piece_bpe, op12_lexical_search, op13_periodic_runs)}
 
 _WS = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -168,4 +205,20 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_substring_dedup": _OP1, "op4_decontaminate": _OP4, "op7_quality_rules": _op7_sql(), "op9_line_dedup": _OP9}
+_OP12_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_OP12_WORD}') AS w FROM documents),
+     total AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(coalesce(sum(len(w)), 0) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+     q AS (SELECT item_id, text, term, count(*) AS times FROM (
+           SELECT item_id, text, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_OP12_WORD}')) AS term
+           FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+     tf AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+     weight AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (
+                SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+     part AS (SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))) AS s FROM tf JOIN weight USING (term), total),
+     hit AS (SELECT item_id, text, row, doc_id, CAST(sum(times * s) AS BIGINT) AS score FROM q JOIN part USING (term) GROUP BY ALL),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank FROM hit WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= {lexical_search.TOP}
+"""
+
+ORACLE_SQL = {"op1_substring_dedup": _OP1, "op4_decontaminate": _OP4, "op7_quality_rules": _op7_sql(), "op9_line_dedup": _OP9, "op12_lexical_search": _OP12}
