@@ -45,7 +45,7 @@ from .common import as_bytes, discard, prepare, ranges, stored, text_slices
 TOP = 10
 SHARD_DOCUMENTS = 8192
 SHARD_POSTINGS = 400_000
-BLOCK = 128                   # documents a block has on average, in a long list
+BLOCK = 256                   # documents a block has on average, in a long list
 SKETCH = 32                   # dimensions of the sketches that blocks are formed by
 QUERY_TERMS = 200_000         # query terms sent to the tasks at a time
 FILTER_BITS = 1 << 20
@@ -55,9 +55,12 @@ QUERY, TERM, RANK = "_query", "_term", "rank"
 # Fixed value: bytes that belong to a term; capitals count as small letters.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
-_INDEX = ("doc_ids array<long>, first array<int>, term array<int>, impact array<int>, vocabulary array<binary>, documents array<int>, "
-          "block_term array<int>, member_first array<int>, members array<int>, "
-          "summary_first array<int>, summary_block array<int>, summary_max array<int>")
+# A shard is one row. Its number arrays are 32-bit, little-endian and compressed: as Spark
+# arrays, the thousands of rows that a Parquet reader holds would be far larger than a task.
+_LISTS = {"doc_ids": "array<long>", "vocabulary": "array<binary>", "documents": "array<int>"}
+_PACKED = ("first", "term", "impact", "block_term", "member_first", "members", "summary_first", "summary_block", "summary_max")
+_INDEX = ", ".join([*(f"{c} {t}" for c, t in _LISTS.items()), *(f"{c} binary" for c in _PACKED)])
+_CODEC = "zstd"
 
 
 def terms_of(text: bytes | None) -> list[bytes]:
@@ -114,6 +117,15 @@ def vocabulary_bitmap(terms: DataFrame) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def _pack(values) -> bytes:
+    raw = np.ascontiguousarray(values, dtype="<i4").tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_CODEC, asbytes=True)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec=_CODEC, asbytes=True), dtype="<i4")
+
+
 def _blocks(members: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The documents of one posting list by block, and the blocks' sizes."""
     count = -(-len(members) // BLOCK)
@@ -125,7 +137,7 @@ def _blocks(members: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.nda
     return members[np.argsort(nearest, kind="stable")], sizes[sizes > 0]
 
 
-def build_shard(doc_ids: list, sizes: np.ndarray, terms: list[bytes], impact: np.ndarray) -> tuple:
+def build_shard(doc_ids: list, sizes: np.ndarray, terms: list[bytes], impact: np.ndarray) -> dict:
     """One row of the index (see ``_INDEX``) for documents with ``sizes`` terms each."""
     names = sorted(set(terms))
     number = {t: k for k, t in enumerate(names)}
@@ -167,8 +179,9 @@ def build_shard(doc_ids: list, sizes: np.ndarray, terms: list[bytes], impact: np
     order = np.argsort(place)                                         # by term, then block
     place = place[order]
     summary_first = np.searchsorted(place >> 32, np.arange(width + 1))
-    return (doc_ids, first, term, impact, names, listed, join(block_term), np.concatenate([[0], np.cumsum(join(block_sizes))]), join(members),
-            summary_first, place & 0xFFFFFFFF, top[order])
+    numbers = (first, term, impact, join(block_term), np.concatenate([[0], np.cumsum(join(block_sizes))]), join(members),
+               summary_first, place & 0xFFFFFFFF, top[order])
+    return {"doc_ids": doc_ids, "vocabulary": names, "documents": listed.tolist()} | {c: _pack(x) for c, x in zip(_PACKED, numbers, strict=True)}
 
 
 def build_index(counts: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
@@ -176,7 +189,8 @@ def build_index(counts: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     many documents have a term and how many terms they have."""
     prepare(counts)
     df = counts.select(F.col("doc_id").cast("long").alias("doc_id"), "n", "terms", "tfs").where("size(terms) > 0")
-    schema = pa.schema([(c.split()[0], pa.list_({"array<long>": pa.int64(), "array<int>": pa.int32(), "array<binary>": pa.binary()}[c.split()[1]])) for c in _INDEX.split(", ")])
+    kinds = {"array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
+    schema = pa.schema([*((c, kinds[t]) for c, t in _LISTS.items()), *((c, pa.binary()) for c in _PACKED)])
 
     def row(part: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(part)
@@ -186,11 +200,7 @@ def build_index(counts: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
         m = 25 + (75 * np.asarray(t.column("n"), dtype=np.int64) * n_docs) // max(n_terms, 1)
         impact = (1_000_000_000 * tf) // (1000 * tf + 8 * np.repeat(m, sizes))
         shard = build_shard(t.column("doc_id").to_pylist(), sizes, flat("terms").to_pylist(), impact.astype(np.int32))
-        lists = []
-        for values, field in zip(shard, schema, strict=True):
-            flat_values = pa.array(values, field.type.value_type) if isinstance(values, list) else pa.array(np.asarray(values)).cast(field.type.value_type)
-            lists.append(pa.ListArray.from_arrays(pa.array([0, len(flat_values)], pa.int32()), flat_values))
-        return pa.RecordBatch.from_arrays(lists, schema=schema)
+        return pa.RecordBatch.from_pylist([shard], schema=schema)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, docs, postings = [], 0, 0
@@ -218,13 +228,11 @@ class Shard:
     """An index row, ready to be searched."""
 
     def __init__(self, row: dict):
-        get = lambda name: np.asarray(row[name].values)
-        self.doc_ids = row["doc_ids"].values.to_pylist()
-        self.number = {t: k for k, t in enumerate(row["vocabulary"].values.to_pylist())}
-        self.first, self.term, self.impact, self.members, self.member_first = (get(n).astype(np.int64) for n in ("first", "term", "impact", "members", "member_first"))
-        self.summary_first, self.summary_block, self.summary_max = (get(n).astype(np.int64) for n in ("summary_first", "summary_block", "summary_max"))
+        self.doc_ids, self.number = row["doc_ids"], {t: k for k, t in enumerate(row["vocabulary"])}
+        (self.first, self.term, self.impact, block_term, self.member_first, self.members,
+         self.summary_first, self.summary_block, self.summary_max) = (_unpack(row[c]) for c in _PACKED)
         self.blocks = len(self.member_first) - 1
-        self.list_blocks = np.searchsorted(get("block_term"), np.arange(len(self.number) + 1))
+        self.list_blocks = np.searchsorted(block_term, np.arange(len(self.number) + 1))
         self.weight = np.zeros(len(self.number), dtype=np.int64)
         self.opened = 0                                                                # documents scored
         self.top = np.maximum.reduceat(self.summary_max, self.summary_first[:-1])     # every term has a block
@@ -237,10 +245,10 @@ class Shard:
         bound = np.zeros(self.blocks, dtype=np.int64)
         for t, w in own:
             s = slice(self.summary_first[t], self.summary_first[t + 1])
-            bound[self.summary_block[s]] += w * self.summary_max[s]
+            bound[self.summary_block[s]] += np.int64(w) * self.summary_max[s]
             self.weight[t] = w
         lists, weights = (np.array(x) for x in zip(*own))
-        worth = weights * self.top[lists]
+        worth = weights.astype(np.int64) * self.top[lists]
         order = np.argsort(worth, kind="stable")
         lists, reach = lists[order], np.cumsum(worth[order])      # reach: the most that a list and those worth less give together
         size = self.list_blocks[lists + 1] - self.list_blocks[lists]
@@ -292,7 +300,7 @@ def search_index(index: DataFrame, queries: list[tuple[int, list[tuple[bytes, in
         best: dict[int, list[tuple]] = {q: [] for q, _ in sent.value}
         for batch in batches:
             for r in range(batch.num_rows):
-                shard = Shard({name: batch.column(i)[r] for i, name in enumerate(batch.schema.names)})
+                shard = Shard({name: batch.column(i)[r].as_py() for i, name in enumerate(batch.schema.names)})
                 for q, terms in sent.value:
                     best[q] = shard.search(terms, best[q], k)
         rows = [(q, None if no else d, -s) for q, found in best.items() for s, no, d in found]

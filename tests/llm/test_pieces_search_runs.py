@@ -141,19 +141,11 @@ def test_ranking_against_brute_force(spark, monkeypatch, shard, block):
     assert by_hand(counts, items, shard) == {q: [(-s, d) for _, d, s in rows] for q, rows in want.items()}
 
 
-class _List:
-    def __init__(self, values):
-        import pyarrow as pa
-
-        self.values = pa.array(values) if isinstance(values, list) else pa.array(np.asarray(values))
-
-
 def by_hand(counts, items, shard: int) -> dict:
     import math
 
     n_docs, n_terms = sum(n > 0 for *_, n in counts), sum(n for *_, n in counts)
     df = Counter(t for _, c, _ in counts for t in c)
-    names = [c.split()[0] for c in lexical_search._INDEX.split(", ")]
     rows = [(d, c, n) for d, c, n in counts if c]
     best = {q: [] for q in items}
     opened = 0
@@ -161,7 +153,7 @@ def by_hand(counts, items, shard: int) -> dict:
         part = rows[a:a + shard]
         impact = [(10**9 * f) // (1000 * f + 8 * (25 + 75 * n * n_docs // n_terms)) for _, c, n in part for f in c.values()]
         built = lexical_search.build_shard([d for d, *_ in part], np.array([len(c) for _, c, _ in part]), [t for _, c, _ in part for t in c], np.array(impact, np.int32))
-        s = lexical_search.Shard({n: _List(v) for n, v in zip(names, built)})
+        s = lexical_search.Shard(built)
         assert s.member_first[-1] == len(impact)            # every posting lies in one block of its list
         for q in best:
             terms = Counter(lexical_search.terms_of((q[1] or "").encode()))
@@ -176,8 +168,8 @@ def test_summaries_bound_every_document_of_their_block():
     sizes = rnd.integers(1, 30, 300)
     terms = [b"%d" % t for n in sizes for t in rnd.choice(60, n, replace=False)]
     impact = rnd.integers(1, 10**6, len(terms)).astype(np.int32)
-    names = [c.split()[0] for c in lexical_search._INDEX.split(", ")]
-    built = dict(zip(names, lexical_search.build_shard(list(range(300)), sizes, terms, impact)))
+    row = lexical_search.build_shard(list(range(300)), sizes, terms, impact)
+    built = row | {c: lexical_search._unpack(row[c]) for c in lexical_search._PACKED}
     first, blocks = built["first"], len(built["member_first"]) - 1
     top = np.zeros((blocks, len(built["vocabulary"])), dtype=np.int64)
     col = np.repeat(np.arange(len(built["vocabulary"])), np.diff(built["summary_first"]))
