@@ -21,7 +21,6 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -121,9 +120,10 @@ class Bpe:
                     self.shorter[i] = j
                     break
         self.pair_ok = _Cache(lambda pair: self.compatible(*pair), MAX_CACHED_PAIRS)
-        self.word_cache, self.chunk_cache = _Cache(self.encode_word, MAX_CACHED_WORDS), _Cache(self.encode_chunk, MAX_CACHED_WORDS)
+        # run of text or word -> its ids (4 bytes each, low byte first), in decimals, decoded
+        self.chunks = _Cache(lambda chunk: self._piece(self.encode_chunk(chunk)), MAX_CACHED_WORDS)
+        self.words = _Cache(lambda word: self._piece(self.encode_word(word)), MAX_CACHED_WORDS)
         self._spec, self._library = {k: v for k, v in spec.items() if k != "model"}, None
-        self.decimals = [str(i) for i in range(len(self.offsets) - 1)]
 
     def _classes(self, split: str) -> None:
         """The split pattern for ``re``: for Latin text its letter and digit
@@ -207,14 +207,17 @@ class Bpe:
         matches a blank, so no word reaches past it."""
         return [i for w in self.find_words(chunk) for i in self.encode_word(w)]
 
-    def _encode_plain(self, text: str) -> Iterator[int]:
+    def _piece(self, ids: list[int]) -> tuple[bytes, str, bytes]:
+        return np.array(ids, "<i4").tobytes(), " ".join(map(str, ids)), self.decode(np.array(ids, np.int64))
+
+    def _plain_pieces(self, text: str) -> Iterator[tuple[bytes, str, bytes]]:
         """Normal form (NFC, lower case letter by letter), split, merges. White-space
         runs needn't become one blank first: they only part words."""
         if self.foreign(text):
-            return chain.from_iterable(map(self.word_cache.__getitem__, self._library_words(text)))
+            return map(self.words.__getitem__, self._library_words(text))
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        return chain.from_iterable(map(self.chunk_cache.__getitem__, text.lower().split()))
+        return map(self.chunks.__getitem__, text.lower().split())
 
     def _library_words(self, text: str) -> list[str]:
         if self._library is None:
@@ -226,20 +229,23 @@ class Bpe:
         t = self._library
         return [self._to_byte(w) for w, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))]
 
-    def encode(self, text: str) -> list[int]:
+    def pieces(self, text: str) -> list[tuple[bytes, str, bytes]]:
+        """The text's pieces in order: ids, decimals and decoded text of each."""
         parts = self.split_added(text) if self.split_added else [text]
         if len(parts) == 1:
-            return list(self._encode_plain(text))
-        out: list[int] = []
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append(self.added[part])
-            elif part:
-                out.extend(self._encode_plain(part))
-        return out
+            out = list(self._plain_pieces(text))
+        else:
+            out = []
+            for k, part in enumerate(parts):
+                out.extend([self._piece([self.added[part]])] if k % 2 else self._plain_pieces(part))
+        return [p for p in out if p[0]]                  # a run may hold no token
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(b"".join([p[0] for p in self.pieces(text)]), "<i4").tolist()
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """Token texts joined by one blank, gathered through the offset table."""
+        """Token texts joined by one blank, gathered through the offset table; so the decoded
+        text of a document is that of its pieces, joined by one blank."""
         n = len(ids)
         if n == 0:
             return b""
@@ -283,11 +289,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         bpe = loaded(sent.value)
         for batch in batches:
             for part, texts in text_slices(batch, "_b_text", SLICE):
-                ids = [np.array(bpe.encode(t.decode("utf-8", "replace")), dtype=np.int32) if t else np.zeros(0, np.int32) for t in texts]
-                decoded = [bpe.decode(x).decode() for x in ids]
-                off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                cols = [part.column(k) for k in range(len(base))] + [flat, pa.array(decoded, pa.string())]
+                pieces = [bpe.pieces(t.decode("utf-8", "replace")) if t else [] for t in texts]
+                ids = [b"".join([p[0] for p in x]) for x in pieces]
+                decoded = [b" ".join([p[2] for p in x]) for x in pieces]
+                off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                cols = [part.column(k) for k in range(len(base))] + [flat, pa.array(decoded, pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*base, "ids", "decoded"])
 
     return df.mapInArrow(emit, schema)
@@ -305,14 +312,13 @@ def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(sent.value)
-        dec = bpe.decimals
         for batch in batches:
             for part, texts in text_slices(batch, "_b_text", SLICE):
-                ids = [bpe.encode(t.decode("utf-8", "replace")) if t else [] for t in texts]
+                pieces = [bpe.pieces(t.decode("utf-8", "replace")) if t else [] for t in texts]
                 cols = [part.column(k) for k in range(len(base))]
-                cols += [pa.array([len(x) for x in ids], pa.int64()),
-                         pa.array([sha256_hex(" ".join([dec[i] for i in x]).encode()) for x in ids], pa.string()),
-                         pa.array([sha256_hex(bpe.decode(np.array(x, dtype=np.int32))) for x in ids], pa.string())]
+                cols += [pa.array([sum([len(p[0]) for p in x]) // 4 for x in pieces], pa.int64()),
+                         pa.array([sha256_hex(" ".join([p[1] for p in x]).encode()) for x in pieces], pa.string()),
+                         pa.array([sha256_hex(b" ".join([p[2] for p in x])) for x in pieces], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*base, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.mapInArrow(emit, schema)
