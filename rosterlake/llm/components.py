@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -21,7 +21,8 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         if (n, total) == sign or n == 0:
             break
         sign = n, total
-        edges = stored(_small_star(_large_star(edges)), label)
+        before, edges = edges, stored(_small_star(_large_star(edges)), label)
+        discard(before)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WindowHash, WordHashes, as_bytes, prepare, stored, text_slices
+from .common import WindowHash, WordHashes, as_bytes, discard, prepare, stored, text_slices
 from .components import components
 
 N = 5                         # fixed value (contract)
@@ -122,7 +122,8 @@ def fragments_of(keys: np.ndarray, fragments: int) -> list[np.ndarray]:
 
 
 def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sent, n: int, percent: int, fragments: int) -> DataFrame:
-    """The pairs (x, y) that pass, by exact overlap: partial overlaps per fragment, summed."""
+    """The pairs (x, y) that pass, by exact overlap: partial overlaps per fragment, summed.
+    Stored; the tables on the way are removed."""
     pairs = stored(pairs.select("x", "y"), "pairs")
     ids = pairs.select(F.col("x").alias("cid")).unionByName(pairs.select(F.col("y").alias("cid"))).distinct()
     first = classes.join(ids, "cid", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
@@ -150,8 +151,10 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sent, n: int,
     # one row a pair: the fragments are matched place by place and their counts added
     total = pairs.join(x, "x").join(y, "y").select("x", "y", "nx", "ny", F.aggregate(
         F.zip_with("kx", "ky", lambda p, q: F.size(F.array_intersect(p, q))), F.lit(0), lambda t, o: t + o).alias("o"))
-    return (total.filter(F.expr(f"100 * o >= {percent} * (nx + ny - o)"))
-            .select(F.col("x").alias("a"), F.col("y").alias("b")))
+    links = stored(total.filter(F.expr(f"100 * o >= {percent} * (nx + ny - o)"))
+                   .select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+    discard(pairs, parts)
+    return links
 
 
 def set_id(s: np.ndarray) -> tuple[int, int]:
@@ -233,6 +236,8 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, frag
     facts = real.join(classes.select("cid", F.col("rep").alias("doc_id")), ["cid", "doc_id"]).select(
         "cid", "n", "share")
     shared = stored(matched.unionByName(heads.filter(~rare)).join(facts.dropDuplicates(["cid"]), "cid"), "shared")
+    sets, rows = rows, stored(rows.select("doc_id", "n", "cid"), "sizes")      # the heads are in ``shared`` now
+    discard(sets)
 
     # round 1: every class with the hub of each of its shared shingles
     hubs = shared.groupBy("token").agg(F.max(F.struct("share", F.col("cid").alias("y"))).alias("hub")).select("token", "hub.y")
@@ -240,12 +245,13 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, frag
         "token", "y", F.col("n").alias("ny"), F.col("pos").alias("py"))
     left = shared.select("token", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
     near = left.join(hub_rows, "token").filter("x <> y")
-    found = stored(_links(_possible(near, percent), docs, classes, sent, n, percent, fragments), "links")
+    found = _links(_possible(near, percent), docs, classes, sent, n, percent, fragments)
 
     # round 2: pairs across the components of one shingle
     roots = stored(components(found), "roots")
     placed = stored(shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
                     .withColumn("root", F.coalesce("root", "cid")), "placed")
+    discard(shared, roots)
     mixed = (placed.groupBy("token", "root").agg(F.count("*").alias("c"))
              .groupBy("token").agg(F.count("*").alias("k"), F.max(F.struct("c", "root")).alias("top"))
              .filter("k > 1").select("token", F.col("top.root").alias("major")))
@@ -255,6 +261,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, frag
     across = (side("x").filter("rx <> major").join(side("y").drop("major"), "token")
               .filter("rx <> ry and (ry = major or x < y)"))
     more = _links(_possible(across, percent), docs, classes, sent, n, percent, fragments)
+    discard(placed)
     final = components(found.unionByName(more))
 
     whole = classes.join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
