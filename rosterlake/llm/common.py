@@ -35,14 +35,15 @@ def shared_path(spark: SparkSession, label: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, label: str, partition_by: str | None = None, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, so a
     lost executor costs no recomputation of what lies behind. The shuffle files of
     the write are of no use after it and are removed with it; the setting holds for
-    this write only, whose plan is its own."""
+    this write only, whose plan is its own. ``rows_per_file`` bounds what a reader of rows
+    of many megabytes holds at a time (0: no bound)."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:

@@ -44,7 +44,8 @@ from .common import as_bytes, discard, prepare, ranges, stored, text_slices
 
 TOP = 10
 SHARD_DOCUMENTS = 8192
-SHARD_POSTINGS = 400_000
+SHARD_POSTINGS = 200_000
+ROWS_PER_FILE = 2             # index rows of some ten megabytes
 BLOCK = 256                   # documents a block has on average, in a long list
 SKETCH = 32                   # dimensions of the sketches that blocks are formed by
 QUERY_TERMS = 200_000         # query terms sent to the tasks at a time
@@ -333,7 +334,7 @@ def rank_documents(docs: DataFrame, queries: DataFrame, query_id: str, k: int =
     bitmap = spark.sparkContext.broadcast(vocabulary_bitmap(wanted))
     counts = stored(term_counts(docs.select("doc_id", "text"), bitmap), "terms")
     total = counts.agg(F.count_if(F.col("n") > 0).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
-    index = stored(build_index(counts, total.docs, total.terms), "index")
+    index = stored(build_index(counts, total.docs, total.terms), "index", rows_per_file=ROWS_PER_FILE)
     discard(counts)
     listed = index.select(F.explode(F.arrays_zip("vocabulary", "documents")).alias("t")).groupBy(F.col("t.vocabulary").alias(TERM)).agg(F.sum("t.documents").alias("df"))
     weighted = stored(wanted.join(listed, TERM).select(QUERY, TERM, (F.col("times") * term_weight(total.docs, F.col("df"))).alias("w")).where("w > 0"), "weights")
