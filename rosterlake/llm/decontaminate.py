@@ -10,9 +10,10 @@ The automaton is sent to every task, so its size is bounded: items are dealt by
 hash into automata of about ``MAX_AUTOMATON_WORDS`` words, and the documents pass
 through one after the other in the same stage (no shuffle at any size).
 
-Defined results: null or blank text has no words and is clean; null or empty
-items match nothing; equal items are each named; an empty benchmark leaves every
-document clean. Extra columns of the documents pass through; one with the name of
+Defined results: null or blank text has no words and is clean; items without text or
+words match nothing; equal items are each named; an item with a null item_id marks
+its words like any other and is listed as a null, last, once however many there are; an
+empty benchmark leaves every document clean. Extra columns of the documents pass through; one with the name of
 a result column gives way to it.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, prepare, sha256_hex, shielded, text_slices
+from .common import as_bytes, prepare, shielded, text_slices
 
 WIDTH = 10                    # fixed value (contract): words of a window
 MAX_AUTOMATON_WORDS = 100_000
@@ -42,7 +43,7 @@ def normal_words(text: bytes | None) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton over word numbers, with window owners by state."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], width: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], width: int):
         self.width = width
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -89,8 +90,8 @@ class Automaton:
         window = [0] * len(link)
         for v in order:
             window[v] = v if length[v] >= w > length[link[v]] else window[link[v]]
-        owners: dict[int, set[str]] = {}
-        short: dict[int, list[tuple[int, str]]] = {}
+        owners: dict[int, set[str | None]] = {}
+        short: dict[int, list[tuple[int, str | None]]] = {}
         for name, seq in kept:
             v = 0
             for j, c in enumerate(seq):
@@ -101,17 +102,17 @@ class Automaton:
                 short.setdefault(v, []).append((len(seq), name))
         self.window, self.owners = window, owners
         # shorter items that end where a match ends, through the suffix links
-        self.short: list[tuple[tuple[int, str], ...]] = [()] * len(link)
+        self.short: list[tuple[tuple[int, str | None], ...]] = [()] * len(link)
         for v in order:
             own = short.get(v)
             self.short[v] = self.short[link[v]] + tuple(own) if own else self.short[link[v]]
         self.has_short = bool(short)
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """(hit word ranges [a, b) merged and in order, names of the items hit)."""
         nxt, link, length, window, owners, w = self.next, self.link, self.length, self.window, self.owners, self.width
         spans: list[tuple[int, int]] = []
-        names: set[str] = set()
+        names: set[str | None] = set()
         v = n = 0
         vocab, short, has_short = self.vocab, self.short, self.has_short
         for j, word in enumerate(words):
@@ -157,9 +158,9 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _item_shards(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _item_shards(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The items in hash shards, each collected by itself and of bounded size."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), as_bytes("text")).filter("text is not null and item is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), as_bytes("text")).filter("text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-int(size) // (4 * max_words)))   # four bytes a word and over
     for k in range(shards):
@@ -170,7 +171,8 @@ def _item_shards(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple[st
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
                        max_words: int = MAX_AUTOMATON_WORDS) -> DataFrame:
-    """``docs`` plus n_words, hit_spans (array of word ranges [a, b)) and items (sorted)."""
+    """``docs`` plus n_words, hit_spans (array of word ranges [a, b)) and items (sorted, a
+    null last)."""
     spark = prepare(docs)
     docs = docs.drop("n_words", "hit_spans", "items", "n_hit", "n_items")   # the results take these names
     base = [f.name for f in docs.schema.fields]
@@ -196,7 +198,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
                             s = merge_spans(s + [(x["a"], x["b"]) for x in s0])
                         n_words.append(len(words))
                         spans.append([{"a": a, "b": b} for a, b in s])
-                        items.append(sorted(names.union(i0)))
+                        items.append(sorted(names.union(i0), key=lambda x: (x is None, x or "")))
                     cols = [part.column(k) for k in range(len(base) + 1)]
                     cols += [pa.array(n_words, pa.int64()), pa.array(spans, span_type), pa.array(items, item_type)]
                     yield pa.RecordBatch.from_arrays(cols, names=[*base, "_d_text", "n_words", "hit_spans", "items"])
@@ -244,7 +246,3 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
         last = places[b - 1][1]
     out.append(text[last:])
     return b"".join(out)
-
-
-def item_digest(items: list[str]) -> str:
-    return sha256_hex(",".join(sorted(items)).encode())

@@ -1,12 +1,20 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A store is a folder of runs. Each batch of documents is reduced to its line keys
-(128-bit hashes) with document count and largest document; the batch is
-merge-joined against the runs, which tells fresh keys (an anti join) from seen
-ones, and its own sorted run is added at level 0. When a level holds ``fanout``
-runs they are merged into one run of the next level, so a store of n batches
-holds O(fanout * log n) runs. A final compaction gives the totals from which the
-lines to drop follow; the texts are then read once more and cut.
+A store is a folder of runs. A run holds line keys (128-bit hashes), each with the number
+of documents that hold it and the largest of them *as of that run*, hashed into
+buckets by key and sorted in them, so that run meets run bucket by bucket, without a
+shuffle. A batch of documents is reduced to its keys and merge-joined with the runs: a
+key that no run holds (the anti join) starts its count, a key that one holds goes on
+from there. The outcome is the batch's own run, at level 0. When a level holds ``fanout``
+runs they are merged into one run of the next level; a store of n batches holds
+O(fanout * log n) runs. A key's newest entry counts: of an older run only what no newer
+one holds (anti joins again).
+
+Which lines go follows from the counts of all runs; the texts are then read once more
+and cut. A store can be opened again and fed further batches: its folder names say which
+batches a run covers, a run counts when its ``_SUCCESS`` file is there, and a run that a
+complete wider one covers is ignored. A batch must hold new documents: one that was fed
+before would count twice.
 
 Only hashes, counts and ids are shuffled per line; text is shuffled once, by
 document id, to meet its list of dropped keys (at most one entry a line).
@@ -19,6 +27,8 @@ of a result column gives way to it.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +42,8 @@ MIN_DOCS = 3         # fixed value (contract)
 BATCHES = 3          # batches that one whole table is fed in
 FANOUT = 2           # runs of a level that are merged into the next
 
-RUN_SCHEMA = "h1 long, h2 long, n long, last long, fresh boolean"
+RUN_SCHEMA = "h1 BIGINT, h2 BIGINT, n BIGINT, last BIGINT"
+_RUN_NAME = re.compile(r"level=(\d+)/from=(\d+)-to=(\d+)-buckets=(\d+)$")
 _KEYS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64())])
 
 
@@ -69,54 +80,105 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
 
 
 class LineRuns:
-    """The levelled runs of one store under a shared folder."""
-
-    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT):
-        self.spark, self.path, self.fanout = spark, path, fanout
-        self.levels: list[list[str]] = []
-        self._made = 0
-
-    def runs(self) -> list[str]:
-        return [p for level in self.levels for p in level]
-
-    def read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN_SCHEMA).parquet(*paths)
-
-    def _write(self, df: DataFrame, level: int) -> None:
-        path = f"{self.path}/level={level}/run-{self._made:06d}"
-        self._made += 1
-        df.sortWithinPartitions("h1", "h2").write.option("compression", "zstd").parquet(path)
-        while len(self.levels) <= level:
+    """The levelled runs of one store, new or opened again, under a shared folder."""
+
+    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
+        found = self._found()
+        whole = [r for r in found if not any(o is not r and o[1] <= r[1] and r[2] <= o[2] and o[0] > r[0] for o in found)]
+        self.levels: list[list[tuple[int, int, int, int]]] = [[] for _ in range(1 + max((r[0] for r in whole), default=-1))]
+        for r in sorted(whole):
+            self.levels[r[0]].append(r)
+        self.batches = 1 + max((r[2] for r in whole), default=-1)
+        self.buckets = whole[0][3] if whole else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _found(self) -> list[tuple[int, int, int, int]]:
+        """(level, first batch, last batch, buckets) of the complete runs in the folder."""
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        pattern = fs_path(f"{self.path}/level=*/*/_SUCCESS")
+        states = pattern.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).globStatus(pattern) or []
+        names = [_RUN_NAME.search(str(s.getPath().getParent())) for s in states]
+        return [tuple(map(int, m.groups())) for m in names if m]
+
+    def runs(self) -> list[tuple[int, int, int, int]]:
+        return [r for level in self.levels for r in level]
+
+    def _place(self, run: tuple[int, int, int, int]) -> str:
+        return "{}/level={}/from={}-to={}-buckets={}".format(self.path, *run)
+
+    def read(self, run: tuple[int, int, int, int]) -> DataFrame:
+        """A run with its buckets known to Spark (the table's name is gone at once: only
+        the DataFrame refers to it)."""
+        name = f"llm_run_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({RUN_SCHEMA}) USING parquet OPTIONS (path '{self._place(run)}') "
+                       f"CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {run[3]} BUCKETS")
+        try:
+            return self.spark.table(name)
+        finally:
+            self.spark.sql(f"DROP TABLE {name}")
+
+    def _write(self, df: DataFrame, run: tuple[int, int, int, int]) -> None:
+        name = f"llm_run_{uuid.uuid4().hex}"
+        (df.select("h1", "h2", "n", "last").write.format("parquet").mode("overwrite").option("compression", "zstd")
+         .option("path", self._place(run)).bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name))
+        self.spark.sql(f"DROP TABLE {name}")            # the files stay
+        while len(self.levels) <= run[0]:
             self.levels.append([])
-        self.levels[level].append(path)
-        if len(self.levels[level]) >= self.fanout:
-            merged, self.levels[level] = self.levels[level], []
-            self._write(compact(self.read(merged)), level + 1)
+        self.levels[run[0]].append(run)
 
     def add(self, keys: DataFrame) -> None:
-        """Feed one batch of (h1, h2, doc_id)."""
+        """Feed one batch of (h1, h2, doc_id), of documents that no batch before it held."""
         batch = (keys.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))  # a hot key is pre-aggregated by document
                  .groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")))
-        if self.runs():
-            seen = self.read(self.runs()).filter("fresh").select("h1", "h2", F.lit(False).alias("fresh"))
-            batch = batch.join(seen, ["h1", "h2"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(True)))
-        else:
-            batch = batch.withColumn("fresh", F.lit(True))
-        self._write(batch.select("h1", "h2", "n", "last", "fresh"), 0)
+        self._write(self.merged(batch).repartition(self.buckets, "h1", "h2"), (0, self.batches, self.batches, self.buckets))
+        self.batches += 1
+        level = 0
+        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
+            old, self.levels[level] = self.levels[level], []
+            self._write(compact(self._newest_first(old)), (level + 1, min(r[1] for r in old), max(r[2] for r in old), self.buckets))
+            self._remove(old)
+            level += 1
+
+    def merged(self, batch: DataFrame) -> DataFrame:
+        """The batch's keys with their counts as of now: ``fresh`` where no run holds the key."""
+        n, last, seen = F.col("n"), F.col("last"), []
+        for k, run in enumerate(self.runs()):
+            there = self.read(run).select("h1", "h2", F.col("n").alias(f"n{k}"), F.col("last").alias(f"last{k}"))
+            batch = batch.join(there, ["h1", "h2"], "left")
+            seen.append(k)
+        before = F.greatest(F.lit(0), F.lit(0), *[F.col(f"n{k}") for k in seen])            # NULLs are left out
+        latest = F.greatest(last, last, *[F.col(f"last{k}") for k in seen])
+        return batch.select("h1", "h2", (n + before).alias("n"), latest.alias("last"), (before == 0).alias("fresh"))
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The anti join: rows of ``keys`` whose key no run holds (first-seen dedup)."""
-        return keys if not self.runs() else keys.join(self.read(self.runs()).filter("fresh"), ["h1", "h2"], "left_anti")
+        for run in self.runs():
+            keys = keys.join(self.read(run), ["h1", "h2"], "left_anti")
+        return keys
 
     def totals(self) -> DataFrame:
         if not self.runs():
             return self.spark.createDataFrame([], RUN_SCHEMA)
-        return compact(self.read(self.runs()))
-
-
-def compact(runs: DataFrame) -> DataFrame:
-    """One row a key: counts added, largest document, fresh if any part is (exactly one is)."""
-    return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.max("fresh").alias("fresh"))
+        return compact(self._newest_first(self.runs()))
+
+    def _newest_first(self, runs: list[tuple[int, int, int, int]]) -> list[DataFrame]:
+        return [self.read(r) for r in sorted(runs, key=lambda r: -r[2])]
+
+    def _remove(self, runs: list[tuple[int, int, int, int]]) -> None:
+        for run in runs:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(self._place(run))
+            place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def compact(runs: list[DataFrame]) -> DataFrame:
+    """One row a key over ``runs``, newest first: a run's entries that no newer run holds,
+    by merge anti joins on their buckets."""
+    out = runs[0]
+    for k, run in enumerate(runs[1:], 1):
+        for newer in runs[:k]:
+            run = run.join(newer.select("h1", "h2"), ["h1", "h2"], "left_anti")
+        out = out.unionAll(run)
+    return out
 
 
 def dropped_keys(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, min_docs: int = MIN_DOCS,
