@@ -2,18 +2,30 @@
 
 The rule is order dependent: a rejected purchase spends nothing, so a later,
 cheaper one may still pass. A running sum is therefore wrong; it is a fold over
-each team's attempts in (ts, id) order carrying the amount spent.
-
-Plan: attempts are enriched with two lookups (team budget from the census,
-player existence) by ordinary joins, hash-partitioned by team and sorted within
-each partition by (team, ts, id); ``mapInPandas`` then folds every partition as
-a stream of Arrow batches, carrying (team, spent) across batch borders. No group
-is ever materialised whole: memory per task is one Arrow batch whatever the size
-of a team, and the external sort spills. A team far bigger than the rest is
-cut by time into chunks whose transfer functions are composed exactly (see
-``purchase_admission``). The Structured Streaming form
-(``rosterlake.streaming.admission``) runs the same fold per micro-batch with
-the spent amount kept in state.
+each team's attempts in (ts, id) order carrying the residual budget.
+
+One path for teams of any size:
+
+1. Attempts are enriched by ordinary joins, range partitioned and sorted by
+   (team, ts, id) and stored as blocks: up to ``block_rows`` consecutive attempts of
+   one team in a row of arrays. A team of a billion attempts is spread over as many
+   tasks as its share of the rows.
+2. Each block lists its *candidates*. Starting from the most that the team can have
+   left anywhere (``ceiling``), an upper bound of the residual goes through the block:
+   at a price ``p`` within the bound, whoever could pay has at most ``bound - p`` left
+   and whoever couldn't had less than ``p``, so the bound becomes
+   ``max(bound - p, min(bound, p - 1))``; a price above the bound is never paid and
+   leaves it. Only prices within the bound are candidates: about a budget's worth of
+   purchases, then new lowest prices. All others are rejected whatever went before.
+3. The sequential pass streams a team's blocks in order and opens only those whose
+   least candidate price fits the residual; it gives every block its starting
+   residual. It sees a few candidates a block, never the attempts.
+4. All blocks are judged in parallel from their starting residuals.
+
+Money is compared in integer cents. Steps 2 and 4 are column expressions; Python
+only packs sorted rows into arrays (without copying) and streams step 3. The
+Structured Streaming form (``rosterlake.streaming.admission``) keeps the spent
+amount in state.
 """
 
 from __future__ import annotations
@@ -21,11 +33,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.session import ship_package
+from rosterlake.sinks import tables
 
 # Rejection reasons.
 REASON_TEAM = "squadra_non_censita"
@@ -39,146 +52,40 @@ ATTEMPT_COLUMNS = ["ts", "id", "giocatore_id", "prezzo_finale", "squadra_acquire
 RESULT_SCHEMA = ("ts timestamp_ntz, id long, giocatore_id long, prezzo_finale double, "
                  "squadra_acquirente string, e_mio boolean, fonte string, "
                  "accepted boolean, reason string, residuo_prima double")
-SUMMARY_SCHEMA = ("squadra_acquirente string, _chunk long, _budget_c long, "
-                  "lo array<long>, hi array<long>, off array<long>")
-START_SCHEMA = "squadra_acquirente string, _chunk long, _start_c long"
 
 MONEY_SCALE = 100            # money is compared exactly, in integer cents
-HOT_TEAM_ROWS = 2_000_000    # a team above this many attempts is split into chunks
-CHUNK_ROWS = 500_000         # target attempts per chunk of a hot team
-_NEG, _POS = -(2 ** 62), 2 ** 62
+BLOCK_ROWS = 1024            # attempts of a team in one block
+TEAM = "squadra_acquirente"
+_ROW = [c for c in ATTEMPT_COLUMNS if c != TEAM]
+_PACKED = [*_ROW, "_price_c", "_pays", "_fault", "_player_ok"]      # columns of a block's rows
+_HEAD = [TEAM, "_budget_c", "_ceiling_c", "_team_ok"]               # what a block's rows have in common
 
 
-def cents(c: F.Column) -> F.Column:
+def cents(c: Column) -> Column:
     return F.round(c * MONEY_SCALE).cast("long")
 
 
-def fold_block(team: np.ndarray, chunk: np.ndarray, price_c: np.ndarray, budget_c: np.ndarray,
-               team_ok: np.ndarray, player_ok: np.ndarray, start_c: np.ndarray, state=(None, None, 0), fault=None):
-    """Fold rows sorted by (team, chunk, ts, id) in integer cents.
-
-    ``start_c`` is the amount spent before the row's chunk (0 for a whole
-    team). Returns (accepted, reason, residuo_prima, state); the state carries
-    (team, chunk, spent) into the next block of the same partition.
-    """
+def fold_block(price_c: np.ndarray, pays: np.ndarray, residual: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Judge attempts in order from ``residual`` cents: (accepted, residual before each,
+    residual at the end). ``pays`` marks attempts that spend their price if it fits."""
     n = len(price_c)
-    accepted = np.zeros(n, dtype=bool)
-    reason = np.empty(n, dtype=object)
-    before = np.full(n, np.nan)
-    cur_team, cur_chunk, spent = state
-    for i in range(n):
-        if team[i] != cur_team or chunk[i] != cur_chunk:
-            cur_team, cur_chunk, spent = team[i], chunk[i], int(start_c[i])
-        if not team_ok[i]:
-            reason[i] = REASON_TEAM
-            continue
-        if fault is not None and fault[i] is not None:
-            reason[i] = fault[i]
-            continue
-        residual = int(budget_c[i]) - spent
-        before[i] = residual / MONEY_SCALE
-        p = int(price_c[i])
-        if p > residual:
-            reason[i] = REASON_BUDGET
-        elif not player_ok[i]:
-            reason[i] = REASON_PLAYER
-        else:
+    accepted, before = np.zeros(n, dtype=bool), np.empty(n, dtype=np.int64)
+    for i, (p, ok) in enumerate(zip(price_c.tolist(), pays.tolist())):
+        before[i] = residual
+        if ok and p <= residual:
             accepted[i] = True
-            spent += p
-    return accepted, reason, before, (cur_team, cur_chunk, spent)
-
-
-def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    state = (None, None, 0)
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        acc, reason, before, state = fold_block(
-            pdf["squadra_acquirente"].to_numpy(), pdf["_chunk"].to_numpy(), pdf["_price_c"].to_numpy(),
-            pdf["_budget_c"].to_numpy(), pdf["_team_ok"].to_numpy(dtype=bool),
-            pdf["_player_ok"].to_numpy(dtype=bool), pdf["_start_c"].to_numpy(), state, pdf["_fault"].to_numpy())
-        out = pdf[ATTEMPT_COLUMNS].copy()
-        out["accepted"] = acc
-        out["reason"] = reason
-        out["residuo_prima"] = before
-        yield out
-
-
-# ---------------------------------------------------------------- hot teams
-class Transfer:
-    """What a chunk of attempts does to the residual budget r at its start:
-    a piecewise map r -> r - off on the integer intervals [lo, hi). Exact in
-    cents; adjacent pieces with equal offsets are merged, and pieces above the
-    budget are dropped when no price is negative (r can never be there)."""
-
-    def __init__(self, cap: int | None):
-        self.lo = np.array([_NEG], dtype=np.int64)
-        self.hi = np.array([_POS], dtype=np.int64)
-        self.off = np.array([0], dtype=np.int64)
-        self.cap = cap
-
-    def apply(self, p: int) -> None:
-        lo, hi, off = self.lo, self.hi, self.off
-        t = off + p                        # accepted iff r - off >= p, i.e. r >= t
-        inside = (lo < t) & (t < hi)
-        if inside.any():
-            idx = np.nonzero(inside)[0]
-            lo = np.concatenate([lo, t[idx]])
-            hi = np.concatenate([hi, hi[idx]])
-            off = np.concatenate([off, off[idx]])
-            hi[idx] = t[idx]
-            order = np.argsort(lo, kind="stable")
-            lo, hi, off = lo[order], hi[order], off[order]
-        off = np.where(lo >= off + p, off + p, off)
-        if len(lo) > 1:
-            keep = np.ones(len(lo), dtype=bool)
-            keep[1:] = ~((off[1:] == off[:-1]) & (lo[1:] == hi[:-1]))
-            if not keep.all():
-                starts = np.nonzero(keep)[0]
-                last = np.r_[starts[1:] - 1, len(lo) - 1]
-                lo, hi, off = lo[keep], hi[last], off[keep]
-        if self.cap is not None and lo[-1] > self.cap:
-            k = lo <= self.cap
-            lo, hi, off = lo[k], hi[k], off[k]
-        self.lo, self.hi, self.off = lo, hi, off
-
-
-def spent_in(lo, off, r: int) -> int:
-    """Amount a chunk spends when it starts with residual ``r``."""
-    return int(off[np.searchsorted(lo, r, side="right") - 1])
-
-
-def _summarize_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    out, key, tf, budget = [], None, None, 0
-    for pdf in batches:
-        team, chunk = pdf["squadra_acquirente"].to_numpy(), pdf["_chunk"].to_numpy()
-        price = pdf["_price_c"].to_numpy()
-        ok = (pdf["_team_ok"].to_numpy(dtype=bool) & pdf["_player_ok"].to_numpy(dtype=bool)
-              & pdf["_fault"].isna().to_numpy())
-        bud, pmin = pdf["_budget_c"].to_numpy(), pdf["_pmin"].to_numpy()
-        for i in range(len(price)):
-            if key != (team[i], chunk[i]):
-                if key is not None:
-                    out.append((key[0], key[1], budget, tf.lo, tf.hi, tf.off))
-                key = (team[i], chunk[i])
-                budget = 0 if pd.isna(bud[i]) else int(bud[i])
-                tf = Transfer(budget if pmin[i] >= 0 else None)
-            if ok[i]:                      # other rows never change the state
-                tf.apply(int(price[i]))
-    if key is not None:
-        out.append((key[0], key[1], budget, tf.lo, tf.hi, tf.off))
-    yield pd.DataFrame(out, columns=["squadra_acquirente", "_chunk", "_budget_c", "lo", "hi", "off"])
-
-
-def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Chunk starts of one team from its chunk summaries (a few rows per chunk)."""
-    pdf = pdf.sort_values("_chunk")
-    spent, starts = 0, []
-    for lo, off, budget in zip(pdf["lo"], pdf["off"], pdf["_budget_c"]):
-        starts.append(spent)
-        spent += spent_in(np.asarray(lo), np.asarray(off), int(budget) - spent)
-    return pd.DataFrame({"squadra_acquirente": pdf["squadra_acquirente"].to_numpy(),
-                         "_chunk": pdf["_chunk"].to_numpy(), "_start_c": starts})
+            residual -= p
+    return accepted, before, residual
+
+
+def with_verdict(judged: DataFrame) -> DataFrame:
+    """Result columns from ``_before`` (residual cents before the attempt) and the flags."""
+    fits = F.col("_price_c") <= F.col("_before")
+    sound = F.col("_team_ok") & F.col("_fault").isNull()
+    reason = (F.when(~F.col("_team_ok"), F.lit(REASON_TEAM)).when(F.col("_fault").isNotNull(), F.col("_fault"))
+              .when(~fits, F.lit(REASON_BUDGET)).when(~F.col("_player_ok"), F.lit(REASON_PLAYER)))
+    return judged.select(*ATTEMPT_COLUMNS, (sound & fits & F.col("_player_ok")).alias("accepted"), reason.alias("reason"),
+                         F.when(sound, F.col("_before") / MONEY_SCALE).alias("residuo_prima"))
 
 
 def enrich_attempts(attempts: DataFrame, census: DataFrame, giocatori: DataFrame,
@@ -190,84 +97,123 @@ def enrich_attempts(attempts: DataFrame, census: DataFrame, giocatori: DataFrame
     the join. A NULL price or budget marks the row (``_fault``)."""
     c = census.select(F.col("nome").alias("_team"), F.col("budget_totale").alias("_budget"))
     if ledger is not None:
-        spent = (ledger.where(F.col("squadra_acquirente").isNotNull()).groupBy(F.col("squadra_acquirente").alias("_team"))
-                 .agg(F.sum(cents(F.col("prezzo_finale"))).alias("_spent_c")))
-        c = c.join(spent, "_team", "left")
+        c = c.join(spent_by_team(ledger).withColumnRenamed(TEAM, "_team"), "_team", "left")
     else:
         c = c.withColumn("_spent_c", F.lit(0).cast("long"))
     g = giocatori.select(F.col("id").alias("_gid")).distinct()
     a = attempts.select(*ATTEMPT_COLUMNS)
     j = (a.join(c, a.squadra_acquirente == c._team, "left")
          .join(g, a.giocatore_id == g._gid, "left"))
-    return j.select(*ATTEMPT_COLUMNS, "_budget",
-                    F.coalesce(cents(F.col("prezzo_finale")), F.lit(0).cast("long")).alias("_price_c"),
-                    (F.coalesce(cents(F.col("_budget")), F.lit(0).cast("long"))
-                     - F.coalesce(F.col("_spent_c"), F.lit(0).cast("long"))).alias("_budget_c"),
-                    F.when(F.col("_team").isNotNull() & F.col("_budget").isNull(), REASON_NO_BUDGET)
-                    .when(F.col("prezzo_finale").isNull() | F.isnan("prezzo_finale"), REASON_PRICE).alias("_fault"),
-                    F.col("_team").isNotNull().alias("_team_ok"),
-                    F.col("_gid").isNotNull().alias("_player_ok"))
-
-
-_FOLD_COLS = [*ATTEMPT_COLUMNS, "_price_c", "_budget_c", "_team_ok", "_player_ok", "_fault", "_chunk", "_start_c"]
+    out = j.select(*ATTEMPT_COLUMNS,
+                   F.coalesce(cents(F.col("prezzo_finale")), F.lit(0).cast("long")).alias("_price_c"),
+                   (F.coalesce(cents(F.col("_budget")), F.lit(0).cast("long"))
+                    - F.coalesce(F.col("_spent_c"), F.lit(0).cast("long"))).alias("_budget_c"),
+                   F.when(F.col("_team").isNotNull() & F.col("_budget").isNull(), REASON_NO_BUDGET)
+                   .when(F.col("prezzo_finale").isNull() | F.isnan("prezzo_finale"), REASON_PRICE).alias("_fault"),
+                   F.col("_team").isNotNull().alias("_team_ok"),
+                   F.col("_gid").isNotNull().alias("_player_ok"))
+    return out.withColumn("_pays", F.col("_team_ok") & F.col("_player_ok") & F.col("_fault").isNull())
+
+
+def spent_by_team(ledger: DataFrame) -> DataFrame:
+    """Cents spent per team in the stored purchases."""
+    return (ledger.where(F.col(TEAM).isNotNull()).groupBy(TEAM)
+            .agg(F.sum(cents(F.col("prezzo_finale"))).alias("_spent_c")))
+
+
+def _blocks(enriched: DataFrame, gains: DataFrame, block_rows: int) -> DataFrame:
+    """The attempts as stored blocks, in order by ``_block``: range partitions are numbered
+    in order, and so are the blocks in each. ``gains``: what negative prices can add to
+    a team's residual."""
+    rows = enriched.join(gains, TEAM, "left").withColumn(
+        "_ceiling_c", F.greatest(F.col("_budget_c"), F.lit(0)) + F.coalesce(F.col("_gain_c"), F.lit(0)))
+    ranged = (rows.select(*_HEAD, *_PACKED).repartitionByRange(TEAM, "ts", "id").sortWithinPartitions(TEAM, "ts", "id"))
+    kinds = {f.name: f.dataType.simpleString() for f in ranged.schema.fields}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in _HEAD), f"_rows array<struct<{','.join(f'{c}:{kinds[c]}' for c in _PACKED)}>>"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            team = batch.column(0).dictionary_encode()
+            code = np.asarray(team.indices.fill_null(-1))
+            edge = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            ends = np.append(edge[1:], n)
+            start = np.concatenate([np.arange(a, b, block_rows) for a, b in zip(edge.tolist(), ends.tolist())])
+            row = pa.StructArray.from_arrays([batch.column(len(_HEAD) + k) for k in range(len(_PACKED))], names=_PACKED)
+            packed = pa.ListArray.from_arrays(pa.array(np.append(start, n).astype(np.int32)), row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(start)) for k in range(len(_HEAD))), packed], names=[*_HEAD, "_rows"])
+
+    packed = ranged.mapInArrow(pack, schema)
+    return tables.materialize(packed.withColumn("_block", F.monotonically_increasing_id()), "admission")
+
+
+def _candidates(rows: Column, ceiling: Column) -> Column:
+    """Prices of a block that anyone could pay, in order (step 2)."""
+    start = F.struct(ceiling.alias("bound"), F.array().cast("array<bigint>").alias("prices"))
+
+    def step(acc: Column, row: Column) -> Column:
+        p, bound = row["_price_c"], acc["bound"]
+        rest = F.greatest(bound - p, F.least(bound, p - 1))
+        met = row["_pays"] & (p <= bound)
+        return F.struct(F.when(met, rest).otherwise(bound).alias("bound"),
+                        F.when(met, F.array_append(acc["prices"], p)).otherwise(acc["prices"]).alias("prices"))
+
+    return F.aggregate(rows, start, step, lambda acc: acc["prices"])
+
+
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 3 over rows sorted by (team, block): block, residual at its start."""
+    team, residual = None, 0
+    for batch in batches:
+        out = np.empty(batch.num_rows, dtype=np.int64)
+        teams, budgets, leasts = (batch.column(k).to_pylist() for k in (0, 1, 2))
+        prices = batch.column(3)
+        for i, name in enumerate(teams):
+            if i == 0 and team is None or name != team:
+                team, residual = name, budgets[i]
+            out[i] = residual
+            if leasts[i] is not None and leasts[i] <= residual:
+                for p in prices[i].as_py():
+                    if p <= residual:
+                        residual -= p
+        yield pa.RecordBatch.from_arrays([batch.column(4), pa.array(out)], names=["_block", "_start_c"])
+
+
+def _residuals(rows: Column, start: Column) -> Column:
+    """Residual before each row of a block (step 4)."""
+    begin = F.struct(start.alias("left"), F.array().cast("array<bigint>").alias("before"))
+
+    def step(acc: Column, row: Column) -> Column:
+        p, left = row["_price_c"], acc["left"]
+        return F.struct(F.when(row["_pays"] & (p <= left), left - p).otherwise(left).alias("left"),
+                        F.array_append(acc["before"], left).alias("before"))
+
+    return F.aggregate(rows, begin, step, lambda acc: acc["before"])
 
 
 def purchase_admission(attempts: DataFrame, census: DataFrame, giocatori: DataFrame,
-                       num_partitions: int | None = None, hot_team_rows: int = HOT_TEAM_ROWS,
-                       chunk_rows: int = CHUNK_ROWS, ledger: DataFrame | None = None) -> DataFrame:
+                       num_partitions: int | None = None, block_rows: int = BLOCK_ROWS,
+                       ledger: DataFrame | None = None) -> DataFrame:
     """Judge every attempt: accepted, reason, residual before the attempt.
 
     ``ledger`` holds the purchases already made (asta_log): a team starts with
-    its budget less their sum, so two batches in a row judge as one would.
-
-    Teams up to ``hot_team_rows`` attempts are folded whole, streaming. Bigger
-    teams are cut by time into chunks of about ``chunk_rows``: each chunk's
-    transfer function is computed in parallel, a per-team pass composes them
-    into each chunk's starting amount, and every chunk is then folded in
-    parallel from its start. Both paths decide in exact integer cents, so the
-    result does not depend on the split.
+    its budget less their sum, so two batches in a row judge as one would. The
+    blocks are stored when this is called; the result doesn't depend on how the
+    attempts fall into them.
     """
     ship_package(attempts.sparkSession)
-    e = enrich_attempts(attempts, census, giocatori, ledger)
-    team = "squadra_acquirente"
-
-    def by_key(df: DataFrame) -> DataFrame:
-        # no fixed count unless asked: AQE may merge adjacent partitions, which
-        # keeps every (team, chunk) whole and contiguous after the sort
-        keys = (team, "_chunk")
-        return df.repartition(num_partitions, *keys) if num_partitions else df.repartition(*keys)
-
-    t_us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
-    # team sizes from the raw attempts (no joins), partial aggregation
-    sizes = attempts.groupBy(team).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(t_us).alias("_t0"), F.max(t_us).alias("_t1"),
-        F.min(cents(F.col("prezzo_finale"))).alias("_pmin"))
-    hot = sizes.where(F.col("_n") > hot_team_rows).select(
-        team, "_t0", "_pmin",
-        ((F.col("_t1") - F.col("_t0") + 1) / F.ceil(F.col("_n") / chunk_rows)).alias("_grain"))
-
-    if hot.limit(1).count() == 0:
-        # the usual case: no team needs splitting, one pass folds every team whole
-        rows = (e.withColumn("_chunk", F.lit(0).cast("long"))
-                .withColumn("_start_c", F.lit(0).cast("long")).select(*_FOLD_COLS))
-        return by_key(rows).sortWithinPartitions(team, "_chunk", "ts", "id") \
-            .mapInPandas(_fold_partition, RESULT_SCHEMA)
-
-    # every row gets its chunk: 0 for ordinary teams, a time slice for hot ones
-    chunked = (e.join(hot, team, "left")
-               .withColumn("_chunk", F.coalesce(
-                   F.floor((t_us - F.col("_t0")) / F.col("_grain")).cast("long"), F.lit(0).cast("long"))))
-    # hot chunks only: transfer functions, then each chunk's starting amount
-    summaries = (by_key(chunked.where(F.col("_grain").isNotNull()))
-                 .sortWithinPartitions(team, "_chunk", "ts", "id")
-                 .mapInPandas(_summarize_partition, SUMMARY_SCHEMA))
-    starts = summaries.groupBy(team).applyInPandas(_compose, START_SCHEMA)
-    rows = (chunked.join(starts, [team, "_chunk"], "left")
-            .withColumn("_start_c", F.coalesce(F.col("_start_c"), F.lit(0).cast("long")))
-            .select(*_FOLD_COLS))
-    ordered = (by_key(rows)
-               .sortWithinPartitions(team, "_chunk", "ts", "id"))
-    return ordered.mapInPandas(_fold_partition, RESULT_SCHEMA)
+    gains = (attempts.where("prezzo_finale < 0").groupBy(TEAM)
+             .agg((-F.sum(cents(F.col("prezzo_finale")))).alias("_gain_c")))
+    blocks = _blocks(enrich_attempts(attempts, census, giocatori, ledger), gains, block_rows)
+    heads = blocks.select(TEAM, "_budget_c", _candidates(F.col("_rows"), F.col("_ceiling_c")).alias("_prices"), "_block")
+    heads = heads.select(TEAM, "_budget_c", F.array_min("_prices").alias("_least"), "_prices", "_block")
+    ordered = heads.repartition(num_partitions, TEAM) if num_partitions else heads.repartition(TEAM)
+    starts = ordered.sortWithinPartitions(TEAM, "_block").mapInArrow(_starts, "_block long, _start_c long")
+    judged = blocks.join(starts, "_block").select(
+        TEAM, "_team_ok", F.explode(F.arrays_zip("_rows", _residuals(F.col("_rows"), F.col("_start_c")).alias("before"))).alias("_r"))
+    return with_verdict(judged.select(TEAM, "_team_ok", "_r._rows.*", F.col("_r.before").alias("_before")))
 
 
 def accepted_purchases(judged: DataFrame) -> DataFrame:

@@ -2,29 +2,20 @@
 (X12, X12b, X13, X21, X22).
 
 Text is built with JVM string functions (``concat``, ``format_string``,
-``array_join``), never with Python per row. The k-nearest search keeps the query
-set on the driver only after checking its size, scores the corpus partition by
-partition with one numpy matrix product per Arrow batch, keeps a partial top-k
-per query and task, and finishes with a per-query top-k over at most
-``k x tasks`` rows per query. No pair of (query, corpus row) ever leaves a task.
+``array_join``), never with Python per row. The nearest-vector search itself (X13) is
+``rosterlake.operators.vectors``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.functions.numeric import round_half_up
-from rosterlake.session import ship_package
+from rosterlake.operators.vectors import DEFAULT_TOP_K, nearest_vectors  # noqa: F401  (part of this module's interface)
 
-# Document templates and the chat context templates.
+# The text of documents and of the chat context, here and in the functions below.
 NONE_TEXT = "None"  # how a missing value prints inside a document
-DEFAULT_TOP_K = 8
-MAX_QUERIES_PER_PASS = 4096  # query vectors shipped to the tasks in one pass
 RECENT_MESSAGES = 20
 MAX_LOG_ROWS, DEFAULT_LOG_ROWS = 500, 100
 
@@ -91,75 +82,6 @@ def label_centroids(embeddings: DataFrame, label_col: str = "label", vec_col: st
                  .alias("query_vector")))
 
 
-def _topk_scorer(q_ids: np.ndarray, q_mat: np.ndarray, k: int, id_col: str, vec_col: str):
-    q_norm = np.linalg.norm(q_mat, axis=1)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_ids = [np.empty(0, dtype=np.int64) for _ in q_ids]
-        best_sims = [np.empty(0) for _ in q_ids]
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            mat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                sims = (mat @ q_mat.T) / (np.linalg.norm(mat, axis=1)[:, None] * q_norm[None, :])
-            for j in range(len(q_ids)):
-                s = sims[:, j]
-                near = ~np.isnan(s)         # a zero vector has no direction: no neighbour
-                if k < near.sum():          # only what reaches the k-th place is sorted
-                    near &= s >= np.partition(s[near], -k)[-k]
-                cand_ids = np.concatenate([best_ids[j], ids[near]])
-                cand_sims = np.concatenate([best_sims[j], s[near]])
-                order = np.lexsort((cand_ids, -cand_sims))[:k]
-                best_ids[j], best_sims[j] = cand_ids[order], cand_sims[order]
-        rows = [(q_ids[j], best_ids[j][i], best_sims[j][i])
-                for j in range(len(q_ids)) for i in range(len(best_ids[j]))]
-        yield pd.DataFrame(rows, columns=["query_id", id_col, "similarity"])
-
-    return score
-
-
-def nearest_vectors(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K,
-                    id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Exact cosine top-k of every query vector over the corpus.
-
-    ``queries`` has (query_id long, query_vector array<double>). Its size is
-    checked first; queries beyond ``MAX_QUERIES_PER_PASS`` are scored in further
-    passes (each pass a bounded set), never broadcast unchecked.
-    """
-    n_q = queries.count()
-    spark = corpus.sparkSession
-    ship_package(spark)
-    if n_q == 0:
-        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, similarity double")
-    schema = f"query_id long, {id_col} long, similarity double"
-    dim = queries.select(F.max(F.size("query_vector"))).first()[0]  # one scalar
-    # vectors that are missing or of another length cannot be scored: left out
-    c = corpus.select(id_col, vec_col).where(F.col(vec_col).isNotNull() & (F.size(vec_col) == dim))
-    passes = []
-    # Hash buckets of about half the pass size each: no global ordering of the
-    # query set is needed, and each collect is checked against its bound.
-    n_pass = max(1, -(-2 * n_q // MAX_QUERIES_PER_PASS))
-    bucketed = queries.withColumn("_qpass", F.pmod(F.xxhash64("query_id"), F.lit(n_pass)))
-    for p in range(n_pass):
-        rows = (bucketed.where(F.col("_qpass") == p).select("query_id", "query_vector")
-                .limit(2 * MAX_QUERIES_PER_PASS + 1).collect())
-        if len(rows) > 2 * MAX_QUERIES_PER_PASS:
-            raise RuntimeError("query bucket above its bound; raise the pass count")
-        if not rows:
-            continue
-        q_ids = np.array([r[0] for r in rows], dtype=np.int64)
-        q_mat = np.array([r[1] for r in rows], dtype=np.float64)
-        passes.append(c.mapInPandas(_topk_scorer(q_ids, q_mat, k, id_col, vec_col), schema))
-    partial = passes[0]
-    for extra in passes[1:]:
-        partial = partial.unionByName(extra)
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col(id_col).asc())
-    return (partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "rank", id_col, round_half_up(F.col("similarity"), 6).alias("similarity")))
-
-
 # ----------------------------------------------------------------------------- X21
 def player_lines(found: DataFrame) -> DataFrame:
     return found.select(F.concat(
@@ -202,11 +124,13 @@ def with_empty_line(lines: DataFrame, text: str) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- X22 / T2b / T2c
-def recent_messages(conversations: DataFrame, n: int = RECENT_MESSAGES) -> DataFrame:
-    """The last ``n`` messages of every conversation, oldest first."""
+def recent_messages(conversations: DataFrame, n: int = RECENT_MESSAGES, conv_id=None) -> DataFrame:
+    """The last ``n`` messages of one or every conversation (X22), each conversation's
+    oldest first: sorted where they are, as a conversation is in one partition."""
+    c = conversations if conv_id is None else conversations.where(F.col("conv_id") == conv_id)
     w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
-    return (conversations.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-            .drop("_rn").orderBy("conv_id", "turn"))
+    return (c.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+            .sortWithinPartitions("conv_id", "turn"))
 
 
 def recent_logs(app_logs: DataFrame, n: int | None = DEFAULT_LOG_ROWS) -> DataFrame:

@@ -48,20 +48,41 @@ def season_from(title: Column, path: Column) -> Column:
                       pick(basename(F.coalesce(path, F.lit(""))), FILE_SEASON))
 
 
+_PRICE_NUMBERS = ("Id", "Qt.I", "Qt.A", "FVM")
+
+
+def _named(raw: DataFrame) -> Column:
+    return c("Nome").isNotNull() & c("Squadra").isNotNull()
+
+
+def _unreadable() -> Column:
+    """A number cell that holds text which is no number."""
+    bad = F.lit(False)
+    for name in _PRICE_NUMBERS:
+        bad = bad | (c(name).isNotNull() & c(name).try_cast("double").isNull())
+    return bad
+
+
+def price_list_rejects(raw: DataFrame) -> DataFrame:
+    """Named rows that can't be imported, as they are: a number cell holds other text."""
+    return raw.where(_named(raw) & _unreadable())
+
+
 def price_list_transform(raw: DataFrame, budget_lega: int = FVM_REFERENCE_BUDGET,
                          extra_cols: tuple[str, ...] = ()) -> DataFrame:
     """Sheet rows -> giocatori rows (X23): rows without Nome or Squadra are
-    skipped; names trimmed; prices as double; fvm = ceil(FVM x budget / 1000)."""
+    skipped; names trimmed; prices as double; fvm = ceil(FVM x budget / 1000). Rows
+    with an unreadable number are left to ``price_list_rejects``."""
     scale = budget_lega / FVM_REFERENCE_BUDGET
-    kept = raw.where(c("Nome").isNotNull() & c("Squadra").isNotNull())
+    kept = raw.where(_named(raw) & ~_unreadable())
     return kept.select(
-        c("Id").cast("double").cast("long").alias("fanta_id"),
+        c("Id").try_cast("double").try_cast("long").alias("fanta_id"),
         F.trim(c("Nome")).alias("nome"),
         F.trim(c("R")).alias("ruolo"),
         F.trim(c("Squadra")).alias("squadra"),
-        c("Qt.I").cast("double").alias("quotazione_iniziale"),
-        c("Qt.A").cast("double").alias("quotazione_attuale"),
-        F.ceil(c("FVM").cast("double") * F.lit(scale)).cast("double").alias("fvm"),
+        c("Qt.I").try_cast("double").alias("quotazione_iniziale"),
+        c("Qt.A").try_cast("double").alias("quotazione_attuale"),
+        F.ceil(c("FVM").try_cast("double") * F.lit(scale)).cast("double").alias("fvm"),
         *extra_cols,
     )
 

@@ -7,8 +7,15 @@ take every column from the source (or a default), target-only rows are kept.
 
 Duplicate source keys are resolved *last wins* by an ordinal column with a
 ``max_by`` aggregate (partial aggregation: a key repeated a million times is
-collapsed map-side, never windowed in one task). The result is a new snapshot
-DataFrame plus an ``azione`` column; writing it is ``rosterlake.sinks``.
+collapsed map-side, never windowed in one task), or refused (``unique_keys``). The
+result is a new snapshot DataFrame plus an ``azione`` column; writing it is
+``rosterlake.sinks``.
+
+Tables whose new rows need ids go through ``merge_numbered``: the source is stored
+once, its rows without a partner in the target are numbered from the target's
+greatest id and stored (the delta), and the target's rows take their new values by
+one left join. Target rows are read for their keys and once for the result; nothing
+is computed for them twice.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.plans.broadcast import broadcast_bounded
-from rosterlake.session import ensure_checkpoint_dir
+from rosterlake.sinks import tables
 
 # Action labels of the merge report.
 INSERTED, UPDATED, KEPT = "inserito", "aggiornato", "invariato"
@@ -28,7 +35,7 @@ INSERTED, UPDATED, KEPT = "inserito", "aggiornato", "invariato"
 def dedupe_last_wins(source: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     """One row per non-NULL key: the one with the greatest ``ordinal``.
     Rows with a NULL key part are never merged with each other."""
-    has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    has_key = _all_set(keys)
     others = [c for c in source.columns if c not in keys]
     last = (source.where(has_key).groupBy(*keys)
             .agg(F.max_by(F.struct(*others), F.col(ordinal)).alias("_last"))
@@ -36,6 +43,22 @@ def dedupe_last_wins(source: DataFrame, keys: list[str], ordinal: str) -> DataFr
     return last.unionByName(source.where(~has_key))
 
 
+def unique_keys(source: DataFrame, keys: list[str]) -> DataFrame:
+    """The source as it is, one row per non-NULL key (M13, strict): a key that occurs
+    twice fails the query, as a transactional merge with two matching rows does."""
+    has_key = _all_set(keys)
+    others = [c for c in source.columns if c not in keys]
+    message = F.concat_ws(" ", F.lit(f"repeated merge key ({', '.join(keys)}):"), *[F.col(k).cast("string") for k in keys])
+    once = source.where(has_key).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*others)).alias("_row"))
+    row = F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(message))
+    return (once.withColumn("_row", row).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
+            .unionByName(source.where(~has_key)))
+
+
+def _all_set(columns: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+
+
 def merge(target: DataFrame, source: DataFrame, keys: list[str], update_cols: list[str],
           insert_values: dict[str, Column] | None = None,
           update_values: dict[str, Column] | None = None) -> DataFrame:
@@ -78,35 +101,73 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], update_cols: li
     return j.select(*cols, action.alias("azione"))
 
 
+def merge_numbered(target: DataFrame, source: DataFrame, keys: list[str], update_cols: list[str], id_col: str = "id",
+                   insert_values: dict[str, Column] | None = None,
+                   update_values: dict[str, Column] | None = None) -> DataFrame:
+    """``merge`` with ids for the inserted rows (M9): max(id) of the target + rank by
+    the keys. Source and inserted rows are stored in the shared folder while this is
+    called; the result reads the target's rows once."""
+    insert_values, update_values = insert_values or {}, update_values or {}
+    source = tables.materialize(source, "merge-source")
+    t = target.select(*[F.col(c).alias(f"t_{c}") for c in target.columns])
+    s = source.select(*[F.col(c).alias(f"s_{c}") for c in source.columns])
+    t_keys, s_keys = [f"t_{k}" for k in keys], [f"s_{k}" for k in keys]
+    t_set, s_set = _all_set(t_keys), _all_set(s_keys)
+    same = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in zip(t_keys, s_keys)])
+
+    def column(c: str, values: dict[str, Column], wanted) -> Column:
+        src = F.col(f"s_{c}") if c in source.columns else F.lit(None)
+        return (values[c] if c in values else src if wanted(c) else F.col(f"t_{c}")).cast(target.schema[c].dataType)
+
+    # rows with a NULL key match nothing: they never go through a join
+    partnerless = s.where(s_set).join(t.where(t_set).select(*t_keys), same, "left_anti").unionByName(s.where(~s_set))
+    fresh = partnerless.select(*[(F.lit(None).cast(target.schema[c].dataType) if c == id_col else column(c, insert_values, lambda _: True)).alias(c)
+                                 for c in target.columns])
+    base = target.agg(F.coalesce(F.max(id_col), F.lit(0))).scalar()          # scalar subquery over one column
+    fresh = number_rows(fresh, id_col, keys, base)
+
+    met = F.col("_met").isNotNull()
+    update = lambda c: c in update_cols and c in source.columns
+    joined = t.where(t_set).join(s.where(s_set).withColumn("_met", F.lit(True)), same, "left")
+    kept = joined.select(*[(F.when(met, column(c, update_values, update)).otherwise(F.col(f"t_{c}"))
+                            if c in update_values or update(c) else F.col(f"t_{c}")).alias(c) for c in target.columns],
+                         F.when(met, F.lit(UPDATED)).otherwise(F.lit(KEPT)).alias("azione"))
+    still = t.where(~t_set).select(*[F.col(f"t_{c}").alias(c) for c in target.columns], F.lit(KEPT).alias("azione"))
+    return kept.unionByName(still).unionByName(fresh.withColumn("azione", F.lit(INSERTED)))
+
+
+_LOCAL = 33                                   # bits of the row number in monotonically_increasing_id
+
+
+def number_rows(rows: DataFrame, id_col: str, order_cols: list[str], base: Column, num_partitions: int | None = None) -> DataFrame:
+    """``rows`` with ``id_col`` = base + dense rank by ``order_cols`` (rows equal there by a
+    hash of the whole row), whatever the partitioning.
+
+    No single-partition window and no window at all: the rows are range partitioned,
+    sorted within partitions and stored with their place in the partition, so that
+    place and counts agree whenever they are read; one count per partition (bounded)
+    gives each its offset."""
+    order = [*order_cols, F.xxhash64(*[c for c in rows.columns if c != id_col])]
+    ranged = rows.repartitionByRange(num_partitions, *order) if num_partitions else rows.repartitionByRange(*order)
+    placed = tables.materialize(ranged.sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftrightunsigned("_row", _LOCAL)
+    place = F.col("_row").bitwiseAND(F.lit((1 << _LOCAL) - 1))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    parts = num_partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    offsets = broadcast_bounded(offsets, parts, "one row per partition")
+    return (placed.withColumn("_part", part).join(offsets, "_part")
+            .withColumn(id_col, (base + F.col("_offset") + place + 1).cast(rows.schema[id_col].dataType)).select(*rows.columns))
+
+
 def assign_ids(merged: DataFrame, id_col: str, order_cols: list[str],
                num_partitions: int | None = None) -> DataFrame:
-    """Fill NULL ids of inserted rows with max(id) + rank by ``order_cols`` (M9).
-
-    Dense ranks without a single-partition window: the new rows are range
-    partitioned by ``order_cols``, ranked inside each partition and
-    checkpointed once; the per partition counts (one row per partition, a
-    proven bound) give each partition its offset through a broadcast.
-    """
-    base = merged.agg(F.coalesce(F.max(id_col), F.lit(0))).scalar()  # scalar subquery
-    have = merged.where(F.col(id_col).isNotNull())
-    need = merged.where(F.col(id_col).isNull())
-    parts = num_partitions or int(merged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (need.repartitionByRange(num_partitions, *order_cols) if num_partitions
-              else need.repartitionByRange(*order_cols)).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
-    # The range bounds come from a sample of the input, and the input order may
-    # vary between evaluations: evaluate the ranked rows once (reliable
-    # checkpoint in spark.checkpoint.dir) so counts and ranks agree.
-    ensure_checkpoint_dir(merged.sparkSession)   # the cluster's shared folder, or a scratch one in tests
-    local = local.checkpoint(eager=True)
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
-    offsets = counts.select("_pid", F.coalesce(
-        F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
-    numbered = (local.join(broadcast_bounded(offsets, parts, "one row per partition"), "_pid")
-                .withColumn(id_col, (base + F.col("_off") + F.col("_rn")).cast(merged.schema[id_col].dataType))
-                .drop("_pid", "_rn", "_off"))
-    return have.unionByName(numbered.select(*merged.columns))
+    """Fill the NULL ids of an already merged table with max(id) + rank by ``order_cols``
+    (M9). Reads ``merged`` three times: store it first, or use ``merge_numbered``."""
+    base = merged.agg(F.coalesce(F.max(id_col), F.lit(0))).scalar()
+    need = number_rows(merged.where(F.col(id_col).isNull()), id_col, order_cols, base, num_partitions)
+    return merged.where(F.col(id_col).isNotNull()).unionByName(need)
 
 
 def merge_report(merged: DataFrame) -> DataFrame:
@@ -194,10 +255,13 @@ STAMPS = {
 }
 
 
-def upsert(table: str, target: DataFrame, source: DataFrame, now=None) -> DataFrame:
+def upsert(table: str, target: DataFrame, source: DataFrame, now=None, numbered: bool = False, strict: bool = False) -> DataFrame:
     """Upsert by the table's merge spec (M1-M10). ``now`` (a timestamp literal,
-    passed in for repeatable runs) stamps the update/insert time columns."""
+    passed in for repeatable runs) stamps the update/insert time columns. ``numbered``
+    gives inserted rows their ids; ``strict`` refuses repeated source keys (M13)."""
     keys, update = MERGE_SPECS[table]
+    if strict:
+        source = unique_keys(source, list(keys))
     upd, ins = {}, {}
     if now is not None and table in STAMPS:
         on_update, on_insert = STAMPS[table]
@@ -206,7 +270,7 @@ def upsert(table: str, target: DataFrame, source: DataFrame, now=None) -> DataFr
         if on_update != on_insert:
             ins[on_update] = F.lit(now)
     update_cols = [c for c in update if c not in upd]
-    return merge(target, source, list(keys), update_cols, insert_values=ins, update_values=upd)
+    return (merge_numbered if numbered else merge)(target, source, list(keys), update_cols, insert_values=ins, update_values=upd)
 
 
 def cascade_report(children: dict[str, DataFrame], target: DataFrame, file_ids: DataFrame,

@@ -46,9 +46,10 @@ def player_header(giocatori: DataFrame, mia_rosa: DataFrame, ids=None) -> DataFr
 
 
 def player_seasons(stats: DataFrame, ids=None) -> DataFrame:
-    """Seasons of each player, ascending."""
-    s = _only(stats, "giocatore_id", ids)
-    return s.select("giocatore_id", *SEASON_COLUMNS).orderBy("giocatore_id", "stagione")
+    """Seasons of each player (X2b), ascending where players are named; of all players
+    in no order, as sorting them would shuffle the whole table."""
+    s = _only(stats, "giocatore_id", ids).select("giocatore_id", *SEASON_COLUMNS)
+    return s if ids is None else s.orderBy("giocatore_id", "stagione")
 
 
 def last_grades(voti: DataFrame, ids=None, n: int = LAST_GRADES) -> DataFrame:
@@ -85,7 +86,8 @@ def radar_totals(giocatori: DataFrame, stats: DataFrame, ids=None) -> DataFrame:
 def compare_players(giocatori: DataFrame, stats: DataFrame, ids=None) -> DataFrame:
     """Per player six rounded season averages and the season count.
 
-    ``ids``: the first four of the list (duplicates count); None = all players.
+    ``ids``: the first four of the list (duplicates count), best first; None = all
+    players, in no order.
     Stats are aggregated per player before the join (join key = group key).
     """
     if ids is not None:
@@ -99,7 +101,7 @@ def compare_players(giocatori: DataFrame, stats: DataFrame, ids=None) -> DataFra
         F.avg("assist").alias("_as"), F.avg("ammonizioni").alias("_amm"),
         F.count("stagione").alias("_n"))
     j = g.join(s, g.id == s._sid, "left")
-    return j.select(
+    out = j.select(
         "id", "nome", "ruolo", "squadra", "quotazione_attuale", "fvm",
         round_half_up(F.col("_fm"), 2).alias("fantamedia_media"),
         round_half_up(F.col("_mv"), 2).alias("media_voto_media"),
@@ -107,8 +109,8 @@ def compare_players(giocatori: DataFrame, stats: DataFrame, ids=None) -> DataFra
         round_half_up(F.col("_gol"), 1).alias("gol_media"),
         round_half_up(F.col("_as"), 1).alias("assist_media"),
         round_half_up(F.col("_amm"), 1).alias("ammonizioni_media"),
-        F.coalesce(F.col("_n"), F.lit(0)).alias("stagioni_disponibili"),
-    ).orderBy(F.col("fantamedia_media").desc_nulls_last(), "id")
+        F.coalesce(F.col("_n"), F.lit(0)).alias("stagioni_disponibili"))
+    return out if ids is None else out.orderBy(F.col("fantamedia_media").desc_nulls_last(), "id")
 
 
 # The three comparison charts (chart, metric label, column).

@@ -1,12 +1,12 @@
 """Expected value score of free players (X4) — the flagship query.
 
-Plan: free players (anti-join on the distinct sold ids) -> newest 4 seasons per
-player (``row_number`` with a group limit, so Spark keeps 4 rows per player on the
-map side before the shuffle) -> one row per player with the 4 ranked values
-pivoted into columns (fixed summation order) -> per-role maxima as a 4-row
-aggregate broadcast back -> ``orderBy(score desc, id).limit`` (top-k, no global sort).
-The per-player rows are checkpointed once, since both the maxima and the ranking
-read them.
+Plan: free players (anti-join on the distinct sold ids) -> left join with the
+seasons, so that only candidates' seasons are ranked -> newest 4 per player
+(``row_number``, on the join's partitioning) -> one row per player with the 4 ranked
+values pivoted into columns (fixed summation order, same partitioning) -> per-role
+maxima as a 4-row aggregate broadcast back -> ``orderBy(score desc, id).limit``
+(top-k, no global sort). The maxima and the ranking read the same shuffles, which
+Spark reuses; nothing is written.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from rosterlake.functions.numeric import round_half_up
 from rosterlake.operators.common import free_players
 from rosterlake.plans.broadcast import ROLE_ROWS, broadcast_bounded
-from rosterlake.session import ensure_checkpoint_dir
 
 # Fixed values of the score (must equal the source app's):
 SEASON_WEIGHTS = (3.0, 2.0, 1.0, 0.5)   # newest season first; at most 4 seasons
@@ -43,28 +42,33 @@ def _weighted(cols: list) -> F.Column:
     return total
 
 
-def player_form(stats: DataFrame, detail: bool = False) -> DataFrame:
-    """Per player: weighted fantamedia / appearances over the newest 4 seasons."""
-    ranked = newest_seasons(stats)
+def _ranked_measures(detail: bool) -> list:
+    """Aggregates over rows with ``rn``: the 4 newest seasons as columns, and their number."""
     k = range(1, len(SEASON_WEIGHTS) + 1)
     rn = F.col("rn")
     aggs = [F.max(F.when(rn == i, F.coalesce(F.col("fantamedia"), F.lit(0.0)))).alias(f"_fm{i}") for i in k]
     aggs += [F.max(F.when(rn == i, F.coalesce(F.col("presenze"), F.lit(0)).cast("double"))).alias(f"_pr{i}")
              for i in k]
-    aggs.append(F.count(F.lit(1)).alias("_n"))
+    aggs.append(F.count("giocatore_id").alias("_n"))
     if detail:
-        aggs.append(F.array_sort(F.collect_list(F.struct(
+        season = F.struct(
             "rn", "stagione",
             F.coalesce(F.col("fantamedia"), F.lit(0.0)).alias("fantamedia"),
-            F.coalesce(F.col("presenze"), F.lit(0)).cast("double").alias("presenze"),
-        ))).alias("stagioni_dettaglio"))
-    return ranked.groupBy("giocatore_id").agg(*aggs)
+            F.coalesce(F.col("presenze"), F.lit(0)).cast("double").alias("presenze"))
+        aggs.append(F.array_sort(F.collect_list(F.when(F.col("giocatore_id").isNotNull(), season))).alias("stagioni_dettaglio"))
+    return aggs
+
+
+def player_form(stats: DataFrame, detail: bool = False) -> DataFrame:
+    """Per player: the newest 4 seasons' fantamedia and appearances as columns."""
+    return newest_seasons(stats).groupBy("giocatore_id").agg(*_ranked_measures(detail))
 
 
 def expected_value(giocatori: DataFrame, stats: DataFrame, asta_log: DataFrame,
                    ruolo: str | None = None, budget_max: float | None = None,
-                   limit: int = 20, detail: bool = False, materialize: bool = True) -> DataFrame:
-    """Score 0-100 of every free player; the best ``limit`` (<= 50) by score, id."""
+                   limit: int = 20, detail: bool = False) -> DataFrame:
+    """Score 0-100 of every free player; the best ``limit`` (<= 50) by score, id. With
+    ``detail`` (A10) each row also lists its seasons, newest first, by rank."""
     if not 1 <= int(limit) <= MAX_LIMIT:
         raise ValueError(f"limit must be 1 to {MAX_LIMIT}")
     limit = int(limit)
@@ -74,8 +78,12 @@ def expected_value(giocatori: DataFrame, stats: DataFrame, asta_log: DataFrame,
     if budget_max:  # 0 and None mean "no cap", as in the source app
         cand = cand.where(F.col("fvm") <= budget_max)
 
-    form = player_form(stats, detail)
-    j = cand.join(form, cand.id == form.giocatore_id, "left")
+    player = ["id", "nome", "ruolo", "squadra", "quotazione_attuale", "fvm"]
+    seasons = stats.select("giocatore_id", "stagione", "fantamedia", "presenze")
+    newest = Window.partitionBy("id").orderBy(F.col("stagione").desc())
+    j = (cand.select(*player).join(seasons, F.col("id") == F.col("giocatore_id"), "left")
+         .withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= len(SEASON_WEIGHTS))
+         .groupBy(*player).agg(*_ranked_measures(detail)))
 
     n = F.coalesce(F.col("_n"), F.lit(0))
     sw = None
@@ -103,12 +111,6 @@ def expected_value(giocatori: DataFrame, stats: DataFrame, asta_log: DataFrame,
     if detail:
         cols.append("stagioni_dettaglio")
     scored = j.select(*cols)
-    if materialize:
-        # The per-player rows feed both the per-role maxima and the ranking.
-        # One reliable checkpoint (players-sized, in spark.checkpoint.dir)
-        # replaces computing the stats window and aggregate twice.
-        ensure_checkpoint_dir(scored.sparkSession)
-        scored = scored.checkpoint(eager=True)
 
     # Per-role maxima over the filtered candidates; a max of 0 becomes 1. At most
     # one row per role (the ruolo CHECK bounds it), so the broadcast is bounded.

@@ -72,13 +72,16 @@ def recent_purchases(asta_log: DataFrame, giocatori: DataFrame, limit: int = 20)
             .orderBy(F.col("creato_il").desc_nulls_last(), F.col("id").desc()).limit(int(limit)))
 
 
-def history_filter(history: DataFrame, text: str | None, sort_col: str = "creato_il",
+def history_filter(history: DataFrame, text: str | None, sort_col: str | None = None,
                    direction: str = "desc") -> DataFrame:
-    """Contains-filter on player name or buyer, then a whitelisted sort (X11d)."""
+    """Contains-filter on player name or buyer (X11d), sorted by a whitelisted column
+    where one is asked for (an unknown name means ``creato_il``)."""
     t = (text or "").strip().lower()
     h = history
     if t:
         h = h.where(F.lower("nome").contains(t) | F.lower("squadra_acquirente").contains(t))
+    if sort_col is None:
+        return h
     if sort_col not in HISTORY_SORT_COLUMNS:
         sort_col = "creato_il"
     asc = direction == "asc"

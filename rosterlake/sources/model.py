@@ -9,11 +9,12 @@ columns and pushes the filters down to each parquet scan.
 Mapping (fixed, documented in README):
   giocatori            <- part
   statistiche_storiche <- lineitem grouped by (l_partkey, year(l_shipdate))
-  squadre              <- supplier + nation
-  asta_log             <- lineitem (line 7, quantity >= 46) + supplier
+  squadre              <- customer + nation
+  asta_log             <- lineitem: an order is an auction, its lines are the bids
   mia_rosa             <- first purchase per player of MY_TEAM in asta_log
   voti_giornata        <- lineitem grouped by (l_partkey, year, day of l_shipdate)
-  purchase attempts    <- events of type 'purchase'; census from 'signup'
+  purchase attempts    <- events of type 'purchase'; census from 'signup',
+                          under the names of the teams of asta_log
   app_logs             <- events
 """
 
@@ -28,12 +29,14 @@ from rosterlake.functions.numeric import round_half_up
 from rosterlake.plans.broadcast import NATION_ROWS, broadcast_bounded
 
 # Fixed values of the model (not data):
-MY_TEAM = "Supplier#000000000"   # the user's own team in asta_log
-MY_AUCTION_TEAM = "Team#0"       # the user's own team among purchase attempts
-AUCTION_BUDGET = 500.0           # budget of every team in the purchase census
+MY_TEAM = "Customer#000000002"   # the user's own team in asta_log
+MY_USER = 2                      # the same team among the events
+TEAM_NAME = "Customer#%09d"      # a team's name from its number
+TEAMS_PER_SUPPLIER = 15          # customers per supplier in the driver tables
+AUCTION_BUDGET = 700.0           # budget of every team in the purchase census
 LOG_APP_NAME = "chatbot"
-OLD_LIST_MAX_SIZE = 40   # the previous price list held the parts up to this size
-NEW_LIST_MIN_SIZE = 10   # the new price list holds the parts from this size
+RENUMBERED_SIZE = 40             # parts above this size are new players in the new price list
+NEW_PLAYER = 1_000_000_000       # added to the part key of a new player
 SHEET_DIR = "/sheets"    # nominal folder of the exported season sheets
 
 
@@ -120,34 +123,33 @@ class LeagueModel:
     # -- league teams ------------------------------------------------------
     @cached_property
     def squadre(self) -> DataFrame:
-        s = self.t.table("supplier")
+        c = self.t.table("customer")
         # nation is the fixed 25-row dimension of the TPC-H schema: its size is
         # bounded by the spec, so broadcasting it is safe at any scale.
         n = broadcast_bounded(self.t.table("nation").select("n_nationkey", "n_name"), NATION_ROWS,
                               "TPC-H nation dimension")
-        return s.join(n, s.s_nationkey == n.n_nationkey, "left").select(
-            F.col("s_suppkey").alias("id"),
-            F.col("s_name").alias("nome"),
+        return c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
+            F.col("c_custkey").alias("id"),
+            F.col("c_name").alias("nome"),
             F.col("n_name").alias("allenatore"),
-            F.col("s_acctbal").alias("budget_totale"),
+            F.col("c_acctbal").alias("budget_totale"),
         )
 
     # -- auction log -------------------------------------------------------
     @cached_property
     def asta_log(self) -> DataFrame:
-        li = (self.t.table("lineitem")
-              .filter((F.col("l_linenumber") == 7) & (F.col("l_quantity") >= 46))
-              .select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"))
-        s = self.t.table("supplier").select("s_suppkey", "s_name")
-        return li.join(s, li.l_suppkey == s.s_suppkey, "inner").select(
-            # (l_orderkey, l_partkey) is unique among these rows: a deterministic
-            # id without a global (single-partition) row_number.
-            (F.col("l_orderkey") * 1000000 + F.col("l_partkey")).alias("id"),
-            F.col("l_partkey").alias("giocatore_id"),
-            F.col("l_quantity").alias("prezzo_finale"),
-            F.col("s_name").alias("squadra_acquirente"),
+        """One sale per order: its highest bid wins (of equal ones the greatest part,
+        supplier, line, date). Every third player is ever up for sale, the others stay free."""
+        bid = F.struct("l_quantity", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
+        won = self.t.table("lineitem").groupBy("l_orderkey").agg(F.max(bid).alias("b"))
+        return won.select(
+            F.col("l_orderkey").alias("id"),
+            (F.col("b.l_partkey") - F.col("b.l_partkey") % 3).alias("giocatore_id"),
+            F.col("b.l_quantity").alias("prezzo_finale"),
+            F.format_string(TEAM_NAME, F.col("b.l_suppkey") * TEAMS_PER_SUPPLIER + F.col("l_orderkey") % TEAMS_PER_SUPPLIER)
+            .alias("squadra_acquirente"),
             F.lit("lineitem").alias("fonte"),
-            F.col("l_shipdate").alias("creato_il"),
+            F.col("b.l_shipdate").alias("creato_il"),
         )
 
     # -- my roster ---------------------------------------------------------
@@ -200,20 +202,50 @@ class LeagueModel:
             F.col("event_id").alias("id"),
             F.get_json_object("props", "$.k").cast("long").alias("giocatore_id"),
             F.col("value").alias("prezzo_finale"),
-            F.concat(F.lit("Team#"), F.col("user_id").cast("string")).alias("squadra_acquirente"),
-            (F.col("user_id") == 0).alias("e_mio"),
+            F.format_string(TEAM_NAME, "user_id").alias("squadra_acquirente"),
+            (F.col("user_id") == MY_USER).alias("e_mio"),
             F.lit("events").alias("fonte"),
         )
 
     @cached_property
     def auction_census(self) -> DataFrame:
         e = self.t.table("events").filter(F.col("event_type") == "signup")
-        return (e.select(F.concat(F.lit("Team#"), F.col("user_id").cast("string")).alias("nome"))
+        return (e.select(F.format_string(TEAM_NAME, "user_id").alias("nome"))
                 .distinct()
                 .select("nome", F.lit(None).cast("string").alias("allenatore"),
                         F.lit(AUCTION_BUDGET).alias("budget_totale")))
 
+    # -- fixtures and probable line-ups -------------------------------------
+    @cached_property
+    def calendario(self) -> DataFrame:
+        """A team's first order of a day of the month in a season is its home match."""
+        o = self.t.table("orders")
+        first = o.groupBy(F.dayofmonth("o_orderdate").alias("giornata"), F.format_string(TEAM_NAME, "o_custkey").alias("squadra_casa"),
+                          season_label(F.year("o_orderdate")).alias("stagione")).agg(
+            F.min("o_orderkey").alias("id"), F.min("o_orderdate").alias("data_partita"))
+        return first.select("id", "giornata", "squadra_casa", F.format_string(TEAM_NAME, F.col("id") % 1000).alias("squadra_trasferta"),
+                            "data_partita", "stagione")
+
+    @cached_property
+    def formazioni_probabili(self) -> DataFrame:
+        """A club's players by size class, as the starters of a round."""
+        p = self.t.table("part")
+        starter = F.struct("p_partkey", F.col("p_name").alias("v"))
+        rows = p.groupBy((F.col("p_size") % 38 + 1).cast("int").alias("giornata"), F.col("p_brand").alias("squadra")).agg(
+            F.min("p_partkey").alias("id"), F.sort_array(F.collect_list(starter)).alias("s"))
+        return rows.select("id", "giornata", "squadra", F.lit("4-3-3").alias("modulo"), F.transform("s", lambda x: x["v"]).alias("titolari"),
+                           F.lit("part").alias("fonte"), F.lit(None).cast("timestamp_ntz").alias("creato_il"))
+
     # -- application logs --------------------------------------------------
+    @cached_property
+    def request_logs(self) -> DataFrame:
+        """The events as request log rows: method, path, status and time in ``extra``."""
+        kind = F.col("event_type")
+        request = F.struct(
+            F.when(kind.isin("view", "click"), "GET").otherwise("POST").alias("method"), F.concat(F.lit("/"), kind).alias("path"),
+            F.when(kind == "error", 503).otherwise(200).alias("status"), F.col("value").alias("ms"))
+        return self.t.table("events").select(F.col("event_id").alias("id"), "ts", F.to_json(request).alias("extra"))
+
     @cached_property
     def app_logs(self) -> DataFrame:
         e = self.t.table("events")
@@ -230,18 +262,20 @@ class LeagueModel:
     @cached_property
     def previous_players(self) -> DataFrame:
         """The player table as loaded from the previous price list."""
-        return self.giocatori.where(F.col("quotazione_attuale") <= OLD_LIST_MAX_SIZE)
+        return self.giocatori
 
     @cached_property
     def price_sheet(self) -> DataFrame:
         """The new price list as exported sheet rows: every cell is text, names
-        padded with blanks as exported sheets often are."""
-        p = self.t.table("part").where(F.col("p_size") >= NEW_LIST_MIN_SIZE)
+        padded with blanks as exported sheets often are. Parts up to
+        RENUMBERED_SIZE are the players of the previous list, the others are new."""
+        p = self.t.table("part")
         size = F.col("p_size")
+        number = F.col("p_partkey") + F.when(size > RENUMBERED_SIZE, F.lit(NEW_PLAYER)).otherwise(F.lit(0))
         ruolo = (F.when(size <= 12, "P").when(size <= 25, "D")
                  .when(size <= 38, "C").otherwise("A"))
         return p.select(
-            F.col("p_partkey").cast("string").alias("Id"),
+            number.cast("string").alias("Id"),
             ruolo.alias("R"),
             F.concat(F.lit("  "), F.col("p_name"), F.lit(" ")).alias("Nome"),
             F.col("p_brand").alias("Squadra"),
@@ -255,7 +289,8 @@ class LeagueModel:
     def stats_sheets(self) -> DataFrame:
         """One season sheet per year as rows of text cells, with the sheet title
         and file path; even years carry the season in the title, odd years only
-        in the file name."""
+        in the file name. Some rows name an unknown player, some lack their
+        appearances."""
         s = self.statistiche
         yr = F.substring("stagione", 1, 4)
         yy = F.substring("stagione", 6, 2)
@@ -264,10 +299,11 @@ class LeagueModel:
             .otherwise(F.lit("Statistiche Fantacalcio"))
         path = F.concat(F.lit(SHEET_DIR + "/Statistiche_"), yr, F.lit("_"), yy, F.lit(".csv"))
         t = lambda c: F.col(c).cast("string")
+        number = F.col("giocatore_id") + F.when(F.col("presenze") % 10 == 9, F.lit(NEW_PLAYER)).otherwise(F.lit(0))
         return s.select(
             title.alias("_title"), path.alias("_path"),
-            t("giocatore_id").alias("Id"), t("presenze").alias("Pv"), t("media_voto").alias("Mv"),
-            t("fantamedia").alias("Fm"), t("gol").alias("Gf"), t("gol_subiti").alias("Gs"),
+            number.cast("string").alias("Id"), F.when(F.col("presenze") % 10 != 8, t("presenze")).alias("Pv"),
+            t("media_voto").alias("Mv"), t("fantamedia").alias("Fm"), t("gol").alias("Gf"), t("gol_subiti").alias("Gs"),
             t("rigori_parati").alias("Rp"), t("rigori_calciati").alias("Rc"), t("bonus").alias("R+"),
             t("malus").alias("R-"), t("assist").alias("Ass"), t("ammonizioni").alias("Amm"),
             t("espulsioni").alias("Esp"), t("autogol").alias("Au"),

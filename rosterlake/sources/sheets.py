@@ -2,9 +2,13 @@
 
 - ``read_price_csv``: hand-made CSV (nome, ruolo, squadra, quotazione), explicit
   schema, header row, UTF-8; names used as they are (no trimming).
-- ``read_sheets``: sheets exported as CSV text where row 1 is a title and row 2
-  the header (the price list and the season statistics). All files are read in
-  one job; the title and the path of each row's file travel with the row.
+- ``scan_sheets``: sheets exported as CSV text where row 1 is a title and row 2
+  the header (the price list and the season statistics). One lazy scan for all files:
+  each is one record (a sheet holds the players of one league), parsed in the task
+  that reads it, so title, header and row order are at hand and nothing comes to the
+  driver. Files go through Spark's own reader, whatever store they lie in.
+- ``read_sheets``: the same for columns that aren't known beforehand: the header lines
+  are read first, and a missing column is an error at once.
 
 Row order inside a file (for "last wins") is kept as an ordinal
 ``(file index, block start, row id within the task)``: Spark reads each file
@@ -14,14 +18,18 @@ block sequentially, so the id grows with the line within a block.
 from __future__ import annotations
 
 import csv
+import io
 import re
+from collections.abc import Iterator
 from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.operators.quality import missing_columns
 from rosterlake.plans.broadcast import broadcast_bounded
+from rosterlake.session import ship_package
 
 PRICE_CSV_SCHEMA = "nome string, ruolo string, squadra string, quotazione double"
 HEADER_CELL = "Id"  # fixed value: the header row is the row with an "Id" cell (data rows hold numbers)
@@ -120,3 +128,58 @@ def read_sheets(spark: SparkSession, paths, required) -> DataFrame:
         out = out.unionByName(p, allowMissingColumns=True)
     # titles: one row per file (bounded by the file list)
     return out.join(broadcast_bounded(titles, len(headers), "one title per file"), "_path", "left")
+
+
+def parse_sheet(content: bytes, path: str, columns: list[str], required) -> tuple[str | None, list[list[str | None]], list[int]]:
+    """Title, data rows (the cells of ``columns``; None where empty or absent) and their line
+    numbers of one exported sheet. The title is the first row before the header with one
+    cell only, which is no number; a sheet without a header row has no rows."""
+    rows = list(csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"), newline="")))
+    at = next((i for i, row in enumerate(rows) if any(cell.strip() == HEADER_CELL for cell in row)), None)
+    if at is None:
+        return None, [], []
+    names = [n.strip() for n in rows[at]]
+    if miss := missing_columns([n for n in names if n], required):
+        raise ValueError(f"missing columns in {path}: {sorted(miss)}")
+    title = next((r[0] for r in rows[:at] if r and r[0] and not any(r[1:]) and not _is_number(r[0])), None)
+    place = {n: k for k, n in reversed(list(enumerate(names)))}         # of repeated names the first
+    picked, lines = [], []
+    for line, row in enumerate(rows[at + 1:], at + 1):
+        if any(row):
+            picked.append([(row[k] or None) if (k := place.get(c, -1)) >= 0 and k < len(row) else None for c in columns])
+            lines.append(line)
+    return title, picked, lines
+
+
+def _is_number(text: str) -> bool:
+    try:
+        float(text)
+        return True
+    except ValueError:
+        return False
+
+
+def scan_sheets(spark: SparkSession, paths, required, optional=()) -> DataFrame:
+    """S2/S3/S4 in one lazy scan: the text cells of the ``required`` and ``optional``
+    columns, plus ``_title``, ``_path`` and ``_ordinal`` (as ``read_sheets``). A file that lacks
+    a required column fails the query that reads it, naming the columns (Q19)."""
+    paths = _as_list(paths)
+    ship_package(spark)
+    columns = [*required, *(c for c in optional if c not in required)]
+    files = (spark.read.format("binaryFile").load(paths)
+             .select(F.col("_metadata.file_path").alias("_path"), _file_index(paths).alias("_file"), "content"))
+    needed = list(required)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, file, content in zip(*(c.to_pylist() for c in batch.columns)):
+                title, rows, lines = parse_sheet(content, path, columns, needed)
+                n = len(rows)
+                cells = [pa.array([r[k] for r in rows], pa.string()) for k in range(len(columns))]
+                place = pa.StructArray.from_arrays(
+                    [pa.array([file] * n, pa.int32()), pa.array([0] * n, pa.int64()), pa.array(lines, pa.int64())], names=["file", "block", "row"])
+                yield pa.RecordBatch.from_arrays(
+                    [*cells, pa.array([path] * n, pa.string()), place, pa.array([title] * n, pa.string())], names=[*columns, "_path", "_ordinal", "_title"])
+
+    kinds = ", ".join(f"`{c}` string" for c in columns)
+    return files.mapInArrow(emit, f"{kinds}, _path string, _ordinal struct<file:int,block:bigint,row:bigint>, _title string")

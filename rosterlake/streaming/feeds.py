@@ -5,8 +5,9 @@
   restart), replacing a bounded in-memory buffer that dropped rows.
 - T3 ``scoreboard``: spent amount and purchases per team, kept up to date as
   purchases arrive (update mode); residuals come from the static team table.
-- T4 ``document_sync``: players that change get their documents rebuilt and
-  appended to a change log; ``current_documents`` reads it last-wins per id.
+- T4 ``document_sync``: players that change (or whose seasons or roster place do) get
+  their documents rebuilt and put into a document log, deleted players a tombstone;
+  ``current_documents`` reads it last-wins per id.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rosterlake.operators import documents
+from rosterlake.operators import changes
+from rosterlake.operators.changes import current_documents  # noqa: F401  (part of this module's interface)
 
 LOG_TRIGGER = "30 seconds"
 SCOREBOARD_TRIGGER = "8 seconds"
@@ -43,36 +45,34 @@ def scoreboard_with_budget(board: DataFrame, squadre: DataFrame) -> DataFrame:
                     F.coalesce(F.col("acquisti"), F.lit(0)).alias("acquisti"))
 
 
-def document_sync(changed_players: DataFrame, stats: DataFrame, mia_rosa: DataFrame, path: str,
-                  checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """For every micro-batch of changed players, rebuild their documents and
-    append them (with the batch id) to the document change log at ``path``. Of
-    several changes of one player in a batch the last by ``aggiornato_il`` counts
-    (then the greatest by the other columns)."""
+def document_sync(changed: DataFrame, stats: DataFrame, mia_rosa: DataFrame, path: str,
+                  checkpoint: str, available_now: bool = True, giocatori: DataFrame | None = None) -> StreamingQuery:
+    """For every micro-batch of changes, put the players' documents into the log at ``path``.
+
+    ``changed`` holds either whole player rows, or (with ``giocatori``, the table as it
+    is now) only ids: of changed players, of seasons (``giocatore_id``) or of roster rows.
+    A column ``change`` with ``delete`` removes the document. Of several rows of one
+    player in a batch the last by ``aggiornato_il`` counts (then the greatest by the other
+    columns). A replayed batch replaces what it wrote."""
+    key = "id" if giocatori is None or "giocatore_id" not in changed.columns else "giocatore_id"
 
     def rebuild(batch: DataFrame, batch_id: int) -> None:
-        order = sorted((c for c in batch.columns if c != "id"), key=lambda c: c != "aggiornato_il")
-        batch = (batch.groupBy("id").agg(F.max(F.struct(*order)).alias("_row"))
-                 .select("id", "_row.*").select(*batch.columns))
-        # only the changed players' seasons and roster rows are read
-        ids = batch.select(F.col("id").alias("_cid"))
-        s = stats.join(ids, stats.giocatore_id == ids._cid, "left_semi")
-        r = mia_rosa.join(ids, mia_rosa.giocatore_id == ids._cid, "left_semi")
-        docs = documents.player_documents(batch, s, r)
-        docs.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(path)
-
-    w = changed_players.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint)
+        kind = F.col("change") if "change" in batch.columns else F.lit(changes.UPDATE)
+        if giocatori is not None:
+            rows = batch.select(F.col(key).alias("id"), kind.alias("change")).where("id is not null")
+            players = giocatori
+        else:
+            order = sorted((c for c in batch.columns if c != "id"), key=lambda c: c != "aggiornato_il")
+            players = (batch.groupBy("id").agg(F.max(F.struct(*order)).alias("_row"))
+                       .select("id", "_row.*").select(*batch.columns))
+            rows = players.select("id", kind.alias("change"))
+        changes.write_changes(changes.document_changes(rows, players, stats, mia_rosa), path, batch_id)
+
+    w = changed.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=SCOREBOARD_TRIGGER)
     return w.start()
 
 
-def current_documents(change_log: DataFrame) -> DataFrame:
-    """Latest document per id (I5 upsert semantics) from the append-only log; the
-    greatest document where a batch holds several of one id."""
-    last = change_log.groupBy("id").agg(F.max(F.struct("_batch", "document", "giocatore_id")).alias("d"))
-    return last.select("id", "d.document", "d.giocatore_id")
-
-
 def start_scoreboard(purchases: DataFrame, squadre: DataFrame, path: str, checkpoint: str,
                      trigger: str = SCOREBOARD_TRIGGER, available_now: bool = False) -> StreamingQuery:
     """Every trigger, write the team board (budget, spent, residual) as a

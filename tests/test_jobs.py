@@ -69,10 +69,37 @@ def test_import_season_stats_rewrites_only_imported_seasons(spark, tmp_path):
                      "20,D,Dc,Verdi,Milan,12,6,6.5,0,0,0,0,0,0,1,0,0,0\n"
                      "10,P,Por,Rossi,Inter,31,6.2,5.5,0,22,0,0,0,0,0,0,0,0\n"
                      "99,A,Pc,Ignoto,Roma,5,6,6,1,0,0,0,0,0,0,0,0,0\n")
-    out2 = str(tmp_path / "stats_v2")
-    old.write.partitionBy("stagione").parquet(out2)       # the new snapshot starts as a copy
-    rep = {r.voce: r.n for r in jobs.import_season_stats(
-        spark, str(sheet), players, spark.read.parquet(out), out2).collect()}
-    assert rep == {"aggiornato": 1, "inserito": 1, "saltato": 1}
-    got = {(r.giocatore_id, r.stagione): r.presenze for r in spark.read.parquet(out2).collect()}
-    assert got == {(1, "2023/24"): 30, (2, "2024/25"): 12, (1, "2024/25"): 31}
+    source = str(tmp_path / "read")
+    old.write.parquet(source)
+    complete = {(1, "2023/24"): 30, (2, "2024/25"): 12, (1, "2024/25"): 31}
+    rows = lambda path: {(r.giocatore_id, r.stagione): r.presenze for r in spark.read.parquet(path).collect()}
+    report = {"aggiornato": 1, "inserito": 1, "saltato": 1}
+
+    new = str(tmp_path / "stats_v2")                         # a complete snapshot at a new place
+    rep = jobs.import_season_stats(spark, str(sheet), players, spark.read.parquet(source), new)
+    assert rows(new) == complete
+    ids = {(r.giocatore_id, r.stagione): r.id for r in spark.read.parquet(new).collect()}
+    assert ids == {(1, "2023/24"): 1, (2, "2024/25"): 2, (1, "2024/25"): 3}
+    # the report was counted while the rows were written: it stays when the input changes
+    spark.createDataFrame([], old.schema).write.mode("overwrite").parquet(source)
+    assert {r.voce: r.n for r in rep.collect()} == report
+
+    old.write.mode("overwrite").parquet(source)              # in place: only the imported season is rewritten
+    before = sorted(p.name for p in (tmp_path / "stats" / "stagione=2023%2F24").iterdir())
+    rep = jobs.import_season_stats(spark, str(sheet), players, spark.read.parquet(source), out, in_place=True)
+    assert {r.voce: r.n for r in rep.collect()} == report and rows(out) == complete
+    assert before == sorted(p.name for p in (tmp_path / "stats" / "stagione=2023%2F24").iterdir())
+
+
+def test_price_list_rejects_and_strict_mode(spark, tmp_path):
+    sheet = tmp_path / "listone.csv"
+    sheet.write_text("Listone\n" + PRICE_HEADER + "\n10,P,Por,Rossi,Inter,12,11,1,0,0,0,33,0\n40,P,Por,Rotto,Inter,molti,11,1,0,0,0,33,0\n")
+    rep = jobs.import_price_list(spark, str(sheet), _players(spark), str(tmp_path / "v2"))
+    assert {r.voce: r.n for r in rep.collect()} == {"aggiornato": 1, "invariato": 2, "scartato": 1}
+    assert spark.read.parquet(str(tmp_path / "v2")).where("nome = 'Rotto'").count() == 0
+    twice = tmp_path / "doppio.csv"
+    twice.write_text("Listone\n" + PRICE_HEADER + "\n10,P,Por,Rossi,Inter,12,11,1,0,0,0,33,0\n10,P,Por,Rossi,Inter,13,11,1,0,0,0,33,0\n")
+    with pytest.raises(Exception, match="repeated merge key"):
+        jobs.import_price_list(spark, str(twice), _players(spark), str(tmp_path / "v3"), strict=True)
+    jobs.import_price_list(spark, str(twice), _players(spark), str(tmp_path / "v4"))
+    assert spark.read.parquet(str(tmp_path / "v4")).where("fanta_id = 10").first().quotazione_attuale == 13.0
