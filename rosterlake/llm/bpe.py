@@ -19,6 +19,7 @@ name of a result column gives way to it.
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, plus, prepare, ranges, sha256_hex, text_slices
 
-MAX_CACHED_WORDS = 80_000     # a generation of the cache
+MAX_CACHED_WORDS = 150_000    # a generation of the cache
+MAX_CACHED_LENGTH = 64        # longer words are encoded each time
 MAX_CACHED_PAIRS = 80_000
 SLICE = 1 << 20              # text bytes encoded at a time
 LATIN = 0x180           # below this code point all Unicode versions agree
@@ -47,13 +49,16 @@ def byte_alphabet() -> dict[int, str]:
 
 class _Cache(dict):
     """Memory of a function over two generations: a full one becomes the old one,
-    so what is met often stays and at most twice ``limit`` entries are held."""
+    so what is met often stays and at most twice ``limit`` entries are held. Text keys
+    above ``longest`` characters aren't held."""
 
-    def __init__(self, function, limit: int):
+    def __init__(self, function, limit: int, longest: int = 0):
         super().__init__()
-        self.function, self.limit, self.old = function, limit, {}
+        self.function, self.limit, self.longest, self.old = function, limit, longest, {}
 
     def __missing__(self, key):
+        if self.longest and len(key) > self.longest:
+            return self.function(key)
         value = self.old.get(key)
         if value is None:
             value = self.function(key)
@@ -85,6 +90,7 @@ class Bpe:
         blob = [texts.get(i, "").encode() for i in range(max(texts) + 1)]
         self.offsets = np.concatenate([[0], np.cumsum([len(b) for b in blob])]).astype(np.int64)
         self.buffer = np.frombuffer(b"".join(blob), dtype=np.uint8)
+        self._bytes, self._at, self._packed = b"".join(blob), self.offsets.tolist(), struct.Struct("<i").pack
 
         # symbols: byte b is chr(b); the last byte of a word, with the suffix, chr(256 + b)
         alphabet = byte_alphabet()
@@ -120,9 +126,8 @@ class Bpe:
                     self.shorter[i] = j
                     break
         self.pair_ok = _Cache(lambda pair: self.compatible(*pair), MAX_CACHED_PAIRS)
-        # run of text or word -> its ids (4 bytes each, low byte first), in decimals, decoded
-        self.chunks = _Cache(lambda chunk: self._piece(self.encode_chunk(chunk)), MAX_CACHED_WORDS)
-        self.words = _Cache(lambda word: self._piece(self.encode_word(word)), MAX_CACHED_WORDS)
+        # word -> its ids (4 bytes each, low byte first), in decimals, decoded
+        self.words = _Cache(lambda word: self._piece(self.encode_word(word)), MAX_CACHED_WORDS, MAX_CACHED_LENGTH)
         self._spec, self._library = {k: v for k, v in spec.items() if k != "model"}, None
 
     def _classes(self, split: str) -> None:
@@ -202,22 +207,20 @@ class Bpe:
             word = word.encode().decode("latin-1")
         return self.encode_symbols(word[:-1] + chr(256 + ord(word[-1])))
 
-    def encode_chunk(self, chunk: str) -> list[int]:
-        """A run of text between blanks: no alternative of the split pattern
-        matches a blank, so no word reaches past it."""
-        return [i for w in self.find_words(chunk) for i in self.encode_word(w)]
-
     def _piece(self, ids: list[int]) -> tuple[bytes, str, bytes]:
-        return np.array(ids, "<i4").tobytes(), " ".join(map(str, ids)), self.decode(np.array(ids, np.int64))
+        """Ids, decimals and decoded text (through the offset table) of a few tokens."""
+        buffer, at = self._bytes, self._at
+        return b"".join([self._packed(i) for i in ids]), " ".join(map(str, ids)), b" ".join([buffer[at[i]:at[i + 1]] for i in ids])
 
     def _plain_pieces(self, text: str) -> Iterator[tuple[bytes, str, bytes]]:
         """Normal form (NFC, lower case letter by letter), split, merges. White-space
-        runs needn't become one blank first: they only part words."""
+        runs needn't become one blank first: no alternative of the split pattern
+        matches a blank, they only part words."""
         if self.foreign(text):
-            return map(self.words.__getitem__, self._library_words(text))
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        return map(self.chunks.__getitem__, text.lower().split())
+            words = self._library_words(text)
+        else:
+            words = self.find_words((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+        return map(self.words.__getitem__, words)
 
     def _library_words(self, text: str) -> list[str]:
         if self._library is None:
