@@ -54,7 +54,7 @@ def find_names(index: DataFrame, giocatori: DataFrame, words: DataFrame, id_col:
     probes = wanted.join(sizes, "key", "left").withColumn("_rank", F.row_number().over(rarest)).where(F.col("_rank") <= PROBES)
     asked = probes.withColumn("_asked", F.max("_rank").over(Window.partitionBy("word"))).select("word", "key", "_asked")
     hits = (asked.join(index.withColumnRenamed("id", "_id"), "key").groupBy("word", "_id")
-            .agg(F.count(F.lit(1)).alias("_met"), F.max("_asked").alias("_asked")).where("_met = _asked"))
+            .agg(F.count_distinct("key").alias("_met"), F.max("_asked").alias("_asked")).where("_met = _asked"))
     found = hits.select("word", "_id").join(giocatori, F.col("_id") == F.col(id_col))
     return found.where(F.expr(f"`{name_col}` ILIKE concat('%', word, '%')")).select("word", *giocatori.columns)
 

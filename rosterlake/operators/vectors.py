@@ -7,7 +7,9 @@ and a ranked window brings the parts together. Nothing is collected on the drive
 no size changes the path and no set is too large.
 
 Index: cell centroids are fitted on a bounded sample (``FIT_ROWS`` rows), and *every*
-vector goes to its nearest cell. A query looks into the cells nearest to it. A cell
+vector goes to its nearest cell. A query looks into the cells nearest to it: as many as
+sampled vectors need to find ``RECALL`` of their own neighbours (all cells, if directions
+have no structure). A cell
 that holds many rows (one vector may be a third of the corpus) is split into slices
 of about ``PART_ROWS`` by a hash of the ids; its queries go to every slice.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,11 @@ DEFAULT_TOP_K = 8
 PART_ROWS = 20_000           # corpus rows of one group
 TILE_ROWS = 2_048            # query rows of one group
 FIT_ROWS = 100_000           # corpus rows that the cells are fitted on, at most
+NEARLY = 1e-9                # similarities this close are compared once more
 MAX_CELLS = 4_096
 FIT_ROUNDS = 8
-PROBES = 8                   # cells that a query looks into
+FIT_QUERIES = 200            # sampled vectors that set the number of cells to look into
+RECALL = 0.95                # share of the sample's neighbours that must be found
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -56,10 +61,13 @@ def _best(corpus: pa.Table, queries: pa.Table, k: int, names: tuple[str, str]) -
     for j in range(len(q_ids)):
         s = sims[:, j]
         near = ~np.isnan(s)             # a zero vector has no direction: no neighbour
-        if k < near.sum():              # only what reaches the k-th place is sorted
-            near &= s >= np.partition(s[near], -k)[-k]
-        order = np.lexsort((ids[near], -s[near]))[:k]
-        out.append((np.full(len(order), q_ids[j]), ids[near][order], s[near][order]))
+        if k < near.sum():              # only what reaches the k-th place is looked at again
+            near &= s >= np.partition(s[near], -k)[-k] - NEARLY
+        near = np.flatnonzero(near)
+        # row by row: a matrix product's last digits depend on its shape, and equal vectors must tie
+        s = (mat[near] * q_mat[j]).sum(axis=1) / (np.sqrt((mat[near] ** 2).sum(axis=1)) * np.sqrt((q_mat[j] ** 2).sum()))
+        order = np.lexsort((ids[near], -s))[:k]
+        out.append((np.full(len(order), q_ids[j]), ids[near][order], s[order]))
     return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=kind)
 
 
@@ -104,10 +112,23 @@ def nearest_vectors(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_
 
 
 # ----------------------------------------------------------------------------- index
-def fit_cells(corpus: DataFrame, cells: int | None = None, vec_col: str = "embedding", id_col: str = "vec_id", seed: int = 7) -> np.ndarray:
-    """Centroids (cells x dimension) of directions, fitted on at most ``FIT_ROWS`` rows (by
-    the least hashes of their ids); their number is the square root of the corpus size
-    by default, MAX_CELLS at most."""
+@dataclass(frozen=True)
+class Cells:
+    """Centroids (cells x dimension) and the number of cells that a query looks into."""
+
+    centres: np.ndarray
+    probes: int
+
+
+def _nearest_cell(mat: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.argmax(mat[a:a + 4096] @ centres.T, axis=1) for a in range(0, len(mat), 4096)])
+
+
+def fit_cells(corpus: DataFrame, cells: int | None = None, k: int = DEFAULT_TOP_K, vec_col: str = "embedding", id_col: str = "vec_id",
+              seed: int = 7) -> Cells:
+    """Cells of directions, fitted on at most ``FIT_ROWS`` rows (by the least hashes of
+    their ids); their number is the square root of the corpus size by default, MAX_CELLS
+    at most."""
     n = corpus.count()
     cells = min(cells or max(1, round(math.sqrt(n))), MAX_CELLS)
     # a hash threshold picks about FIT_ROWS rows wherever they lie
@@ -116,20 +137,33 @@ def fit_cells(corpus: DataFrame, cells: int | None = None, vec_col: str = "embed
     rows = sample.select(F.col(vec_col).cast("array<double>").alias("v")).where("v is not null").toArrow()
     vectors = [x for x in rows.column("v").to_pylist() if x and None not in x]
     width = max((len(x) for x in vectors), default=0)
-    mat = np.array([x for x in vectors if len(x) == width], dtype=np.float64).reshape(-1, width)
+    whole = [x for x in vectors if len(x) == width]
+    mat = np.array(whole, dtype=np.float64) if whole else np.zeros((0, width))
     mat = mat[np.linalg.norm(mat, axis=1) > 0]
     mat /= np.linalg.norm(mat, axis=1, keepdims=True)
     mat = np.unique(mat, axis=0)                                     # copies don't draw cells
     if not len(mat):
-        return np.zeros((0, width))
-    centres = mat[np.random.default_rng(seed).permutation(len(mat))[:cells]]
+        return Cells(np.zeros((0, width)), 0)
+    mat = mat[np.random.default_rng(seed).permutation(len(mat))]
+    centres = mat[:cells]
     for _ in range(FIT_ROUNDS):
-        owner = np.concatenate([np.argmax(mat[a:a + 4096] @ centres.T, axis=1) for a in range(0, len(mat), 4096)])
+        owner = _nearest_cell(mat, centres)
         total = np.zeros_like(centres)
         np.add.at(total, owner, mat)
         size = np.linalg.norm(total, axis=1, keepdims=True)
         centres = np.where(size > 0, total / np.maximum(size, 1e-300), centres)
-    return centres
+    return Cells(centres, _probes(mat, centres, _nearest_cell(mat, centres), k))
+
+
+def _probes(mat: np.ndarray, centres: np.ndarray, owner: np.ndarray, k: int) -> int:
+    """Cells to look into so that RECALL of the nearest vectors of sampled ones are found."""
+    some = mat[:FIT_QUERIES]
+    sims = some @ mat.T
+    sims[np.arange(len(some)), np.arange(len(some))] = -2.0          # a vector doesn't look for itself
+    near = np.argsort(-sims, axis=1, kind="stable")[:, :min(k, max(len(mat) - 1, 1))]
+    place = np.argsort(np.argsort(-(some @ centres.T), axis=1, kind="stable"), axis=1)     # of each cell, for each query
+    needed = np.sort(np.take_along_axis(place, owner[near], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, math.ceil(RECALL * len(needed)))]) + 1
 
 
 def _cells_of(df: DataFrame, vec_col: str, centres: np.ndarray, nearest: int) -> DataFrame:
@@ -151,16 +185,18 @@ def _cells_of(df: DataFrame, vec_col: str, centres: np.ndarray, nearest: int) ->
     return df.mapInArrow(emit, f"{kinds}, _cell int")
 
 
-def build_index(corpus: DataFrame, centres: np.ndarray, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def build_index(corpus: DataFrame, cells: Cells, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Every usable vector with its cell: write it partitioned or bucketed by ``_cell``."""
     c = corpus.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col).cast("array<double>").alias(vec_col))
-    whole = F.col(vec_col).isNotNull() & (F.size(vec_col) == centres.shape[1]) & ~F.exists(vec_col, lambda x: x.isNull())
-    return _cells_of(c.where(whole), vec_col, centres, 1)
+    whole = F.col(vec_col).isNotNull() & (F.size(vec_col) == cells.centres.shape[1]) & ~F.exists(vec_col, lambda x: x.isNull())
+    return _cells_of(c.where(whole), vec_col, cells.centres, 1)
 
 
-def search_index(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = DEFAULT_TOP_K, probes: int = PROBES,
+def search_index(index: DataFrame, cells: Cells, queries: DataFrame, k: int = DEFAULT_TOP_K, probes: int | None = None,
                  id_col: str = "vec_id", vec_col: str = "embedding", part_rows: int = PART_ROWS) -> DataFrame:
-    """Top-k of every query among the vectors of its ``probes`` nearest cells."""
+    """Top-k of every query among the vectors of its ``probes`` nearest cells (by default as
+    many as the fit found necessary)."""
+    centres, probes = cells.centres, cells.probes if probes is None else probes
     q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vector").cast("array<double>").alias("query_vector"))
     whole = F.col("query_vector").isNotNull() & (F.size("query_vector") == centres.shape[1]) & ~F.exists("query_vector", lambda x: x.isNull())
     q = _cells_of(q.where(whole), "query_vector", centres, min(probes, max(len(centres), 1)))
