@@ -2,7 +2,9 @@
 
 The block elements of a page are the nodes of a tree; each is main text or not.
 A node's potential given its parent depends on its tag; its class words, text
-length and link share are emissions. Sum-product messages go once up and once
+length and link share are emissions; of an explicit article or main element they aren't
+asked, and within one they count for little, as articles have short and linked
+paragraphs too. Sum-product messages go once up and once
 down the tree and give every node's exact marginal; the text of nodes with a
 marginal above one half is the result, block by block in page order.
 
@@ -37,6 +39,7 @@ SEED_WEIGHT = 25
 SMOOTHING = 0.5
 BACKOFF = 2.0                 # weight of the hint's own odds where a potential has few counts
 SIZE_WEIGHT, LINK_WEIGHT = 0.25, 0.5   # these emissions repeat much of what the tag says
+INSIDE_WEIGHT = 0.05          # within an explicit article
 
 # HTML's element kinds.
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -187,15 +190,22 @@ def _attributes(attrs: str) -> tuple[int, int | None]:
 
 
 def _emissions(nodes: list[Node]) -> list[tuple[int, int, int, int]]:
-    """Per node (hint, leaf, inner or body, text size class, link share class), sizes of the subtree."""
+    """Per node (hint, kind, text size class, link share class), sizes of the subtree. Kinds: 0
+    leaf, 1 inner, 2 body, 3 an explicit article, 5 and 6 leaf and inner within one."""
     size = [n.size for n in nodes]
     links = [n.links for n in nodes]
     for k in range(len(nodes) - 1, -1, -1):
         if (p := nodes[k].parent) >= 0 and nodes[p].tag != "body":     # the body's are those of its loose text
             size[p] += size[k]
             links[p] += links[k]
-    return [(n.hint, 2 if n.tag == "body" else int(n.kids > 0), min(6, s.bit_length() // 2), 0 if not x else 1 + min(2, int(3 * x / max(s, 1))))
-            for n, s, x in zip(nodes, size, links, strict=True)]
+    place: list[int] = []                       # 0: not in an article, 1: an article itself, 2: in one, in no part that marks itself as other
+    for n in nodes:
+        above = place[n.parent] if n.parent >= 0 else 0
+        other = n.hint == 1 or n.tag in _OUT_TAGS or (n.tag == "header" and not above)
+        place.append(0 if other else 1 if n.tag in ("article", "main") else 2 if above else 0)
+    return [(n.hint, 2 if n.tag == "body" else (0, 3, 5)[at] + (int(n.kids > 0) if at != 1 else 0), min(6, s.bit_length() // 2),
+             0 if not x else 1 + min(2, int(3 * x / max(s, 1))))
+            for n, s, x, at in zip(nodes, size, links, place, strict=True)]
 
 
 # Seed pages: layouts whose article isn't marked by a semantic element, as data-y.
@@ -262,6 +272,9 @@ def count_page(page: str, into: Counter, weight: int = 1) -> None:
         above = _above(nodes, n.parent, labels[n.parent]) if n.parent >= 0 else 2
         into["tree", above * 3 + hint, n.cat, y] += weight
         into["hint", hint, "", y] += weight
+        if inner == 3:                          # its tag says what it is, whatever its text is like
+            continue
+        inner -= 5 * (inner > 4)
         into["body" if inner == 2 else "size", inner * 8 + size, "", y] += weight
         into["body" if inner == 2 else "link", inner * 8 + (8 if inner == 2 else 0) + link, "", y] += weight
 
@@ -297,7 +310,11 @@ class PageModel:
                 self.ratio[kind, v] = math.log(p1 / p0)
 
     def unary(self, inner: int, size: int, link: int) -> tuple[float, float]:
-        if inner == 2:                          # nothing else says what a body's loose text is
+        if inner == 3:
+            return 0.5, 0.5
+        if inner > 4:                           # short and linked paragraphs belong to an article like others
+            r = INSIDE_WEIGHT * (self.ratio["size", (inner - 5) * 8 + size] + self.ratio["link", (inner - 5) * 8 + link])
+        elif inner == 2:                          # nothing else says what a body's loose text is
             r = self.ratio["body", 16 + size] + self.ratio["body", 24 + link]
         else:
             r = SIZE_WEIGHT * self.ratio["size", inner * 8 + size] + LINK_WEIGHT * self.ratio["link", inner * 8 + link]

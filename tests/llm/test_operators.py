@@ -370,6 +370,53 @@ def test_loose_text_and_nested_elements(page, want):
     test_pages(page, want)
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article><p>short</p><p><a href=x>Only a link</a></p></article>", "short\nOnly a link"),
+    ("<article><h1>T</h1><p><a>Only a link</a></p></article>", "T\nOnly a link"),
+    (f"<nav><a>Home</a></nav><main><p>{BODY}</p><ul><li><a>source one</a></li><li><a>two</a></li></ul></main>", f"{BODY}\nsource one\ntwo"),
+    (f"<article><h1>T</h1><p>{BODY}</p><div class=share><ul><li><a>Mail</a></li></ul></div><aside><p>x</p></aside><nav><p>next</p></nav></article>", f"T\n{BODY}"),
+])
+def test_short_and_linked_paragraphs_of_an_article(page, want):
+    test_pages(page, want)
+
+
+def test_pages_edge_cases(spark):
+    """Empty table, repeated rows, a very long page, columns named like results."""
+    long = "<article>" + "".join(f"<p>{BODY} {k}</p>" for k in range(4000)) + "</article>"
+    rows = [(1, "u", long, "own", 7), (1, "u", long, "own", 7), (2, "u", f"<article><p>{BODY}</p></article>", "own", 7), (2, "v", None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    model = html_extract.train(pages)
+    out = html_extract.extract(pages, model)
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    got = sorted((r.page_id, r.url, r.text, r.n_chars) for r in out.collect())
+    want = "\n".join(f"{BODY} {k}" for k in range(4000))
+    assert got == [(1, "u", want, len(want))] * 2 + [(2, "u", BODY, len(BODY)), (2, "v", "", 0)]
+    assert html_extract.extract(pages.limit(0), html_extract.train(pages.limit(0))).count() == 0
+
+
+def test_language_id_edge_cases(spark):
+    """Very long texts, repeated rows, ties between equal rows, columns named like results, an empty table."""
+    text = {"en": "the cat and the dog are in the house with the bird ", "fr": "le chat et le chien sont dans la maison avec un oiseau "}
+    rows = [(k, text[lang] * (1 + k % 3), lang, "own", 0.5) for k in range(60) for lang in ("en" if k % 2 else "fr",)]
+    rows += [(1000, text["fr"] * 20_000, None, "own", 0.5), (1000, text["fr"] * 20_000, None, "own", 0.5), (1001, None, "en", None, None), (1002, " 12 .", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    out = language_id.identify(docs)
+    got = sorted((r.doc_id, r.lang_pred) for r in out.collect())
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in out.collect())
+    assert [g for g in got if g[0] >= 1000] == [(1000, "fr"), (1000, "fr"), (1001, "und"), (1002, "und")]
+    assert all(p == ("en" if d % 2 else "fr") for d, p in got if d < 1000)
+    assert language_id.identify(docs.limit(0)).count() == 0
+
+
+def test_bpe_columns_named_like_results(spark):
+    rows = [(1, "some words", "own", 3), (1, "some words", "own", 3), (2, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens int")
+    out = bpe.encode_documents(docs, queries.tokenizer_path())
+    assert out.columns == ["doc_id", "text", "n_tokens", "ids", "decoded"]
+    assert sorted((r.doc_id, r.n_tokens, len(r.ids)) for r in out.where("doc_id = 1").collect()) == [(1, 3, 2)] * 2
+    assert sorted((r.doc_id, r.n_tokens) for r in bpe.encode_digests(docs, queries.tokenizer_path()).collect()) == [(1, 2), (1, 2), (2, 0)]
+
+
 def test_marginals_with_a_body():
     from itertools import product
     counts: Counter = Counter()
