@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, WindowHash, WordHashes, as_bytes, covered, mix, prepare, runs, slices, stored
@@ -251,8 +251,11 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
 
     places = stored(grouped.cogroup(hot.unionByName(copies).groupBy("chunk")).applyInArrow(
         candidates, "h1 long, h2 long, chunk int, rid long, doc_id long, start int, local binary"), "windows")
-    order = Window.partitionBy("h1", "h2").orderBy("doc_id")
-    later = (places.filter("local is null").withColumn("r", F.rank().over(order)).filter("r > 1")
+    # a window's first document by a partial aggregate, then a join that Spark can split:
+    # a passage that is everywhere is never one task's work
+    seen = places.filter("local is null")
+    firsts = seen.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    later = (seen.join(firsts, ["h1", "h2"]).filter("doc_id > first")
              .select("chunk", "rid", "start", F.lit(None).cast("binary").alias("local")))
     gone = later.unionByName(places.filter("local is not null").select("chunk", "rid", "start", "local")).unionByName(
         copies.select("chunk", F.col("doc_id").alias("rid"), F.lit(-1).alias("start"), F.lit(None).cast("binary").alias("local")))
