@@ -71,8 +71,7 @@ def _best(corpus: pa.Table, queries: pa.Table, k: int, names: tuple[str, str]) -
     return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=kind)
 
 
-def _usable(corpus: DataFrame, queries: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
-    dim = queries.agg(F.max(F.size("query_vector"))).scalar()
+def _usable(corpus: DataFrame, queries: DataFrame, dim: int, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
     whole = lambda c: F.col(c).isNotNull() & (F.size(c) == dim) & ~F.exists(c, lambda x: x.isNull())
     return (corpus.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col).cast("array<double>").alias(vec_col)).where(whole(vec_col)),
             queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vector").cast("array<double>").alias("query_vector"))
@@ -103,8 +102,9 @@ def nearest_vectors(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_
     """Exact cosine top-k of every query (query_id, query_vector) over the corpus."""
     ship_package(corpus.sparkSession)
     parts = max(1, math.ceil(corpus.count() / part_rows))          # from the files' footers
-    tiles = max(1, math.ceil(queries.count() / tile_rows))
-    c, q = _usable(corpus, queries, id_col, vec_col)
+    asked, dim = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("query_vector")), F.lit(0))).first()
+    tiles = max(1, math.ceil(asked / tile_rows))
+    c, q = _usable(corpus, queries, dim, id_col, vec_col)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     c = c.withColumn("_part", _dealt(id_col, parts)).withColumn("_tile", every(tiles) if tiles > 1 else F.lit(0))
     q = q.withColumn("_tile", _dealt("query_id", tiles)).withColumn("_part", every(parts) if parts > 1 else F.lit(0))

@@ -40,7 +40,7 @@ def summary(df: DataFrame) -> dict[str, int]:
         "single_partition": plan.count("Exchange SinglePartition"),
         "broadcasts": plan.count("BroadcastExchange"),
         "sort_merge_joins": plan.count("SortMergeJoin"),
-        "python_stages": plan.count("MapInPandas") + plan.count("FlatMapGroupsInPandas"),
+        "python_stages": sum(plan.count(op) for op in ("MapInPandas", "MapInArrow", "FlatMapGroupsInPandas", "FlatMapCoGroupsInArrow")),
         "group_limits": plan.count("WindowGroupLimit"),
         "forbidden": sum(plan.count(op) for op in FORBIDDEN),
     }

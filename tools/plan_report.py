@@ -11,7 +11,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from rosterlake.catalog import QUERIES  # noqa: E402
 from rosterlake.plans.checks import summary  # noqa: E402
 from rosterlake.session import get_session  # noqa: E402
 
@@ -20,7 +20,7 @@ def main(argv):
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     spark = get_session()
     keys = None
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(QUERIES.items()):
         df = fn(spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         s = summary(df)
