@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, plus, prepare, ranges, sha256_hex, text_slices
 
-MAX_CACHED_WORDS = 150_000    # a generation of the cache
+MAX_CACHED_WORDS = 60_000     # a generation of the cache (some 400 bytes a word)
 MAX_CACHED_LENGTH = 64        # longer words are encoded each time
 MAX_CACHED_PAIRS = 80_000
 SLICE = 1 << 20              # text bytes encoded at a time
