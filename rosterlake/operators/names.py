@@ -6,6 +6,10 @@ most): the players that hold all of them are the candidates, and only they are
 compared with the word by ``ilike``, so ``%`` and ``_`` in a word are wildcards as in
 the one-word searches. A search is a few equi-joins on ``key`` and ``id``: it reads the
 postings of the chosen keys, not the names.
+
+Spark takes the postings, exploded from the names, for no larger than the names, and
+would send them whole through the driver to every executor: the joins ask for sorted
+merges instead, with the postings as the side that streams.
 """
 
 from __future__ import annotations
@@ -51,11 +55,12 @@ def find_names(index: DataFrame, giocatori: DataFrame, words: DataFrame, id_col:
     wanted = w.select("word", F.explode(checked).alias("key"))
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("_df"))
     rarest = Window.partitionBy("word").orderBy(F.coalesce(F.col("_df"), F.lit(0)), "key")
-    probes = wanted.join(sizes, "key", "left").withColumn("_rank", F.row_number().over(rarest)).where(F.col("_rank") <= PROBES)
+    probes = (wanted.join(sizes.hint("shuffle_merge"), "key", "left")
+              .withColumn("_rank", F.row_number().over(rarest)).where(F.col("_rank") <= PROBES))
     asked = probes.withColumn("_asked", F.max("_rank").over(Window.partitionBy("word"))).select("word", "key", "_asked")
-    hits = (asked.join(index.withColumnRenamed("id", "_id"), "key").groupBy("word", "_id")
+    hits = (index.withColumnRenamed("id", "_id").join(asked.hint("shuffle_merge"), "key").groupBy("word", "_id")
             .agg(F.count_distinct("key").alias("_met"), F.max("_asked").alias("_asked")).where("_met = _asked"))
-    found = hits.select("word", "_id").join(giocatori, F.col("_id") == F.col(id_col))
+    found = hits.select("word", "_id").join(giocatori.hint("shuffle_merge"), F.col("_id") == F.col(id_col))
     return found.where(F.expr(f"`{name_col}` ILIKE concat('%', word, '%')")).select("word", *giocatori.columns)
 
 

@@ -7,6 +7,7 @@ import pytest
 
 from conftest import SF_MID
 from rosterlake.operators import names, search, vectors
+from rosterlake.plans.checks import physical_plan
 from rosterlake.sources.model import LeagueModel
 
 KIND = "vec_id long, embedding array<double>"
@@ -80,3 +81,36 @@ def test_search_reads_postings_of_the_rarest_keys(spark):
     assert index.where("key = 'com'").count() == 2000
     found = names.find_names(index, g, spark.createDataFrame([("on ra",)], "word string"))
     assert found.count() == 40
+
+
+def _broadcast_lines(df) -> str:
+    """The lines of the plan that stand below a broadcast."""
+    out, depth = [], None
+    for line in physical_plan(df).splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        if depth is not None and at > depth:
+            out.append(line)
+        elif "BroadcastExchange" in line:
+            depth = at
+        else:
+            depth = None
+    return "\n".join(out)
+
+
+@pytest.fixture(scope="module")
+def few(spark, tmp_path_factory):
+    """Players in a small file: by its size Spark would broadcast them, and the postings with them."""
+    path = str(tmp_path_factory.mktemp("names") / "g.parquet")
+    rows = [(i, f"{'red' if i % 3 else 'blue'} ring {i % 7}", "A", "Brand#1", 1.0, float(i % 5)) for i in range(200)] + [(None, "red null", "A", None, None, None)]
+    spark.createDataFrame(rows, "id long, nome string, ruolo string, squadra string, quotazione_attuale double, fvm double").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_live_searches_send_no_postings_or_players_through_the_driver(spark, few):
+    sold = spark.createDataFrame([(3,), (3,), (None,)], "giocatore_id long")
+    words = spark.createDataFrame([("red",), ("LUE R",), ("%4",)], "word string")
+    found = names.live_searches(names.name_index(few), few, sold, words, limit=4)
+    assert "nome" not in _broadcast_lines(found)
+    got = sorted((r.word, r["rank"], r.id) for r in found.collect())
+    want = [(w.word, k, r.id) for w in words.collect() for k, r in enumerate(search.free_search(few, sold, w.word).limit(4).collect(), 1)]
+    assert got == sorted(want) and len(want) == 12
