@@ -114,3 +114,12 @@ def test_live_searches_send_no_postings_or_players_through_the_driver(spark, few
     got = sorted((r.word, r["rank"], r.id) for r in found.collect())
     want = [(w.word, k, r.id) for w in words.collect() for k, r in enumerate(search.free_search(few, sold, w.word).limit(4).collect(), 1)]
     assert got == sorted(want) and len(want) == 12
+
+
+def test_found_names_send_no_postings_or_players_through_the_driver(spark, few):
+    words = spark.createDataFrame([("red",), ("LUE R",), ("%4",), ("re",)], "word string")
+    found = names.find_names(names.name_index(few), few, words).select("word", "id")
+    assert "nome" not in _broadcast_lines(found)
+    got = sorted((r.word, r.id) for r in found.collect())
+    assert got == sorted((w.word, r.id) for w in words.collect() for r in few.where(search.F.col("nome").ilike(search.like_pattern(w.word))
+                                                                                    & search.F.col("id").isNotNull()).collect())
