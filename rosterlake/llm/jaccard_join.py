@@ -32,13 +32,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WindowHash, WordHashes, as_bytes, discard, prepare, stored, text_slices
+from .common import WindowHash, as_bytes, discard, prepare, ranges, runs, stored, text_slices, word_hashes
 from .components import components
 
 N = 5                         # fixed value (contract)
@@ -50,25 +51,46 @@ MAX_COMMON = 400_000          # shingles with a class (9 bytes each in a task)
 COUNT_BUFFER = 2_000_000      # shingles counted at a time in a task
 BASE = 0x9E3779B97F4A7C15
 
+SLICE = 1 << 20               # text bytes whose shingles are made together
+
 _CLASS_SHIFT = 57             # order key: class above, 57 bits of hash below
+_SEEN_BITS = 22               # of a shingle, looked up before the list of those with a class
+
+
+@dataclass
+class Sets:
+    """Shingle sets of some texts: set k is ``keys[starts[k]:starts[k] + sizes[k]]``, sorted."""
+
+    keys: np.ndarray
+    sizes: np.ndarray
+
+    def __post_init__(self):
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
+    def each(self) -> Iterator[np.ndarray]:
+        return (self.keys[a:a + k] for a, k in zip(self.starts.tolist(), self.sizes.tolist(), strict=True))
 
-def word_sets(texts: list[bytes | None], n: int, hashes: WordHashes, hasher: WindowHash) -> list[np.ndarray]:
-    """Sorted distinct 57-bit shingle hashes of each text, A-Z in lower case."""
-    words = [t.lower().split() if t else [] for t in texts]
-    sizes = [len(w) for w in words]
-    x = np.concatenate([hashes.array(w) for w in words]) if words else np.zeros(0, np.uint64)
-    h = hasher(x, n) >> np.uint64(64 - _CLASS_SHIFT)
-    out, at = [], 0
-    for k in sizes:
-        if k >= n:
-            out.append(np.unique(h[at:at + k - n + 1]))
-        elif k:
-            out.append(hasher(x[at:at + k], k)[:1] >> np.uint64(64 - _CLASS_SHIFT))
-        else:
-            out.append(np.zeros(0, np.uint64))
-        at += k
-    return out
+
+def word_sets(texts: list[bytes | None], n: int, hasher: WindowHash) -> Sets:
+    """Distinct 57-bit shingle hashes of each text, A-Z in lower case."""
+    x, words = word_hashes(texts)
+    at = np.cumsum(words) - words
+    sizes = np.where(words >= n, words - n + 1, np.minimum(words, 1))     # with repeats
+    starts = np.cumsum(sizes) - sizes
+    h = np.zeros(int(sizes.sum()), np.uint64)
+    for k in np.unique(words[(words > 0) & (words < n)]).tolist():        # a short text is one shingle
+        some = np.flatnonzero(words == k)
+        h[starts[some]] = hasher(x[ranges(at[some], words[some])], k)[::k]
+    some = np.flatnonzero(words >= n)
+    if len(some):
+        h[ranges(starts[some], sizes[some])] = hasher(x, n)[ranges(at[some], sizes[some])]
+    h >>= np.uint64(64 - _CLASS_SHIFT)
+    for a, k in zip(starts[some].tolist(), sizes[some].tolist(), strict=True):
+        h[a:a + k].sort()
+    first = np.diff(h, prepend=np.uint64(0)) != 0
+    first[starts[sizes > 0]] = True
+    total = np.concatenate([[0], np.cumsum(first)])
+    return Sets(h[first], total[starts + sizes] - total[starts])
 
 
 def common_shingles(docs: DataFrame, n: int = N, least: int = MIN_COMMON, most: int = MAX_COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -78,17 +100,19 @@ def common_shingles(docs: DataFrame, n: int = N, least: int = MIN_COMMON, most:
     schema = pa.schema([("h", pa.int64()), ("c", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, hasher = WordHashes(), WindowHash(BASE)
+        hasher = WindowHash(BASE)
         held: list[np.ndarray] = []
 
         def counted() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            h = np.sort(np.concatenate([np.zeros(0, np.uint64), *held]))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h[c > 1].astype(np.int64)), pa.array(c[c > 1].astype(np.int64))], schema=schema)
+            begin, end = runs(h)
+            twice = np.flatnonzero(end - begin > 1)
+            return pa.RecordBatch.from_arrays([pa.array(h[begin[twice]].astype(np.int64)), pa.array((end - begin)[twice])], schema=schema)
 
         for batch in batches:
-            for _, texts in text_slices(batch, "text"):
-                held += word_sets(texts, n, hashes, hasher)
+            for _, texts in text_slices(batch, "text", SLICE):
+                held.append(word_sets(texts, n, hasher).keys)
                 if sum(map(len, held)) > COUNT_BUFFER:
                     yield counted()
         yield counted()
@@ -100,25 +124,46 @@ def common_shingles(docs: DataFrame, n: int = N, least: int = MIN_COMMON, most:
     return h[order], np.minimum(60, np.log2(np.maximum(c[order], 1)).astype(np.int64) - int(math.log2(least)) + 1)
 
 
-def ordered(s: np.ndarray, common: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The order keys of a set, ascending: class, then hash."""
-    if len(common) == 0 or len(s) == 0:
-        return s.astype(np.int64)
-    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-    rank = np.where(common[at] == s, classes[at], 0)
-    return np.sort(s.astype(np.int64) | (rank << _CLASS_SHIFT))
+class Order:
+    """The global order: class (0 where a shingle has none), then hash."""
+
+    def __init__(self, common: np.ndarray, classes: np.ndarray):
+        self.common, self.classes = common, classes
+        self.seen = np.zeros(1 << _SEEN_BITS, bool)           # first bits of the shingles with a class
+        self.seen[common >> np.uint64(_CLASS_SHIFT - _SEEN_BITS)] = True
+
+    def keys(self, sets: Sets) -> Sets:
+        """The order keys of each set, ascending."""
+        out = sets.keys.astype(np.int64)
+        maybe = np.flatnonzero(self.seen[sets.keys >> np.uint64(_CLASS_SHIFT - _SEEN_BITS)])
+        if len(maybe):
+            s = sets.keys[maybe]
+            at = np.minimum(np.searchsorted(self.common, s), len(self.common) - 1)
+            is_common = self.common[at] == s
+            maybe, at = maybe[is_common], at[is_common]
+            out[maybe] |= self.classes[at] << _CLASS_SHIFT
+            for k in np.unique(np.searchsorted(sets.starts, maybe, side="right") - 1).tolist():
+                out[sets.starts[k]:sets.starts[k] + sets.sizes[k]].sort()
+        return Sets(out, sets.sizes)
 
 
-def head_size(size: int, percent: int) -> int:
-    return size - -(-percent * size // 100) + 1 if size else 0
+def head_sizes(sizes: np.ndarray, percent: int) -> np.ndarray:
+    return np.where(sizes > 0, sizes + (-percent * sizes) // 100 + 1, 0)
 
 
-def fragments_of(keys: np.ndarray, fragments: int) -> list[np.ndarray]:
-    """The sorted keys of a set, cut where the global order is cut: ``fragments``
+def fragments_of(keys: Sets, fragments: int) -> pa.ListArray:
+    """The order keys of each set, cut where the global order is cut: ``fragments``
     ranges of the shingles without a class, then ``CLASS_FRAGMENTS`` of classes."""
     span = 1 << _CLASS_SHIFT
     cuts = [span * k // fragments for k in range(1, fragments + 1)] + [span * (1 + 4 * k) for k in range(1, CLASS_FRAGMENTS)]
-    return np.split(keys, np.searchsorted(keys, cuts))
+    parts = len(cuts) + 1
+    place = np.repeat(np.arange(len(keys.sizes)) * parts, keys.sizes) + np.searchsorted(np.array(cuts), keys.keys, side="right")
+    sizes = np.bincount(place, minlength=parts * len(keys.sizes))
+    return _lists(np.full(len(keys.sizes), parts), _lists(sizes, pa.array(keys.keys)))
+
+
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
 
 
 def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sent, n: int, percent: int, fragments: int) -> DataFrame:
@@ -129,18 +174,15 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sent, n: int,
     first = classes.join(ids, "cid", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, ranks = sent.value
-        hashes, hasher = WordHashes(), WindowHash(BASE)
+        order, hasher = Order(*sent.value), WindowHash(BASE)
         for batch in batches:
-            for _, texts in text_slices(batch, "text"):
-                cid, size, keys = [], [], []
-                for s in word_sets(texts, n, hashes, hasher):
-                    if len(s):
-                        cid.append(set_id(s)[0])
-                        size.append(len(s))
-                        keys.append(fragments_of(ordered(s, common, ranks), fragments))
+            for _, texts in text_slices(batch, "text", SLICE):
+                sets = word_sets([t for t in texts if t], n, hasher)
+                real = np.flatnonzero(sets.sizes)
+                sets = Sets(sets.keys, sets.sizes[real])
+                cid = [set_id(s)[0] for s in sets.each()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cid, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.list_(pa.int64())))],
+                    [pa.array(cid, pa.int64()), pa.array(sets.sizes, pa.int64()), fragments_of(order.keys(sets), fragments)],
                     names=["cid", "n", "keys"])
 
     parts = (docs.join(first, "doc_id", "left_semi").select(as_bytes("text"))
@@ -149,8 +191,8 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sent, n: int,
     x = parts.select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("keys").alias("kx"))
     y = parts.select(F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("keys").alias("ky"))
     # one row a pair: the fragments are matched place by place and their counts added
-    total = pairs.join(x, "x").join(y, "y").select("x", "y", "nx", "ny", F.aggregate(
-        F.zip_with("kx", "ky", lambda p, q: F.size(F.array_intersect(p, q))), F.lit(0), lambda t, o: t + o).alias("o"))
+    overlap = sum(F.size(F.array_intersect(F.col("kx")[k], F.col("ky")[k])) for k in range(fragments + CLASS_FRAGMENTS))
+    total = pairs.join(x, "x").join(y, "y").select("x", "y", "nx", "ny", overlap.alias("o"))
     links = stored(total.filter(F.expr(f"100 * o >= {percent} * (nx + ny - o)"))
                    .select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
     discard(pairs, parts)
@@ -168,28 +210,18 @@ def _sets(docs: DataFrame, sent, n: int, percent: int) -> DataFrame:
     """One row a document: size, class id, share of common shingles, head in order."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, ranks = sent.value
-        hashes, hasher = WordHashes(), WindowHash(BASE)
+        order, hasher = Order(*sent.value), WindowHash(BASE)
         for batch in batches:
-            for part, texts in text_slices(batch, "text"):
-                size, a, b, share, head = [], [], [], [], []
-                for s in word_sets(texts, n, hashes, hasher):
-                    size.append(len(s))
-                    if len(s):
-                        i, j = set_id(s)
-                        k = ordered(s, common, ranks)
-                        a.append(i)
-                        b.append(j)
-                        share.append(float((k >> _CLASS_SHIFT).mean()))
-                        head.append(k[: head_size(len(s), percent)])
-                    else:
-                        a.append(None)
-                        b.append(None)
-                        share.append(0.0)
-                        head.append([])
+            for part, texts in text_slices(batch, "text", SLICE):
+                sets = word_sets(texts, n, hasher)
+                ids = [set_id(s) if len(s) else (None, None) for s in sets.each()]
+                keys = order.keys(sets)
+                ranks = np.concatenate([[0], np.cumsum(keys.keys >> _CLASS_SHIFT)])
+                share = (ranks[keys.starts + keys.sizes] - ranks[keys.starts]) / np.maximum(keys.sizes, 1)
+                heads = head_sizes(keys.sizes, percent)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                     pa.array(share, pa.float64()), pa.array(head, pa.list_(pa.int64()))],
+                    [part.column(0), pa.array(sets.sizes, pa.int64()), pa.array([i for i, _ in ids], pa.int64()), pa.array([j for _, j in ids], pa.int64()),
+                     pa.array(share, pa.float64()), _lists(heads, pa.array(keys.keys[ranges(keys.starts, heads)]))],
                     names=["doc_id", "n", "cid", "check", "share", "head"])
 
     return docs.select("doc_id", as_bytes("text")).mapInArrow(

@@ -13,6 +13,7 @@ import pytest
 
 from rosterlake.llm import (bpe, components, decontaminate, html_extract, induced_sort, jaccard_join, language_id,
                             line_dedup, quality_rules, queries, substring_dedup, suffix_dedup)
+from rosterlake.llm.common import WindowHash, word_hashes
 
 SMALL = "/root/testdata/sf0.001"
 KINDS = "doc_id long, text string, n_words string, lang string"
@@ -228,6 +229,33 @@ def test_jaccard_components_against_brute_force(docs, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_shingle_sets_of_many_texts_equal_sets_text_by_text():
+    rnd = random.Random(5)
+    words = ["a", "B", "é", "x" * 8, "x" * 9, "y" * 64, "y" * 65, "Z" * 200, "ab\x00", "ab", "\x1c"]
+    texts = [None, b"", b" \t\n\x0b\x0c\r ", *("".join(rnd.choice(words) + rnd.choice([" ", "\n", "\t "]) for _ in range(rnd.randrange(0, 40))).encode() for _ in range(300))]
+    split = [(t or b"").lower().split() for t in texts]
+    hashes, counts = word_hashes(texts)
+    assert counts.tolist() == [len(w) for w in split]
+    every = [w for s in split for w in s]
+    assert len(set(zip(every, hashes.tolist()))) == len(set(every)) == len(set(hashes.tolist()))
+    hasher = WindowHash(jaccard_join.BASE)
+    sets = jaccard_join.word_sets(texts, 5, hasher)
+    got = [s.tolist() for s in sets.each()]
+    alone = [jaccard_join.word_sets([t], 5, hasher).keys.tolist() for t in texts]
+    want = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()} for w in split]
+    assert got == alone and [len(g) for g in got] == [len(w) for w in want] and all(g == sorted(set(g)) for g in got)
+    assert len({k for g in got for k in g}) == len(set().union(*want))
+    common = np.unique(sets.keys)[::3]
+    classes = np.arange(len(common)) % 14 + 1
+    rank = dict(zip(common.tolist(), classes.tolist()))
+    keys = jaccard_join.Order(common, classes).keys(sets)
+    assert [k.tolist() for k in keys.each()] == [sorted(h | rank.get(h, 0) << 57 for h in g) for g in got]
+    cuts = [(k + 1) << 55 for k in range(4)] + [(1 + 4 * k) << 57 for k in (1, 2, 3)]
+    assert jaccard_join.fragments_of(keys, 4).to_pylist() == [[p.tolist() for p in np.split(k, np.searchsorted(k, cuts))] for k in keys.each()]
+    assert jaccard_join.Order(common[:0], classes[:0]).keys(sets).keys.tolist() == sets.keys.tolist()
+    assert jaccard_join.word_sets([], 5, hasher).keys.tolist() == []
+
+
 def test_components_of_a_path(spark):
     path = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = dict(components.components(spark.createDataFrame(path, "a long, b long")).collect())
