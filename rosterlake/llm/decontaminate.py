@@ -19,7 +19,7 @@ a result column gives way to it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -158,33 +158,34 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _item_shards(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """The items in hash shards, each collected by itself and of bounded size."""
+def _item_shards(benchmark: DataFrame, max_words: int) -> Iterator[tuple[bool, list[tuple[str | None, list[bytes]]]]]:
+    """(is it the last, items) of hash shards, each collected by itself and of bounded size."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), as_bytes("text")).filter("text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-int(size) // (4 * max_words)))   # four bytes a word and over
     for k in range(shards):
         part = items if shards == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(shards)) == k)
         rows = part.collect()  # bounded: about 4 * max_words bytes of benchmark text
-        yield [(r["item"], normal_words(bytes(r["text"]))) for r in rows]
+        yield k + 1 == shards, [(r["item"], normal_words(bytes(r["text"]))) for r in rows]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
-                       max_words: int = MAX_AUTOMATON_WORDS) -> DataFrame:
-    """``docs`` plus n_words, hit_spans (array of word ranges [a, b)) and items (sorted, a
-    null last)."""
+def _scanned(docs: DataFrame, benchmark: DataFrame, width: int, max_words: int,
+             finish: Callable[[pa.RecordBatch, list, list, list], pa.RecordBatch] | None = None, kinds: str = "") -> DataFrame:
+    """``docs``, whose last column _d_text is the text in bytes, plus n_words, hit_spans and
+    items; or what ``finish`` makes of (rows, texts, n_words, spans) in the last pass, with
+    the columns ``kinds``. Work done there needs no Python worker of its own."""
     spark = prepare(docs)
-    docs = docs.drop("n_words", "hit_spans", "items", "n_hit", "n_items")   # the results take these names
     base = [f.name for f in docs.schema.fields]
-    df = docs.select("*", F.col("text").cast("binary").alias("_d_text"), F.lit(0).cast("long").alias("n_words"),
+    df = docs.select("*", F.lit(0).cast("long").alias("n_words"),
                      F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("hit_spans"),
                      F.expr("cast(array() as array<string>)").alias("items"))
     schema = df.schema
     span_type, item_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.string())
-    for rows in _item_shards(benchmark, max_words):
+    for last, rows in _item_shards(benchmark, max_words):
         sent = spark.sparkContext.broadcast((rows, width))
+        own = finish if last else None
 
-        def emit(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def emit(batches: Iterator[pa.RecordBatch], sent=sent, own=own) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(*sent.value)
             for batch in batches:
                 for part, texts in text_slices(batch, "_d_text"):
@@ -197,13 +198,26 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
                         if s0:
                             s = merge_spans(s + [(x["a"], x["b"]) for x in s0])
                         n_words.append(len(words))
-                        spans.append([{"a": a, "b": b} for a, b in s])
+                        spans.append(s)
                         items.append(sorted(names.union(i0), key=lambda x: (x is None, x or "")))
-                    cols = [part.column(k) for k in range(len(base) + 1)]
-                    cols += [pa.array(n_words, pa.int64()), pa.array(spans, span_type), pa.array(items, item_type)]
-                    yield pa.RecordBatch.from_arrays(cols, names=[*base, "_d_text", "n_words", "hit_spans", "items"])
+                    if own:
+                        yield own(part, texts, n_words, spans)
+                        continue
+                    cols = [part.column(k) for k in range(len(base))]
+                    cols += [pa.array(n_words, pa.int64()), pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], span_type),
+                             pa.array(items, item_type)]
+                    yield pa.RecordBatch.from_arrays(cols, names=[*base, "n_words", "hit_spans", "items"])
+
+        df = df.mapInArrow(emit, kinds if own else schema)
+    return df
+
 
-        df = df.mapInArrow(emit, schema)
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
+                       max_words: int = MAX_AUTOMATON_WORDS) -> DataFrame:
+    """``docs`` plus n_words, hit_spans (array of word ranges [a, b)) and items (sorted, a
+    null last)."""
+    docs = docs.drop("n_words", "hit_spans", "items", "n_hit", "n_items")   # the results take these names
+    df = _scanned(docs.select("*", F.col("text").cast("binary").alias("_d_text")), benchmark, width, max_words)
     return df.drop("_d_text").withColumns({
         "n_hit": F.expr("aggregate(hit_spans, 0L, (s, x) -> s + x.b - x.a)"),
         "n_items": F.size("items").cast("long"),
@@ -211,28 +225,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
-                         max_coverage: float = MAX_COVERAGE) -> DataFrame:
+                         max_coverage: float = MAX_COVERAGE, max_words: int = MAX_AUTOMATON_WORDS) -> DataFrame:
     """Cut every hit span out of the text; documents whose hit share exceeds
-    ``max_coverage`` go whole. Clean documents stay byte for byte."""
+    ``max_coverage`` go whole. Clean documents stay byte for byte. The pass that finds the
+    last spans cuts them: a second Python stage would hold two more workers in each executor."""
     docs, restore = shielded(docs, "text")
-    found = find_contamination(docs, benchmark, width)
-    found = found.filter(F.col("n_hit") <= F.col("n_words") * max_coverage)
     names = [f.name for f in docs.schema.fields]
     at = names.index("text")
-    extra = found.select(*names, "hit_spans")
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
-            cut = [cut_words(t, [(x["a"], x["b"]) for x in s]) if s else t for t, s in zip(texts, spans, strict=True)]
-            cols = [batch.column(k) for k in range(len(names))]
-            cols[at] = pa.array(cut, pa.binary())
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    schema = docs.schema
-    out = extra.withColumn("text", F.col("text").cast("binary"))
-    kinds = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in schema.fields)
-    return out.mapInArrow(emit, kinds).withColumn("text", F.col("text").cast("string")).transform(restore)
+
+    def cut(part: pa.RecordBatch, texts: list, n_words: list, spans: list) -> pa.RecordBatch:
+        keep = pa.array([sum(b - a for a, b in s) <= n * max_coverage for s, n in zip(spans, n_words, strict=True)], pa.bool_())
+        cols = [part.column(k) for k in range(len(names) - 1)]
+        cols.insert(at, pa.array([cut_words(t, s) if s else t for t, s in zip(texts, spans, strict=True)], pa.binary()))
+        return pa.RecordBatch.from_arrays(cols, names=names).filter(keep)
+
+    kinds = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema.fields)
+    rows = docs.select(*(n for n in names if n != "text"), F.col("text").cast("binary").alias("_d_text"))
+    out = _scanned(rows, benchmark, width, max_words, cut, kinds)
+    return out.withColumn("text", F.col("text").cast("string")).transform(restore)
 
 
 def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:

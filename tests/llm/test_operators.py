@@ -211,6 +211,24 @@ def test_decontamination_against_brute_force(spark, docs, empty):
     assert all(v[1] <= 0.5 * v[0] for d, v in want.items() if d in left)
 
 
+def test_contamination_is_cut_in_the_pass_that_finds_it(spark):
+    """One Python stage, so two workers less in each executor; the same cut in one pass or several."""
+    from rosterlake.plans.checks import physical_plan
+
+    item = " ".join(f"bench{k}" for k in range(12))
+    docs = spark.createDataFrame([
+        (1, f"Words before {item.upper()}, words after it and more of them, so that most of it stays here.", 7, "own"),
+        (2, item, 8, "own"), (3, "clean  text\n\ttiny thing", 9, None), (4, None, 1, "own"), (None, "a tiny item of many words", None, "own"),
+        (6, "", 2, None)], "doc_id long, text string, n_words int, `items` string")
+    bench = spark.createDataFrame([("i1", item), ("i2", "tiny item"), ("i3", None), (None, "far words")], "item_id string, text string")
+    want = [(None, "a  of many words", None, "own"), (1, "Words before , words after it and more of them, so that most of it stays here.", 7, "own"),
+            (3, "clean  text\n\ttiny thing", 9, None), (4, None, 1, "own"), (6, "", 2, None)]
+    for width, words, passes in ((10, 100_000, 1), (10, 10, 3)):
+        out = decontaminate.remove_contamination(docs, bench, width, max_words=words)
+        assert out.schema == docs.schema and physical_plan(out).count("MapInArrow") == passes
+        assert sorted(map(tuple, out.collect()), key=lambda r: r[0] or 0) == want
+
+
 def test_jaccard_components_against_brute_force(docs, empty):
     rows = corpus()
     sets = {}
